@@ -210,6 +210,14 @@ def text_preferences(candidates: DataFrame) -> DataFrame:
     )
 
 
+def weak_preferences(weak: DataFrame) -> DataFrame:
+    """Order a scene's results below the floor: by score over all groups, earliest on ties."""
+    w = Window.partitionBy("script_id", "scene_idx").orderBy(
+        F.col("score").desc(), "group_rank", "result_no"
+    )
+    return weak.withColumn("pref", F.row_number().over(w).cast("bigint"))
+
+
 def best_pick(preferred: DataFrame, fallback: DataFrame) -> DataFrame:
     """The first choice of every scene, repeats allowed.
 

@@ -76,6 +76,14 @@ def bucket_scenes(scripts: DataFrame, target_ms: int = lx.TARGET_SCENE_MS,
     )
 
 
+def scene_counts(scripts: DataFrame, target_ms: int = lx.TARGET_SCENE_MS,
+                 words_per_second: float = lx.WORDS_PER_SECOND) -> DataFrame:
+    """Add n_scenes to every script, in its row."""
+    limit = target_ms / 1000.0 * words_per_second
+    counts = F.transform(tx.sentences(F.col("text")), lambda s: tx.word_count(s))
+    return scripts.withColumn("n_scenes", F.size(folds.scene_spans(counts, limit)).cast("bigint"))
+
+
 def running_timeline(scenes: DataFrame, duration: str = "duration_ms") -> DataFrame:
     """Start and end of each scene from the durations before it."""
     upto = (
