@@ -96,7 +96,7 @@ def _name_like(text: Column, stop: Sequence[str]) -> Column:
     capital = F.filter(
         F.transform(
             toks,
-            lambda w, i: F.struct(w.alias("w"), F.try_element_at(toks, i).alias("prev"), i.alias("i")),
+            lambda w, i: F.struct(w.alias("w"), F.get(toks, i - 1).alias("prev"), i.alias("i")),
         ),
         lambda s: (s["i"] > 0)
         & s["w"].rlike("^[^A-Za-z]*[A-Z]")
@@ -113,7 +113,7 @@ def proper_noun(text: Column, stop: Sequence[str] = lx.CALLOUT_STOP) -> Column:
     inner = F.filter(
         F.transform(
             toks,
-            lambda w, i: F.struct(w.alias("w"), F.try_element_at(toks, i).alias("prev"), i.alias("i")),
+            lambda w, i: F.struct(w.alias("w"), F.get(toks, i - 1).alias("prev"), i.alias("i")),
         ),
         lambda s: (s["i"] > 0) & s["w"].rlike(r"\p{Lu}") & ~s["prev"].rlike(r"""[.!?"]$"""),
     )

@@ -17,24 +17,49 @@ from .scripts import script_words, split_sentences
 GRAM = 3
 
 
-def _grams(norm: DataFrame, idx: str) -> DataFrame:
-    """Three neighbouring non-empty words of each script with the index of the first."""
-    w = Window.partitionBy("script_id").orderBy(idx)
-    words = [F.col("norm"), *[F.lead("norm", k).over(w) for k in range(1, GRAM)]]
-    named = norm.select("script_id", F.col(idx).alias("pos"), *[c.alias(f"_w{k}") for k, c in enumerate(words)])
+def _script_grams(scripts: DataFrame) -> DataFrame:
+    """(script_id, pos, gram): neighbouring non-empty words, made in the script's row."""
+    words = scripts.select(
+        "script_id", F.transform(tx.tokens(F.col("text")), tx.norm_word).alias("_w")
+    )
+    span = F.sequence(F.lit(0), F.size("_w") - GRAM)
+
+    def gram(i):
+        parts = [F.get("_w", i + k) for k in range(GRAM)]
+        full = F.lit(True)
+        for p in parts:
+            full = full & (p != "")
+        return F.when(full, F.struct(i.cast("bigint").alias("pos"), F.concat_ws(" ", *parts).alias("gram")))
+
+    grams = F.when(F.size("_w") >= GRAM, F.array_compact(F.transform(span, gram)))
+    return words.select("script_id", F.explode(grams).alias("g")).select("script_id", "g.pos", "g.gram")
+
+
+def _heard_grams(asr: DataFrame) -> DataFrame:
+    """(script_id, pos, gram, times): as above for transcript rows, with the words' times."""
+    w = Window.partitionBy("script_id").orderBy("asr_idx")
+    word = F.struct(tx.norm_word(F.col("token")).alias("norm"), "start_ms", "end_ms")
+    named = asr.select("script_id", "asr_idx", word.alias("_w0"))
+    named = named.select(
+        "*", *[F.lead("_w0", k).over(w).alias(f"_w{k}") for k in range(1, GRAM)]
+    )
     full = F.lit(True)
     for k in range(GRAM):
-        full = full & F.col(f"_w{k}").isNotNull() & (F.col(f"_w{k}") != "")
+        full = full & F.col(f"_w{k}").isNotNull() & (F.col(f"_w{k}.norm") != "")
     return named.where(full).select(
-        "script_id", "pos", F.concat_ws(" ", *[f"_w{k}" for k in range(GRAM)]).alias("gram")
+        "script_id", F.col("asr_idx").alias("pos"),
+        F.concat_ws(" ", *[f"_w{k}.norm" for k in range(GRAM)]).alias("gram"),
+        F.array(*[F.struct(f"_w{k}.start_ms", f"_w{k}.end_ms") for k in range(GRAM)]).alias("times"),
     )
 
 
 def _monotone(pairs: DataFrame) -> DataFrame:
     """Keep (word_idx, asr_idx) pairs above all earlier and below all later ones."""
-    w = Window.partitionBy("script_id").orderBy("word_idx")
-    before = F.max("asr_idx").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min("asr_idx").over(w.rowsBetween(1, Window.unboundedFollowing))
+    script = Window.partitionBy("script_id")
+    # the later side is read backwards: a frame to the end would be summed anew at each row
+    up = script.orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
+    down = script.orderBy(F.col("word_idx").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before, after = F.max("asr_idx").over(up), F.min("asr_idx").over(down)
     return (
         pairs.withColumn("_before", before).withColumn("_after", after)
         .where((F.col("_before").isNull() | (F.col("asr_idx") > F.col("_before")))
@@ -43,114 +68,129 @@ def _monotone(pairs: DataFrame) -> DataFrame:
     )
 
 
-def match_words(words: DataFrame, asr: DataFrame) -> DataFrame:
-    """(script_id, word_idx, asr_idx): script words found in the transcript.
+def match_words(scripts: DataFrame, asr: DataFrame) -> DataFrame:
+    """(script_id, word_idx, asr_idx, start_ms, end_ms): script words found in the transcript.
 
     Word triples that occur once on both sides anchor the match. Both sides meet in one
     aggregation with partial counts, so nothing is joined and repeated triples cost nothing.
     """
-    script = _grams(words.select("script_id", "word_idx", tx.norm_word(F.col("token")).alias("norm")), "word_idx")
-    heard = _grams(asr.select("script_id", "asr_idx", tx.norm_word(F.col("token")).alias("norm")), "asr_idx")
-    both = script.withColumn("_side", F.lit(0)).unionByName(heard.withColumn("_side", F.lit(1)))
+    script = _script_grams(scripts)
+    heard = _heard_grams(asr)
+    both = script.select(
+        "*", F.lit(None).cast(heard.schema["times"].dataType).alias("times"), F.lit(0).alias("_side")
+    ).unionByName(heard.withColumn("_side", F.lit(1)))
     mine, other = F.col("_side") == 0, F.col("_side") == 1
     anchors = (
         both.groupBy("script_id", "gram")
         .agg(F.count_if(mine).alias("_n"), F.count_if(other).alias("_m"),
              F.min(F.when(mine, F.col("pos"))).alias("word_idx"),
-             F.min(F.when(other, F.col("pos"))).alias("asr_idx"))
+             F.min(F.when(other, F.col("pos"))).alias("asr_idx"),
+             F.max("times").alias("times"))
         .where((F.col("_n") == 1) & (F.col("_m") == 1))
-        .select("script_id", "word_idx", "asr_idx")
+        .select("script_id", "word_idx", "asr_idx", "times")
     )
     per_word = (
         _monotone(anchors)
-        .select("script_id", "word_idx", "asr_idx", F.explode(F.array(*[F.lit(k) for k in range(GRAM)])).alias("_k"))
+        .select("script_id", "word_idx", "asr_idx", F.posexplode("times").alias("_k", "_t"))
         .groupBy("script_id", (F.col("word_idx") + F.col("_k")).alias("word_idx"))
-        .agg(F.min(F.col("asr_idx") + F.col("_k")).alias("asr_idx"))
+        .agg(F.min(F.struct(
+            (F.col("asr_idx") + F.col("_k")).alias("asr_idx"), "_t.start_ms", "_t.end_ms")).alias("_m"))
+        .select("script_id", "word_idx", "_m.*")
     )
     return _monotone(per_word)
 
 
-def align_words(words: DataFrame, asr: DataFrame) -> DataFrame:
-    """Add matched, start_ms and end_ms to script words; unmatched stay null."""
-    hits = match_words(words, asr).join(
-        asr.select("script_id", "asr_idx", "start_ms", "end_ms"), ["script_id", "asr_idx"]
-    )
-    return words.join(
-        hits.select("script_id", "word_idx", "start_ms", "end_ms"), ["script_id", "word_idx"], "left"
-    ).withColumn("matched", F.col("start_ms").isNotNull())
-
-
-def fill_gaps(aligned: DataFrame, asr: DataFrame) -> DataFrame:
-    """Times for unmatched words, in proportion between the matched words around them.
+def align_words(scripts: DataFrame, asr: DataFrame) -> DataFrame:
+    """(script_id, word_idx, sent_idx, token, matched, start_ms, end_ms) for every script word.
 
-    The first word of a gap starts one step after the left word's end. Scripts without any
-    match give no rows.
+    Unmatched words between matched ones share the time between them in proportion; the
+    first word of a gap starts one step after the left word's end. Scripts without any match
+    give no rows. Words and hits are laid on one line per script and read by windows, so the
+    words are shuffled once and joined to nothing.
     """
-    total = asr.groupBy("script_id").agg(F.max_by("end_ms", "asr_idx").alias("_total"))
-    w = Window.partitionBy("script_id").orderBy("word_idx")
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    idx = F.when(F.col("matched"), F.col("word_idx"))
-    out = (
-        aligned.select(
-            "*",
-            F.last(idx, ignorenulls=True).over(back).alias("_lo"),
-            F.first(idx, ignorenulls=True).over(ahead).alias("_hi"),
-            F.last("end_ms", ignorenulls=True).over(back).alias("_t0"),
-            F.first("start_ms", ignorenulls=True).over(ahead).alias("_t1"),
-            F.max("word_idx").over(Window.partitionBy("script_id")).alias("_n"),
-        )
-        .where(F.col("_lo").isNotNull() | F.col("_hi").isNotNull())
-        .join(total, "script_id")
-    )
+    words = script_words(scripts)
+    hits = match_words(scripts, asr)
+    final = asr.groupBy("script_id").agg(F.max_by("end_ms", "asr_idx").alias("_total"))
+    none = F.lit(None)
+    line = words.select(
+        "script_id", "word_idx", "sent_idx", "token", F.lit(1).alias("_side"),
+        none.cast("struct<at:bigint,start_ms:bigint,end_ms:bigint>").alias("_hit"),
+        none.cast("bigint").alias("_total"),
+    ).unionByName(hits.select(
+        "script_id", "word_idx", none.cast("bigint").alias("sent_idx"), none.cast("string").alias("token"),
+        F.lit(0).alias("_side"),
+        F.struct(F.col("word_idx").alias("at"), F.col("start_ms").cast("bigint").alias("start_ms"),
+                 F.col("end_ms").cast("bigint").alias("end_ms")).alias("_hit"),
+        none.cast("bigint").alias("_total"),
+    )).unionByName(final.select(
+        "script_id", F.lit(-1).cast("bigint").alias("word_idx"), none.cast("bigint").alias("sent_idx"),
+        none.cast("string").alias("token"), F.lit(0).alias("_side"),
+        none.cast("struct<at:bigint,start_ms:bigint,end_ms:bigint>").alias("_hit"), F.col("_total"),
+    ))
+    script = Window.partitionBy("script_id")
+    back = script.orderBy("word_idx", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = script.orderBy(F.col("word_idx").desc(), F.col("_side").desc()).rowsBetween(
+        Window.unboundedPreceding, 0)
+    seen = line.select(
+        "script_id", "word_idx", "sent_idx", "token", "_side",
+        F.last("_hit", ignorenulls=True).over(back).alias("_lo"),
+        F.last("_hit", ignorenulls=True).over(ahead).alias("_hi"),
+        F.max("word_idx").over(script).alias("_n"),
+        F.max("_total").over(script).alias("_end"),
+    ).where((F.col("_side") == 1) & (F.col("_lo").isNotNull() | F.col("_hi").isNotNull()))
+    matched = F.coalesce(F.col("_lo.at") == F.col("word_idx"), F.lit(False))
     tail = F.when(F.col("_n") == 0, F.lit(1)).otherwise(F.col("_n"))
-    lo, hi = F.coalesce("_lo", F.lit(0)), F.coalesce("_hi", tail)
-    t0 = F.coalesce("_t0", F.lit(0)).cast("double")
-    t1 = F.coalesce("_t1", "_total").cast("double")
+    lo, hi = F.coalesce("_lo.at", F.lit(0)), F.coalesce("_hi.at", tail)
+    t0 = F.coalesce("_lo.end_ms", F.lit(0)).cast("double")
+    t1 = F.coalesce("_hi.start_ms", "_end").cast("double")
     steps = F.greatest(hi - lo, F.lit(1)).cast("double")
     at = (F.col("word_idx") - lo).cast("double")
 
     def spread(k: int) -> Column:
         return F.round(t0 + (t1 - t0) * ((at + F.lit(float(k))) / steps), 3)
 
-    return out.select(
+    return seen.withColumn("matched", matched).select(
         "script_id",
         "word_idx",
         "sent_idx",
         "token",
         "matched",
-        F.when(F.col("matched"), F.col("start_ms").cast("double")).otherwise(spread(0)).alias("start_ms"),
-        F.when(F.col("matched"), F.col("end_ms").cast("double")).otherwise(spread(1)).alias("end_ms"),
+        F.when(F.col("matched"), F.col("_lo.start_ms").cast("double")).otherwise(spread(0)).alias("start_ms"),
+        F.when(F.col("matched"), F.col("_lo.end_ms").cast("double")).otherwise(spread(1)).alias("end_ms"),
     )
 
 
-def alignment_rate(aligned: DataFrame) -> DataFrame:
-    """Matched words, all words and their ratio per script."""
-    return aligned.groupBy("script_id").agg(
-        F.count_if("matched").alias("n_matched"),
-        F.count(F.lit(1)).alias("n_words"),
-        F.round(F.avg(F.col("matched").cast("int")), 6).alias("rate"),
+def alignment_rate(spans: DataFrame) -> DataFrame:
+    """Matched words, all words and their ratio per script, from spans with n_matched."""
+    hits, n = F.sum("n_matched"), F.sum("n_words")
+    return spans.groupBy("script_id").agg(
+        hits.alias("n_matched"), n.alias("n_words"), F.round(hits / n, 6).alias("rate")
     )
 
 
 def sentence_spans(word_times: DataFrame) -> DataFrame:
-    """First word's start to last word's end per sentence; the first one starts at 0."""
-    return word_times.groupBy("script_id", "sent_idx").agg(
-        F.min_by("start_ms", "word_idx").alias("_start"), F.max_by("end_ms", "word_idx").alias("end_ms"),
+    """First word's start to last word's end per sentence; the first one starts at 0.
+
+    Also first_word, n_words and, where words carry ``matched``, n_matched.
+    """
+    matched = [F.count_if("matched").alias("n_matched")] if "matched" in word_times.columns else []
+    spans = word_times.groupBy("script_id", "sent_idx").agg(
+        F.min_by("start_ms", "word_idx").alias("start_ms"),
+        F.max_by("end_ms", "word_idx").alias("end_ms"),
+        F.min("word_idx").alias("first_word"),
         F.count(F.lit(1)).alias("n_words"),
-    ).select(
-        "script_id", "sent_idx",
-        F.when(F.col("sent_idx") == 0, F.lit(0)).otherwise(F.col("_start")).alias("start_ms"),
-        "end_ms", "n_words",
+        *matched,
     )
+    return spans.withColumn(
+        "start_ms", F.when(F.col("sent_idx") == 0, F.lit(0)).otherwise(F.col("start_ms")))
 
 
-def speaking_pace(word_times: DataFrame) -> DataFrame:
-    """Words per second up to the last word's end."""
-    last_end = F.max_by("end_ms", "word_idx") / 1000.0
-    return word_times.groupBy("script_id").agg(
-        F.count(F.lit(1)).alias("n_words"),
-        F.round(F.count(F.lit(1)) / F.greatest(last_end, F.lit(1e-6)), 6).alias("pace"),
+def speaking_pace(spans: DataFrame) -> DataFrame:
+    """Words per second up to the last sentence's end, from sentence spans."""
+    last_end = F.max_by("end_ms", "sent_idx") / 1000.0
+    n = F.sum("n_words")
+    return spans.groupBy("script_id").agg(
+        n.alias("n_words"), F.round(n / F.greatest(last_end, F.lit(1e-6)), 6).alias("pace")
     )
 
 
@@ -181,25 +221,34 @@ def timed_scene_index(spans: DataFrame, target_ms: int = lx.TARGET_SCENE_MS) ->
     return ordered_scan(spans, ["script_id"], ["sent_idx"], ["start_ms", "end_ms"], adds, step)
 
 
-def bucket_timed_scenes(sentences: DataFrame, spans: DataFrame,
+def bucket_timed_scenes(scripts: DataFrame, spans: DataFrame,
                         target_ms: int = lx.TARGET_SCENE_MS, check: bool = False) -> DataFrame:
-    """Scenes from spoken sentence times; each ends where the next begins."""
-    if check and not span_mismatches(sentences, spans).isEmpty():
+    """Scenes from spoken sentence times; each ends where the next begins.
+
+    The scenes of a script, a few numbers each, travel to its text, which is cut in its row.
+    """
+    if check and not span_mismatches(split_sentences(scripts), spans).isEmpty():
         raise SpanMismatch("sentences and time spans differ in number")
-    joined = timed_scene_index(spans, target_ms).join(
-        sentences.select("script_id", "sent_idx", "text"), ["script_id", "sent_idx"]
-    )
-    scenes = joined.groupBy("script_id", "scene_idx").agg(
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("sent_idx", "text"))), lambda s: s["text"]), " ").alias("text"),
+    scenes = timed_scene_index(spans, target_ms).groupBy("script_id", "scene_idx").agg(
         F.min_by("start_ms", "sent_idx").alias("start_ms"),
         F.max_by("end_ms", "sent_idx").alias("end_ms"),
         F.min("sent_idx").alias("first_sent"),
         F.count(F.lit(1)).alias("n_sents"),
+        F.min("first_word").alias("first_word"),
         F.sum("n_words").alias("n_words"),
     )
     w = Window.partitionBy("script_id").orderBy("scene_idx")
-    return scenes.withColumn("end_ms", F.coalesce(F.lead("start_ms").over(w), "end_ms"))
+    tiled = scenes.withColumn("end_ms", F.coalesce(F.lead("start_ms").over(w), "end_ms"))
+    names = [c for c in tiled.columns if c != "script_id"]
+    whole = tiled.groupBy("script_id").agg(F.collect_list(F.struct(*names)).alias("_scenes"))
+    first, size = F.col("_x.first_sent").cast("int"), F.col("_x.n_sents").cast("int")
+    return (
+        scripts.join(whole, "script_id")
+        .select("script_id", tx.sentences(F.col("text")).alias("_s"), "_scenes")
+        .select("script_id", "_s", F.explode("_scenes").alias("_x"))
+        .select("script_id", F.array_join(F.slice("_s", first + 1, size), " ").alias("text"),
+                *[F.col(f"_x.{c}").alias(c) for c in names])
+    )
 
 
 def scene_word_times(scenes: DataFrame, word_times: DataFrame) -> DataFrame:
@@ -209,23 +258,15 @@ def scene_word_times(scenes: DataFrame, word_times: DataFrame) -> DataFrame:
     join, so no word meets a scene it is not in.
     """
     sents = scenes.select(
-        "script_id", "scene_idx", F.col("start_ms").alias("_origin"), "first_sent",
+        "script_id", "scene_idx", F.col("start_ms").alias("_origin"), "first_word",
         F.explode(F.sequence("first_sent", F.col("first_sent") + F.col("n_sents") - 1)).alias("sent_idx"),
     )
-    first = Window.partitionBy("script_id", "scene_idx")
-    return (
-        word_times.join(sents, ["script_id", "sent_idx"])
-        .withColumn("token_idx", F.col("word_idx") - F.min("word_idx").over(first))
-        .select(
-            "script_id", "scene_idx", "token_idx", "word_idx", "token",
-            F.greatest(F.lit(0), F.col("start_ms") - F.col("_origin")).alias("start_ms"),
-            F.greatest(F.lit(50), F.col("end_ms") - F.col("_origin")).alias("end_ms"),
-        )
+    return word_times.drop("first_word").join(sents, ["script_id", "sent_idx"]).select(
+        "script_id",
+        "scene_idx",
+        (F.col("word_idx") - F.col("first_word")).alias("token_idx"),
+        "word_idx",
+        "token",
+        F.greatest(F.lit(0), F.col("start_ms") - F.col("_origin")).alias("start_ms"),
+        F.greatest(F.lit(50), F.col("end_ms") - F.col("_origin")).alias("end_ms"),
     )
-
-
-__all__ = [
-    "align_words", "alignment_rate", "bucket_timed_scenes", "fill_gaps", "match_words",
-    "scene_word_times", "script_words", "sentence_spans", "span_mismatches", "speaking_pace",
-    "split_sentences", "timed_scene_index",
-]

@@ -42,16 +42,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column,
-                value: Column, name: str, peers: bool = False) -> DataFrame:
+                value: Column, name: str, peers: bool = False, total: str | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` per key. ``block`` must rise with ``order``.
 
-    With ``peers`` rows equal in ``order`` share the sum, as a RANGE frame does.
+    With ``peers`` rows equal in ``order`` share the sum, as a RANGE frame does. ``total``
+    names a column for the key's whole sum, which the block table gives for free.
     """
     blocked = df.withColumn("_blk", block).withColumn("_val", value)
     totals = blocked.groupBy(*keys, "_blk").agg(F.sum("_val").alias("_tot"))
-    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum("_tot").over(whole).alias(total)] if total else []
     before = totals.select(
-        *keys, "_blk", F.coalesce(F.sum("_tot").over(earlier), F.lit(0)).alias("_before")
+        *keys, "_blk", F.coalesce(F.sum("_tot").over(earlier), F.lit(0)).alias("_before"), *extra
     )
     inside = Window.partitionBy(*keys, "_blk").orderBy(*order)
     start = Window.unboundedPreceding
@@ -105,15 +108,13 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, b
                      name: str) -> DataFrame:
     """Linear-interpolated percentile per key, from counted values and blocked ranks."""
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sum(counted, keys, [value], block, F.col("_n"), "_cum")
-    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    ranked = running_sum(counted, keys, [value], block, F.col("_n"), "_cum", total="_size")
     at = (F.col("_size") - 1) * F.lit(q)
     low, high = F.floor(at), F.ceil(at)
     return (
-        ranked.join(size, list(keys))
-        .groupBy(*keys)
+        ranked.groupBy(*keys)
         .agg(
-            F.first("_size").alias("_size"),
+            F.max("_size").alias("_size"),
             F.min(F.when(F.col("_cum") > low, F.col(value))).alias("_lo"),
             F.min(F.when(F.col("_cum") > high, F.col(value))).alias("_hi"),
         )

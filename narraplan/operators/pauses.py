@@ -163,12 +163,12 @@ def bound_targets(sentences: DataFrame, totals: DataFrame) -> DataFrame:
 
     Bound k closes sentence k; the last sentence closes with the recording.
     """
-    upto = Window.partitionBy("rec_id").orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("rec_id")
+    script = Window.partitionBy("rec_id")
+    upto = script.orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, 0)
     return (
         sentences.withColumn("_words", F.sum("n_words").over(upto))
-        .withColumn("_all", F.sum("n_words").over(whole))
-        .withColumn("_last", F.max("sent_idx").over(whole))
+        .withColumn("_all", F.sum("n_words").over(script))
+        .withColumn("_last", F.max("sent_idx").over(script))
         .where(F.col("sent_idx") < F.col("_last"))
         .join(totals, "rec_id")
         .select(

@@ -86,8 +86,10 @@ def event_frames(spark, sf) -> DataFrame:
     numbered = ordered.row_positions(
         ev, ["rec_id"], ["us", "event_id"], F.floor(F.col("us") / F.lit(TIME_BLOCK_US)), "_n"
     )
-    return numbered.select("rec_id", (F.col("_n") - 1).alias("frame_no"),
-                           (F.col("value") / 500.0).alias("rms"))
+    frames = numbered.select("rec_id", (F.col("_n") - 1).alias("frame_no"),
+                             (F.col("value") / 500.0).alias("rms"))
+    # stands for a stored table: its readers should not number the events again
+    return ordered.cut_lineage(frames)
 
 
 def event_samples(spark, sf) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import alignment, captions, catalog, concepts, cues, pauses, requests, scripts
+from ..operators.ordered import cut_lineage
 from ..sources import sinks
 
 
@@ -28,13 +29,17 @@ def script_plan(corpus: DataFrame, table, alternates) -> DataFrame:
 
 def transcript_plan(corpus: DataFrame, asr: DataFrame,
                     target_ms: int = lx.TARGET_SCENE_MS) -> DataFrame:
-    """Scenes on spoken time with the script's pace and share of matched words."""
-    aligned = alignment.fill_gaps(alignment.align_words(scripts.script_words(corpus), asr), asr)
-    spans = alignment.sentence_spans(aligned)
-    scenes = alignment.bucket_timed_scenes(scripts.split_sentences(corpus), spans, target_ms)
-    per_script = alignment.speaking_pace(aligned).join(
-        alignment.alignment_rate(aligned).select("script_id", "rate"), "script_id"
-    ).select("script_id", "pace", "rate")
+    """Scenes on spoken time with the script's pace and share of matched words.
+
+    The sentence spans feed three readers, so they are written once; they are small beside
+    the words they come from.
+    """
+    spans = cut_lineage(alignment.sentence_spans(alignment.align_words(corpus, asr)))
+    scenes = alignment.bucket_timed_scenes(corpus, spans, target_ms)
+    per_script = spans.groupBy("script_id").agg(
+        F.round(F.sum("n_words") / F.greatest(F.max_by("end_ms", "sent_idx") / 1000.0, F.lit(1e-6)), 6).alias("pace"),
+        F.round(F.sum("n_matched") / F.sum("n_words"), 6).alias("rate"),
+    )
     return scenes.join(per_script, "script_id")
 
 
@@ -126,7 +131,8 @@ def caption_schedule(scenes: DataFrame, word_times: DataFrame | None = None) ->
 
 def pause_plan(sentences: DataFrame, frames: DataFrame, frame_ms: int, min_silence_ms: int) -> DataFrame:
     """Frames and sentences of a recording to sentence times snapped to its pauses."""
-    quiet = pauses.detect_silences(frames, pauses.silence_thresholds(frames), frame_ms, min_silence_ms)
+    levels = cut_lineage(pauses.silence_thresholds(frames))
+    quiet = cut_lineage(pauses.detect_silences(frames, levels, frame_ms, min_silence_ms))
     return pauses.pause_aligned_spans(sentences, quiet, pauses.recordings(frames, frame_ms))
 
 

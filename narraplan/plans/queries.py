@@ -331,7 +331,8 @@ def j7_shot_list(spark, sf):
 
 
 def j8_sentence_spans(spark, sf):
-    return alignment.sentence_spans(fx.word_times(spark, sf))
+    return alignment.sentence_spans(fx.word_times(spark, sf)).select(
+        "script_id", "sent_idx", "start_ms", "end_ms", "n_words")
 
 
 def j9_scene_word_times(spark, sf):
@@ -340,11 +341,14 @@ def j9_scene_word_times(spark, sf):
 
 
 def j10_alignment(spark, sf):
-    return alignment.match_words(scripts.script_words(fx.corpus(spark, sf)), fx.asr_words(spark, sf))
+    return alignment.match_words(fx.corpus(spark, sf), fx.asr_words(spark, sf)).select(
+        "script_id", "word_idx", "asr_idx")
 
 
 def _silences(spark, sf, frames):
-    return pauses.detect_silences(frames, pauses.silence_thresholds(frames), fx.FRAME_MS, 2 * fx.FRAME_MS)
+    levels = ordered.cut_lineage(pauses.silence_thresholds(frames))
+    return ordered.cut_lineage(
+        pauses.detect_silences(frames, levels, fx.FRAME_MS, 2 * fx.FRAME_MS))
 
 
 def _rec_sentences(spark, sf):
@@ -440,7 +444,7 @@ def a3_scene_totals(spark, sf):
 
 
 def a4_speaking_pace(spark, sf):
-    return alignment.speaking_pace(fx.word_times(spark, sf))
+    return alignment.speaking_pace(alignment.sentence_spans(fx.word_times(spark, sf)))
 
 
 def a5_mean_similarity(spark, sf):
@@ -480,11 +484,11 @@ def a10_plan_counters(spark, sf):
 
 
 def a11_alignment_rate(spark, sf):
-    return alignment.alignment_rate(_aligned(spark, sf))
+    return alignment.alignment_rate(alignment.sentence_spans(_aligned(spark, sf)))
 
 
 def _aligned(spark, sf):
-    return alignment.align_words(scripts.script_words(fx.corpus(spark, sf)), fx.asr_words(spark, sf))
+    return alignment.align_words(fx.corpus(spark, sf), fx.asr_words(spark, sf))
 
 
 # -- windows ---------------------------------------------------------------------
@@ -515,7 +519,7 @@ def w5_silences(spark, sf):
 
 
 def w6_gap_filling(spark, sf):
-    return alignment.fill_gaps(_aligned(spark, sf), fx.asr_words(spark, sf)).select(
+    return _aligned(spark, sf).select(
         "script_id", "word_idx", "matched", "start_ms", "end_ms")
 
 
@@ -632,7 +636,7 @@ def g1_scene_bucketing(spark, sf):
 
 def g2_timed_bucketing(spark, sf):
     spans = alignment.sentence_spans(fx.word_times(spark, sf))
-    return alignment.bucket_timed_scenes(scripts.split_sentences(fx.corpus(spark, sf)), spans).select(
+    return alignment.bucket_timed_scenes(fx.corpus(spark, sf), spans).select(
         "script_id", "scene_idx", "text", "start_ms", "end_ms", "n_sents")
 
 
