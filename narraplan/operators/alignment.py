@@ -32,7 +32,8 @@ def _script_grams(scripts: DataFrame) -> DataFrame:
         return F.when(full, F.struct(i.cast("bigint").alias("pos"), F.concat_ws(" ", *parts).alias("gram")))
 
     grams = F.when(F.size("_w") >= GRAM, F.array_compact(F.transform(span, gram)))
-    return words.select("script_id", F.explode(grams).alias("g")).select("script_id", "g.pos", "g.gram")
+    opened = words.select("script_id", F.explode_outer(grams).alias("g"))
+    return opened.where(F.col("g").isNotNull()).select("script_id", "g.pos", "g.gram")
 
 
 def _heard_grams(asr: DataFrame) -> DataFrame:

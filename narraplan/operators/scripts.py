@@ -1,4 +1,8 @@
-"""Scripts to sentences, words and timed scenes. One row per script in, no shuffle."""
+"""Scripts to sentences, words and timed scenes. One row per script in, no shuffle.
+
+Arrays made from text are opened with the outer form of explode: for the plain form the
+optimizer infers a filter on the array and so would make it twice.
+"""
 
 from __future__ import annotations
 
@@ -15,8 +19,8 @@ from ..functions import text as tx
 def split_sentences(scripts: DataFrame) -> DataFrame:
     """(script_id, text) to (script_id, sent_idx, text, n_words)."""
     return scripts.select(
-        "script_id", F.posexplode(tx.sentences(F.col("text"))).alias("sent_idx", "text")
-    ).select(
+        "script_id", F.posexplode_outer(tx.sentences(F.col("text"))).alias("sent_idx", "text")
+    ).where(F.col("text").isNotNull()).select(
         "script_id",
         F.col("sent_idx").cast("bigint").alias("sent_idx"),
         "text",
@@ -31,8 +35,8 @@ def script_words(scripts: DataFrame) -> DataFrame:
         lambda s, i: F.transform(tx.tokens(s), lambda t: F.struct(i.alias("s"), t.alias("t"))),
     )
     return scripts.select(
-        "script_id", F.posexplode(F.flatten(per_sentence)).alias("word_idx", "w")
-    ).select(
+        "script_id", F.posexplode_outer(F.flatten(per_sentence)).alias("word_idx", "w")
+    ).where(F.col("w").isNotNull()).select(
         "script_id",
         F.col("word_idx").cast("bigint").alias("word_idx"),
         F.col("w.s").cast("bigint").alias("sent_idx"),
@@ -53,7 +57,6 @@ def bucket_scenes(scripts: DataFrame, target_ms: int = lx.TARGET_SCENE_MS,
     ).withColumn(
         "_span", folds.scene_spans(F.transform("_s", lambda s: tx.word_count(s)), limit)
     )
-    # the outer form keeps the optimizer from inferring a filter that would run the fold twice
     scenes = with_spans.select(
         "script_id", *keep, "_s", F.posexplode_outer("_span").alias("scene_idx", "_x")
     ).where(F.col("_x").isNotNull())

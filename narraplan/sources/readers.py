@@ -53,7 +53,8 @@ def transcript_words(transcripts: DataFrame) -> DataFrame:
             x["end"].alias("end"))),
         lambda x: x["word"] != "",
     )
-    return parsed.select("script_id", F.posexplode(trimmed).alias("asr_idx", "x")).select(
+    opened = parsed.select("script_id", F.posexplode_outer(trimmed).alias("asr_idx", "x"))
+    return opened.where(F.col("x").isNotNull()).select(
         "script_id",
         F.col("asr_idx").cast("bigint").alias("asr_idx"),
         F.col("x.word").alias("token"),
@@ -76,7 +77,7 @@ def catalog_a(payloads: DataFrame) -> DataFrame:
     Takes the landscape mp4 rendition nearest the target width, the first on ties; videos
     without one are dropped.
     """
-    video = payloads.select(F.explode(F.from_json("payload", PAYLOAD_A)["videos"]).alias("v"))
+    video = payloads.select(F.explode_outer(F.from_json("payload", PAYLOAD_A)["videos"]).alias("v"))
     usable = F.filter("v.video_files", lambda f: (
         (f["file_type"] == "video/mp4") & (f["width"] > 0) & (f["height"] > 0)
         & (f["width"] > f["height"])
@@ -110,7 +111,7 @@ def catalog_a(payloads: DataFrame) -> DataFrame:
 
 def catalog_b(payloads: DataFrame) -> DataFrame:
     """Nested payload B to catalogue rows: the large rendition, else the medium one."""
-    hit = payloads.select(F.explode(F.from_json("payload", PAYLOAD_B)["hits"]).alias("h"))
+    hit = payloads.select(F.explode_outer(F.from_json("payload", PAYLOAD_B)["hits"]).alias("h"))
     return (
         hit.withColumn("_f", F.coalesce("h.videos.large", "h.videos.medium"))
         .where((F.col("_f.url") != "")
@@ -135,8 +136,8 @@ def union_catalogs(a: DataFrame, b: DataFrame) -> DataFrame:
 def plan_entries(plans: DataFrame) -> DataFrame:
     """(script_id, plan JSON array) to rows with their position, which is what edits join on."""
     rows = plans.select(
-        "script_id", F.posexplode(F.from_json("plan", T.ArrayType(PLAN_ROW))).alias("pos", "p")
-    )
+        "script_id", F.posexplode_outer(F.from_json("plan", T.ArrayType(PLAN_ROW))).alias("pos", "p")
+    ).where(F.col("p").isNotNull())
     return rows.select("script_id", F.col("pos").cast("bigint").alias("plan_pos"), "p.*")
 
 
