@@ -90,15 +90,22 @@ def key_term(text: Column, terms: Sequence[str] = lx.KEY_TERMS,
     return F.coalesce(*known, _name_like(text, stop))
 
 
+def _with_previous(toks: Column) -> Column:
+    """ARRAY<STRUCT<w, prev>>; the first token's prev is empty.
+
+    Zipped, not looked up by index: a lambda would make the token array anew per element.
+    """
+    shifted = F.concat(F.array(F.lit("")), toks)
+    pairs = F.zip_with(toks, shifted, lambda w, p: F.struct(w.alias("w"), p.alias("prev")))
+    return F.filter(pairs, lambda s: s["w"].isNotNull())
+
+
 def _name_like(text: Column, stop: Sequence[str]) -> Column:
     toks = tokens(text)
     # most tokens fail the capital test, so only the survivors are cleaned
     capital = F.filter(
-        F.transform(
-            toks,
-            lambda w, i: F.struct(w.alias("w"), F.get(toks, i - 1).alias("prev"), i.alias("i")),
-        ),
-        lambda s: (s["i"] > 0)
+        _with_previous(toks),
+        lambda s: (s["prev"] != "")
         & s["w"].rlike("^[^A-Za-z]*[A-Z]")
         & ~s["prev"].rlike("[.!?]$"),
     )
@@ -111,11 +118,8 @@ def proper_noun(text: Column, stop: Sequence[str] = lx.CALLOUT_STOP) -> Column:
     """First capitalised all-letter word that does not open a sentence, upper-cased."""
     toks = tokens(text)
     inner = F.filter(
-        F.transform(
-            toks,
-            lambda w, i: F.struct(w.alias("w"), F.get(toks, i - 1).alias("prev"), i.alias("i")),
-        ),
-        lambda s: (s["i"] > 0) & s["w"].rlike(r"\p{Lu}") & ~s["prev"].rlike(r"""[.!?"]$"""),
+        _with_previous(toks),
+        lambda s: (s["prev"] != "") & s["w"].rlike(r"\p{Lu}") & ~s["prev"].rlike(r"""[.!?"]$"""),
     )
     words = F.transform(inner, lambda s: F.regexp_replace(s["w"], NOT_WORD, ""))
     good = F.filter(words, lambda w: w.rlike(r"^\p{Lu}\p{L}{2,}$") & ~w.isin(list(stop)))

@@ -51,7 +51,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def corpus(spark, sf) -> DataFrame:
-    return readers.scripts_from(table(spark, sf, "documents"))
+    return readers.spread(readers.scripts_from(table(spark, sf, "documents")))
 
 
 def scenes(spark, sf) -> DataFrame:

@@ -44,6 +44,17 @@ def scripts_from(table: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return table.select(F.col(key).alias("script_id"), F.col(text).alias("text"))
 
 
+def spread(scripts: DataFrame) -> DataFrame:
+    """Hash scripts over all cores if their files give fewer partitions than cores.
+
+    Text work costs far more than moving a small input once. A large input is left as read.
+    """
+    cores = scripts.sparkSession.sparkContext.defaultParallelism
+    if scripts.rdd.getNumPartitions() >= cores:
+        return scripts
+    return scripts.repartition(cores, "script_id")
+
+
 def transcript_words(transcripts: DataFrame) -> DataFrame:
     """(script_id, words JSON string) to (script_id, asr_idx, token, start_ms, end_ms)."""
     parsed = transcripts.select("script_id", F.from_json("words", TRANSCRIPT).alias("w"))
