@@ -670,7 +670,8 @@ def g7_bound_clamp(spark, sf):
 
 
 def st1_request_rate(spark, sf):
-    return jobs.run_request_rate(spark, sf, window_s=3600, slide_s=1800, limit=fx.RATE_MAX)
+    rates = jobs.run_request_rate(spark, sf, window_s=3600, slide_s=1800, limit=fx.RATE_MAX)
+    return rates.select("provider", F.unix_seconds("window_start").alias("window_start_s"), "n", "alert")
 
 
 def st2_budget_count(spark, sf):
