@@ -348,9 +348,10 @@ SIMS = """, n_clips AS (SELECT max(vec_id) // 3 + 1 AS n, max(vec_id) + 1 AS v F
   SELECT source, video_id, embedding::DOUBLE[] AS fv FROM clips, n_clips
   JOIN embeddings ON vec_id // 3 = source_rank % n)
 , sims AS MATERIALIZED (
-  SELECT p.query, p.source, p.video_id, round(avg(list_cosine_similarity(qv, fv)), 4) AS sim
-  FROM (SELECT DISTINCT query, source, video_id FROM top) p
-  LEFT JOIN qvec USING (query) LEFT JOIN fvec USING (source, video_id) GROUP BY ALL)"""
+  SELECT query, source, video_id, CASE WHEN sim = 0 THEN 0.0 ELSE sim END AS sim FROM (
+    SELECT p.query, p.source, p.video_id, round(avg(list_cosine_similarity(qv, fv)), 4) AS sim
+    FROM (SELECT DISTINCT query, source, video_id FROM top) p
+    LEFT JOIN qvec USING (query) LEFT JOIN fvec USING (source, video_id) GROUP BY ALL))"""
 WEAK = """, weak AS MATERIALIZED (
   SELECT l.script_id, l.scene_idx, l.group_rank, s.*, row_number() OVER (
     PARTITION BY l.script_id, l.scene_idx ORDER BY score DESC, group_rank, result_no) AS pref
@@ -615,7 +616,7 @@ ORACLE: dict[str, str] = {
       round(sum(end_ms - start_ms) / 60000.0, 2) AS minutes FROM scenes GROUP BY script_id"""),
     "a4_speaking_pace": _with(SENTS + WORDS, """SELECT script_id, count(*) AS n_words,
       round(count(*) / greatest(max(end_ms) / 1000.0::DOUBLE, 1e-6), 6) AS pace FROM word_times GROUP BY script_id"""),
-    "a5_mean_similarity": _with(CATALOG + SIMS, "SELECT query, count(sim) AS n_clips, round(avg(sim), 4) AS mean_sim FROM sims GROUP BY query"),
+    "a5_mean_similarity": _with(CATALOG + SIMS, "SELECT query, count(sim) AS n_clips, round(avg(sim), 10) AS mean_sim FROM sims GROUP BY query"),
     "a6_speech_totals": _with(FRAMES, "SELECT * FROM totals"),
     "a7_threshold": _with(FRAMES, "SELECT rec_id, round(threshold_db, 6) AS threshold_db FROM thresholds"),
     "a8_frame_energy": _with(FRAMES, """SELECT rec_id, frame_no, round(r, 8) AS rms, round(20 * log10(r + 1e-12), 6) AS db FROM (
@@ -661,7 +662,8 @@ ORACLE: dict[str, str] = {
         WHERE o_custkey = l.script_id AND l_partkey::VARCHAR = t.video_id) GROUP BY ALL"""),
     "u4_shared_words": _with(CATALOG, """SELECT script_id, scene_idx, group_rank, array_to_string(list_filter(q.qw2,
       lambda w: list_contains(regexp_split_to_array(lower(text), '[^a-z]+'), w)), '|') AS shared
-      FROM ladder JOIN (SELECT query, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: length(w) > 2) AS qw2 FROM queries) q USING (query)"""),
+      FROM ladder JOIN (SELECT query, list_filter(qt, lambda w, i: list_position(qt, w) = i) AS qw2 FROM (
+        SELECT query, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: length(w) > 2) AS qt FROM queries)) q USING (query)"""),
     "g1_scene_bucketing": _with(SCENES, "SELECT script_id, scene_idx, text, n_sents, n_words, start_ms, end_ms FROM scenes"),
     "g2_timed_bucketing": _with(SENTS + WORDS + SPANS + TIMED_FOLD, "SELECT script_id, scene_idx, text, start_ms, end_ms, n_sents FROM timed_scenes"),
     "g3_caption_chunks": _with(SCENES + CAPTION_TOKENS, """SELECT script_id, scene_idx, chunk_idx, min(token_idx) AS first_token,

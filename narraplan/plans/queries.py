@@ -450,7 +450,7 @@ def a4_speaking_pace(spark, sf):
 def a5_mean_similarity(spark, sf):
     """Mean similarity of every query's candidates."""
     return j13_similarity(spark, sf).groupBy("query").agg(
-        F.count("sim").alias("n_clips"), F.round(F.avg("sim"), 4).alias("mean_sim"))
+        F.count("sim").alias("n_clips"), F.round(F.avg("sim"), 10).alias("mean_sim"))
 
 
 def a6_speech_totals(spark, sf):
