@@ -2,7 +2,8 @@
 
 Scenes repeat their queries heavily, so every expensive step runs on distinct values:
 overlap on distinct queries against distinct token sets, scores on distinct
-(query, needed length), similarity on distinct (query, clip).
+(query, needed length), similarity on distinct (query, clip), preference lists on distinct
+scene signatures.
 """
 
 from __future__ import annotations
@@ -178,8 +179,26 @@ def frame_similarity(pairs: DataFrame, query_emb: DataFrame, frame_emb: DataFram
 # -- picks -----------------------------------------------------------------------
 
 
-def similarity_preferences(candidates: DataFrame) -> DataFrame:
-    """Order a scene's top candidates by what their frames show; adds tier and pref.
+def signed(scenes: DataFrame) -> DataFrame:
+    """Add sig: scenes with equal keywords, provider order and needed length share it.
+
+    Everything a scene's choices depend on is in its signature, so choices are made once
+    per signature, however many scenes carry it.
+    """
+    parity = F.pmod(F.col("scene_idx"), F.lit(2))
+    return scenes.withColumn(
+        "sig", F.concat_ws("\u0001", "keywords", parity.cast("string"), F.col("needed_ms").cast("string")))
+
+
+def signatures(scenes: DataFrame) -> DataFrame:
+    """Distinct (sig, keywords, scene_idx, needed_ms); scene_idx stands for its parity."""
+    return signed(scenes).select(
+        "sig", "keywords", F.pmod(F.col("scene_idx"), F.lit(2)).alias("scene_idx"), "needed_ms"
+    ).distinct()
+
+
+def similarity_preferences(candidates: DataFrame, keys: Sequence[str] = ("sig",)) -> DataFrame:
+    """Order the top candidates of ``keys`` by what their frames show; adds tier and pref.
 
     strong: the best of the first group that has a strong match; ok: the best seen anywhere
     above the minimum; low: the best of the rest. Candidates without a frame are skipped.
@@ -189,7 +208,7 @@ def similarity_preferences(candidates: DataFrame) -> DataFrame:
         .when(F.col("sim") >= lx.MIN_SIMILARITY, F.lit(1)).otherwise(F.lit(2))
     )
     group = F.when(F.col("_tier") == 0, F.col("group_rank")).otherwise(F.lit(-1))
-    w = Window.partitionBy("script_id", "scene_idx").orderBy(
+    w = Window.partitionBy(*keys).orderBy(
         "_tier", group, F.col("sim").desc(), "group_rank", "cand_rank"
     )
     return (
@@ -202,109 +221,105 @@ def similarity_preferences(candidates: DataFrame) -> DataFrame:
     )
 
 
-def text_preferences(candidates: DataFrame) -> DataFrame:
-    """Order a scene's passing candidates without similarity: first group, then score."""
-    w = Window.partitionBy("script_id", "scene_idx").orderBy("group_rank", "cand_rank")
+def text_preferences(candidates: DataFrame, keys: Sequence[str] = ("sig",)) -> DataFrame:
+    """Order passing candidates without similarity: first group, then score."""
+    w = Window.partitionBy(*keys).orderBy("group_rank", "cand_rank")
     return candidates.withColumn("pref", F.row_number().over(w).cast("bigint")).withColumn(
         "tier", F.lit("text")
     )
 
 
-def weak_preferences(weak: DataFrame) -> DataFrame:
-    """Order a scene's results below the floor: by score over all groups, earliest on ties."""
-    w = Window.partitionBy("script_id", "scene_idx").orderBy(
-        F.col("score").desc(), "group_rank", "result_no"
-    )
+def weak_preferences(weak: DataFrame, keys: Sequence[str] = ("sig",)) -> DataFrame:
+    """Order results below the floor: by score over all groups, earliest on ties."""
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "group_rank", "result_no")
     return weak.withColumn("pref", F.row_number().over(w).cast("bigint"))
 
 
-def best_pick(preferred: DataFrame, fallback: DataFrame) -> DataFrame:
-    """The first choice of every scene, repeats allowed.
-
-    ``fallback`` holds a scene's other results with kind 'used' or 'weak'; they count only
-    for scenes without a preferred one, used before weak, by score.
-    """
-    cols = ["script_id", "scene_idx", "tier", "query", "source", "video_id", "score"]
-    ranked = preferred.select(*cols, F.lit(0).alias("_k"), F.col("pref").cast("double").alias("_o"),
-                              F.lit(0).cast("bigint").alias("_g"), F.lit(0).cast("bigint").alias("_c"))
-    others = fallback.select(
-        *[F.col("kind").alias("tier") if c == "tier" else F.col(c) for c in cols],
-        F.when(F.col("kind") == "used", F.lit(1)).otherwise(F.lit(2)).alias("_k"),
-        (-F.col("score")).alias("_o"), F.col("group_rank").alias("_g"), F.col("result_no").alias("_c"),
-    )
-    w = Window.partitionBy("script_id", "scene_idx").orderBy("_k", "_o", "_g", "_c")
-    return (
-        ranked.unionByName(others).withColumn("_r", F.row_number().over(w))
-        .where(F.col("_r") == 1).select(*cols)
-    )
+def best_pick(choices: DataFrame, scenes: DataFrame) -> DataFrame:
+    """The first choice of every scene, repeats allowed: a passing clip before a weak one."""
+    w = Window.partitionBy("sig").orderBy("kind", "pref")
+    first = choices.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
+    return signed(scenes).select("script_id", "scene_idx", "sig").join(
+        first.select("sig", "tier", "query", "source", "video_id", "score"), "sig"
+    ).drop("sig")
 
 
-def assign_unrepeated(choices: DataFrame, shots: DataFrame, seeded: DataFrame | None = None) -> DataFrame:
+def assign_unrepeated(choices: DataFrame, scenes: DataFrame, shots: DataFrame,
+                      seeded: DataFrame | None = None) -> DataFrame:
     """Give each shot, in scene order, its best clip not yet used in the script.
 
-    ``choices`` is (script_id, scene_idx, kind, pref, score, query, source, video_id, tier):
-    kind 0 passes the floor, kind 1 is below it and serves only scenes that have no kind 0.
-    A scene whose passing clips are all taken repeats the best-scored one (tier 'used').
-    ``seeded`` lists clips (script_id, source, video_id) that earlier runs used. Choices of a
-    scene number at most its queries x providers x results per query.
+    ``choices`` holds, per signature, kind 0 (passes the floor) and kind 1 (below it; serves
+    only signatures without kind 0) in order of pref. A scene whose passing clips are all
+    taken repeats the best-scored one (tier 'used'). ``seeded`` lists clips (script_id,
+    source, video_id) that earlier runs used.
+
+    A signature has at most queries x providers x results choices. A scene reads only as many
+    of them as its script can have used before it, which cannot change a pick.
     """
-    key = F.concat_ws(":", "source", "video_id")
-    rows = choices.select(
-        "script_id", "scene_idx", "kind", "pref", "score", "query", "tier", key.alias("clip")
-    )
-    if seeded is not None:
-        taken = seeded.select("script_id", key.alias("clip")).distinct()
-        taken = taken.select(
-            "script_id", F.lit(-1).cast("bigint").alias("scene_idx"), F.lit(0).alias("kind"),
-            F.lit(0).cast("bigint").alias("pref"), F.lit(0.0).alias("score"),
-            F.lit("").alias("query"), F.lit("seed").alias("tier"), "clip",
+    option = F.struct("kind", "pref", F.concat_ws(":", "source", "video_id").alias("clip"),
+                      "score", "query", "tier", "sim")
+    clip_list = F.transform("_all", lambda o: o["clip"])
+    passing = F.filter("_all", lambda o: o["kind"] == 0)
+    best = F.array_max(F.transform(passing, lambda o: F.struct(
+        o["score"].alias("score"), (-o["pref"]).alias("order"), o.alias("option"))))["option"]
+    per_sig = (
+        choices.groupBy("sig").agg(F.array_sort(F.collect_list(option)).alias("_all"))
+        .select(
+            "sig",
+            # kind 0 hides kind 1; of a clip found by several queries the first counts
+            F.filter("_all", lambda o, i: (F.array_position(clip_list, o["clip"]) == i + 1)
+                     & ((o["kind"] == 0) | (F.size(passing) == 0))).alias("_options"),
+            best.alias("_again"),
         )
-        rows = rows.unionByName(taken)
-    per_scene = rows.groupBy("script_id", "scene_idx").agg(
-        F.array_sort(F.collect_list(F.struct("kind", "pref", "clip", "score", "query", "tier"))).alias("options")
     )
-    counts = shots.groupBy("script_id", "scene_idx").agg(F.count(F.lit(1)).alias("n_shots"))
-    best = F.array_max(F.transform("options", lambda o, i: F.when(
-        o["kind"] == 0, F.struct(o["score"].alias("score"), (-i).alias("at")))))
-    scenes = (
-        per_scene.join(counts, ["script_id", "scene_idx"], "left")
-        .withColumn("n_shots", F.coalesce("n_shots", F.lit(0)))
-        .withColumn("clips", F.transform("options", lambda o: o["clip"]))
-        .withColumn("n_passing", F.size(F.filter("options", lambda o: o["kind"] == 0)))
-        .withColumn("again", F.coalesce(-best["at"], F.lit(0)))
+    script = Window.partitionBy("script_id")
+    counts = (
+        shots.groupBy("script_id", "scene_idx").agg(F.count(F.lit(1)).alias("n_shots"))
+        .withColumn("_limit", F.sum("n_shots").over(script))
+    )
+    if seeded is not None:
+        used = seeded.groupBy("script_id").agg(
+            F.collect_set(F.concat_ws(":", "source", "video_id")).alias("_seed"))
+        counts = counts.join(used, "script_id", "left")
+    else:
+        counts = counts.withColumn("_seed", F.lit(None).cast("array<string>"))
+    seeds = F.coalesce(F.size("_seed"), F.lit(0))
+    seeds = F.when(F.col("_seed").isNull(), F.lit(0)).otherwise(seeds)
+    first = Window.partitionBy("script_id").orderBy("scene_idx")
+    work = (
+        counts.withColumn("_reach", (F.col("_limit") + seeds).cast("int"))
+        .withColumn("_seed", F.when(F.row_number().over(first) == 1, F.col("_seed")))
+        .join(signed(scenes).select("script_id", "scene_idx", "sig"), ["script_id", "scene_idx"])
+        .join(per_sig, "sig")
+        .select("script_id", "scene_idx", "n_shots", "_seed", "_again",
+                F.slice("_options", F.lit(1), F.col("_reach")).alias("_options"))
+        .withColumn("_clips", F.transform("_options", lambda o: o["clip"]))
+        .withColumn("_repeats", F.col("_again").isNotNull())
     )
-    adds = T.StructType([T.StructField("picks", T.ArrayType(T.IntegerType()))])
+    adds = T.StructType([T.StructField("_picks", T.ArrayType(T.IntegerType()))])
 
-    def step(used, scene_idx, clips, n_passing, n_shots, again):
-        """Picks as 1-based positions in the options, negative for a repeated clip."""
+    def step(used, clips, n_shots, repeats, seed):
+        """Picks as 1-based positions in the options, 0 for the repeated clip."""
         used = set() if used is None else used
-        if scene_idx < 0:
-            used.update(clips)
-            return used, ([],)
-        pool = clips[:n_passing] if n_passing else clips
+        used.update(seed or ())
         made = []
         for _ in range(n_shots):
-            at = next((i for i, c in enumerate(pool) if c not in used), None)
+            at = next((i for i, c in enumerate(clips) if c not in used), None)
             if at is not None:
-                used.add(pool[at])
+                used.add(clips[at])
                 made.append(at + 1)
-            elif n_passing:
-                made.append(-(again + 1))
+            elif repeats:
+                made.append(0)
         return used, (made,)
 
     picked = ordered_scan(
-        scenes, ["script_id"], ["scene_idx"],
-        ["scene_idx", "clips", "n_passing", "n_shots", "again"], adds, step,
-    )
-    option = F.element_at("options", F.abs("_at"))
-    tier = (
-        F.when(F.col("_at") < 0, "used").when(F.col("_o.kind") == 1, "weak")
-        .otherwise(F.col("_o.tier"))
+        work, ["script_id"], ["scene_idx"], ["_clips", "n_shots", "_repeats", "_seed"], adds, step
     )
+    chosen = F.when(F.col("_at") == 0, F.col("_again")).otherwise(F.get("_options", F.col("_at") - 1))
     return (
-        picked.where(F.col("scene_idx") >= 0)
-        .select("script_id", "scene_idx", "options", F.posexplode("picks").alias("shot_idx", "_at"))
-        .withColumn("_o", option)
+        picked.select("script_id", "scene_idx", "_options", "_again",
+                      F.posexplode("_picks").alias("shot_idx", "_at"))
+        .withColumn("_o", chosen)
         .select(
             "script_id",
             "scene_idx",
@@ -312,7 +327,8 @@ def assign_unrepeated(choices: DataFrame, shots: DataFrame, seeded: DataFrame |
             F.col("_o.query").alias("query"),
             F.substring_index("_o.clip", ":", 1).alias("source"),
             F.expr("substring(_o.clip, instr(_o.clip, ':') + 1)").alias("video_id"),
-            tier.alias("tier"),
+            F.when(F.col("_at") == 0, "used").otherwise(F.col("_o.tier")).alias("tier"),
+            F.col("_o.sim").alias("sim"),
         )
     )
 

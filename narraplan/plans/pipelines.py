@@ -45,50 +45,46 @@ def transcript_plan(corpus: DataFrame, asr: DataFrame,
 
 def scene_choices(scenes: DataFrame, clips: DataFrame, query_emb=None, frame_emb=None,
                   **classes) -> DataFrame:
-    """Ranked clip choices of every scene, with similarity when embeddings are given.
+    """Ranked clip choices of every scene signature, with similarity when embeddings are given.
 
     ``query_emb`` is a function from distinct queries to (query, embedding).
     """
-    ladder = catalog.ladder_rows(scenes)
+    ladder = catalog.ladder_rows(catalog.signatures(scenes))
     results = catalog.search(ladder, clips, **classes)
     scored = catalog.score_results(ladder, results)
     passing = F.col("rel") >= catalog.relevance_floor(F.col("query"))
     where = ["query", "source", "needed_ms"]
-    rows = ladder.select("script_id", "scene_idx", "group_rank", *where)
+    rows = ladder.select("sig", "group_rank", *where)
     kept = ["query", "source", "video_id", "score", "result_no"]
     weak = rows.join(scored.where(~passing), where).select(
-        "script_id", "scene_idx", F.lit(1).alias("kind"), "group_rank", *kept,
+        "sig", F.lit(1).alias("kind"), "group_rank", *kept,
         F.lit("weak").alias("tier"), F.lit(None).cast("double").alias("sim"),
     )
     if query_emb is None:
         ranked = catalog.top_candidates(scored, lx.RESULTS_PER_QUERY)
-        first = rows.join(ranked, where)
-        first = catalog.text_preferences(first).withColumn("sim", F.lit(None).cast("double"))
+        first = catalog.text_preferences(rows.join(ranked, where))
+        first = first.withColumn("sim", F.lit(None).cast("double"))
     else:
         top = catalog.top_candidates(scored)
         sims = catalog.frame_similarity(top, query_emb(ladder), frame_emb)
         seen = top.join(sims, ["query", "source", "video_id"])
         first = catalog.similarity_preferences(rows.join(seen, where))
-    strong = first.select(
-        "script_id", "scene_idx", F.lit(0).alias("kind"), "group_rank", *kept, "tier", "sim", "pref"
-    )
+    strong = first.select("sig", F.lit(0).alias("kind"), "group_rank", *kept, "tier", "sim", "pref")
     return strong.unionByName(catalog.weak_preferences(weak))
 
 
 def clip_audit(scenes: DataFrame, clips: DataFrame, query_emb, frame_emb, max_shot_ms: int,
                cues_: Sequence[str] = lx.CARD_CUES, **classes) -> DataFrame:
     """Scenes to picked clips to audit lines; cards take no clip."""
-    options = scene_choices(scenes, clips, query_emb, frame_emb, **classes)
+    choices = scene_choices(scenes, clips, query_emb, frame_emb, **classes)
     timed = scenes.withColumn("n_words", tx.word_count(F.col("text")))
     open_scenes = cues.plan_cards(timed, cues=cues_).where(~F.col("is_card"))
     shots = scripts.expand_shots(
         open_scenes.select("script_id", "scene_idx", F.lit(0).alias("start_ms"),
                            F.col("needed_ms").alias("end_ms")), max_shot_ms)
-    picks = catalog.assign_unrepeated(options, shots)
-    sims = options.groupBy("query", "source", "video_id").agg(F.max("sim").alias("sim"))
+    picks = catalog.assign_unrepeated(choices, scenes, shots)
     described = (
-        picks.join(sims, ["query", "source", "video_id"], "left")
-        .join(clips.select("source", "video_id", "desc"), ["source", "video_id"])
+        picks.join(clips.select("source", "video_id", "desc"), ["source", "video_id"])
         .join(scenes.select("script_id", "scene_idx", "text"), ["script_id", "scene_idx"])
         .withColumn("sim", F.coalesce("sim", F.lit(-1.0)))
     )

@@ -417,8 +417,9 @@ def _request_shots(spark, sf):
 
 
 def j15_no_repeat(spark, sf):
-    options = pipelines.scene_choices(fx.request_scenes(spark, sf), fx.clip_catalog(spark, sf), **CLASSES)
-    return catalog.assign_unrepeated(options, _request_shots(spark, sf)).select(
+    scenes = fx.request_scenes(spark, sf)
+    choices = pipelines.scene_choices(scenes, fx.clip_catalog(spark, sf), **CLASSES)
+    return catalog.assign_unrepeated(choices, scenes, _request_shots(spark, sf)).select(
         "script_id", "scene_idx", "shot_idx", "query", "source", "video_id", "tier")
 
 
@@ -574,11 +575,11 @@ def t3_first_and_best(spark, sf):
 
 
 def t4_tiered_pick(spark, sf):
-    options = pipelines.scene_choices(
-        fx.request_scenes(spark, sf), fx.clip_catalog(spark, sf), _query_vectors(spark, sf),
+    scenes = fx.request_scenes(spark, sf)
+    choices = pipelines.scene_choices(
+        scenes, fx.clip_catalog(spark, sf), _query_vectors(spark, sf),
         fx.frame_embeddings(spark, sf), **CLASSES)
-    fallback = options.where(F.col("kind") == 1).withColumn("kind", F.col("tier"))
-    return catalog.best_pick(options.where(F.col("kind") == 0), fallback)
+    return catalog.best_pick(choices, scenes)
 
 
 def t5_cue_order(spark, sf):
