@@ -256,21 +256,22 @@ def assign_unrepeated(choices: DataFrame, scenes: DataFrame, shots: DataFrame,
     A signature has at most queries x providers x results choices. A scene reads only as many
     of them as its script can have used before it, which cannot change a pick.
     """
-    option = F.struct("kind", "pref", F.concat_ws(":", "source", "video_id").alias("clip"),
-                      "score", "query", "tier", "sim")
-    clip_list = F.transform("_all", lambda o: o["clip"])
-    passing = F.filter("_all", lambda o: o["kind"] == 0)
-    best = F.array_max(F.transform(passing, lambda o: F.struct(
-        o["score"].alias("score"), (-o["pref"]).alias("order"), o.alias("option"))))["option"]
-    per_sig = (
-        choices.groupBy("sig").agg(F.array_sort(F.collect_list(option)).alias("_all"))
-        .select(
-            "sig",
-            # kind 0 hides kind 1; of a clip found by several queries the first counts
-            F.filter("_all", lambda o, i: (F.array_position(clip_list, o["clip"]) == i + 1)
-                     & ((o["kind"] == 0) | (F.size(passing) == 0))).alias("_options"),
-            best.alias("_again"),
-        )
+    facts = ["clip", "score", "query", "tier", "sim"]
+    named = choices.withColumn("clip", F.concat_ws(":", "source", "video_id"))
+    per_clip = (
+        named.repartition("sig").groupBy("sig", "kind", "clip")
+        # of a clip found by several queries the first counts, for repeats the best-scored
+        .agg(F.min(F.struct("pref", *[c for c in facts if c != "clip"], "clip")).alias("_o"),
+             F.max(F.struct("score", (-F.col("pref")).alias("order"), F.struct(*facts).alias("option"))).alias("_b"))
+    )
+    passing = F.array_sort(F.collect_list(F.when(F.col("kind") == 0, F.col("_o"))))
+    weak = F.array_sort(F.collect_list(F.when(F.col("kind") == 1, F.col("_o"))))
+    per_sig = per_clip.groupBy("sig").agg(
+        passing.alias("_passing"), weak.alias("_weak"),
+        F.max(F.when(F.col("kind") == 0, F.col("_b")))["option"].alias("_again"),
+    ).select(
+        "sig", "_again",
+        F.when(F.size("_passing") > 0, F.col("_passing")).otherwise(F.col("_weak")).alias("_options"),
     )
     script = Window.partitionBy("script_id")
     counts = (
@@ -315,7 +316,8 @@ def assign_unrepeated(choices: DataFrame, scenes: DataFrame, shots: DataFrame,
     picked = ordered_scan(
         work, ["script_id"], ["scene_idx"], ["_clips", "n_shots", "_repeats", "_seed"], adds, step
     )
-    chosen = F.when(F.col("_at") == 0, F.col("_again")).otherwise(F.get("_options", F.col("_at") - 1))
+    pick = F.get("_options", F.col("_at") - 1)
+    chosen = F.when(F.col("_at") == 0, F.col("_again")).otherwise(F.struct(*[pick[c].alias(c) for c in facts]))
     return (
         picked.select("script_id", "scene_idx", "_options", "_again",
                       F.posexplode("_picks").alias("shot_idx", "_at"))

@@ -49,9 +49,10 @@ def scene_choices(scenes: DataFrame, clips: DataFrame, query_emb=None, frame_emb
 
     ``query_emb`` is a function from distinct queries to (query, embedding).
     """
-    ladder = catalog.ladder_rows(catalog.signatures(scenes))
+    # both feed several branches and hold distinct values only, so they are written once
+    ladder = cut_lineage(catalog.ladder_rows(catalog.signatures(scenes)))
     results = catalog.search(ladder, clips, **classes)
-    scored = catalog.score_results(ladder, results)
+    scored = cut_lineage(catalog.score_results(ladder, results))
     passing = F.col("rel") >= catalog.relevance_floor(F.col("query"))
     where = ["query", "source", "needed_ms"]
     rows = ladder.select("sig", "group_rank", *where)
