@@ -136,25 +136,30 @@ def clip_catalog(spark, sf) -> DataFrame:
     )
 
 
+SCRIPT_ORDERS = 16
+
+
 def request_scenes(spark, sf) -> DataFrame:
-    """Orders as scenes of their customer's script, with a part's words as keywords."""
+    """Orders as scenes: sixteen neighbouring ones make a script, a part's words the keywords.
+
+    A script so has at most sixteen scenes whatever the data, and numbering them needs no
+    window.
+    """
     parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
     n_parts = parts.agg((F.max("p_partkey") + 1).alias("_parts"))  # one row
-    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey").crossJoin(F.broadcast(n_parts))
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    key = F.col("o_orderkey")
+    orders = table(spark, sf, "orders").select("o_orderkey").crossJoin(F.broadcast(n_parts))
     words = F.split("p_name", " ")
     single = F.array_append(words, F.lower("p_type"))
     return (
-        orders.withColumn("p_partkey", F.col("o_orderkey") * 17 % F.col("_parts"))
-        .withColumn("_i", F.row_number().over(w) - 1)
+        orders.withColumn("p_partkey", key * 17 % F.col("_parts"))
         .join(parts, "p_partkey")
         .select(
-            F.col("o_custkey").alias("script_id"),
-            F.col("_i").cast("bigint").alias("scene_idx"),
-            F.concat_ws(" ", F.lit("order"), "o_orderkey", "p_name").alias("text"),
-            F.when(F.col("o_orderkey") % 5 == 0, single)
-            .otherwise(F.concat(F.array("p_name"), words)).alias("keywords"),
-            (F.lit(4000) + F.col("o_orderkey") % 9 * 1000).cast("bigint").alias("needed_ms"),
+            F.floor(key / SCRIPT_ORDERS).alias("script_id"),
+            (key % SCRIPT_ORDERS).alias("scene_idx"),
+            F.concat_ws(" ", F.lit("order"), key, "p_name").alias("text"),
+            F.when(key % 5 == 0, single).otherwise(F.concat(F.array("p_name"), words)).alias("keywords"),
+            (F.lit(4000) + key % 9 * 1000).cast("bigint").alias("needed_ms"),
         )
     )
 

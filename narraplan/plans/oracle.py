@@ -303,7 +303,7 @@ CATALOG = f"""clips AS MATERIALIZED (
     list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z]+'), lambda w: length(w) > 2))) AS words
   FROM part)
 , requests AS MATERIALIZED (
-  SELECT o_custkey AS script_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS scene_idx,
+  SELECT o_orderkey // 16 AS script_id, o_orderkey % 16 AS scene_idx,
     'order ' || o_orderkey || ' ' || p_name AS text,
     CASE WHEN o_orderkey % 5 = 0 THEN list_append(string_split(p_name, ' '), lower(p_type))
       ELSE list_prepend(p_name, string_split(p_name, ' ')) END AS keywords,
@@ -658,8 +658,8 @@ ORACLE: dict[str, str] = {
         SELECT *, list_transform({_tokens('text')}, lambda w: {_norm('w')}) AS n FROM scenes))"""),
     "u3_unused_candidates": _with(CATALOG, """SELECT l.script_id, l.scene_idx, count(*) AS n_left, max(score) AS best
       FROM ladder l JOIN top t USING (query, source, needed_ms)
-      WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-        WHERE o_custkey = l.script_id AND l_partkey::VARCHAR = t.video_id) GROUP BY ALL"""),
+      WHERE NOT EXISTS (SELECT 1 FROM lineitem
+        WHERE l_orderkey // 16 = l.script_id AND l_partkey::VARCHAR = t.video_id) GROUP BY ALL"""),
     "u4_shared_words": _with(CATALOG, """SELECT script_id, scene_idx, group_rank, array_to_string(list_filter(q.qw2,
       lambda w: list_contains(regexp_split_to_array(lower(text), '[^a-z]+'), w)), '|') AS shared
       FROM ladder JOIN (SELECT query, list_filter(qt, lambda w, i: list_position(qt, w) = i) AS qw2 FROM (

@@ -610,13 +610,12 @@ def _scene_candidates(spark, sf):
 
 
 def u3_unused_candidates(spark, sf):
-    """Clips already delivered to a customer count as used in its script."""
-    items = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
-    orders = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    used = items.join(orders, items.l_orderkey == orders.o_orderkey).select(
-        F.col("o_custkey").alias("script_id"),
-        F.when(F.col("l_partkey") % 2 == 0, "A").otherwise("B").alias("source"),
-        F.col("l_partkey").cast("string").alias("video_id")).distinct()
+    """Parts delivered by a script's orders count as clips it has used."""
+    part = F.col("l_partkey")
+    used = fx.table(spark, sf, "lineitem").select(
+        F.floor(F.col("l_orderkey") / fx.SCRIPT_ORDERS).alias("script_id"),
+        F.when(part % 2 == 0, "A").otherwise("B").alias("source"),
+        part.cast("string").alias("video_id")).distinct()
     return catalog.without_used(_scene_candidates(spark, sf), used).groupBy(
         "script_id", "scene_idx").agg(F.count(F.lit(1)).alias("n_left"), F.max("score").alias("best"))
 
