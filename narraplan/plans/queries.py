@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import (
     alignment, captions, catalog, concepts, cues, ordered, pauses, planedits, requests, scripts,
