@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +75,7 @@ def components(edges: DataFrame) -> DataFrame:
 # Fixed random values of the hash: one per byte, with A-Z folded to a-z.
 _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_EXACT = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STEP_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -127,11 +128,33 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = BLOCK_BYT
             at = to
 
 
+def by_tile(batches: Iterator[pa.RecordBatch], make: Callable[[list[pa.Table]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Call make with the tables of whole tiles, from batches sorted by `tile`."""
+    rest: list[pa.RecordBatch] = []
+
+    def parts(whole: bool) -> list[pa.Table]:
+        table = pa.Table.from_batches(rest).combine_chunks()
+        tile = table.column("tile").to_numpy()
+        edge = np.flatnonzero(np.append(True, tile[1:] != tile[:-1])).tolist()
+        rest[:] = [] if whole else table.slice(edge[-1]).to_batches()
+        return [table.slice(a, b - a) for a, b in zip(edge, [*edge[1:], len(tile)] if whole else edge[1:])]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(batch)
+        if rest[0].column("tile")[0].as_py() != batch.column("tile")[-1].as_py():
+            yield make(parts(False))
+    if rest:
+        yield make(parts(True))
+
+
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of a run of texts, A-Z lowered: `hash` of each, `first` word of each row."""
+    """Words `[^\\x20\\x09-\\x0D]+` of a run of texts: `hash` of each, with A-Z lowered if fold; `first` word of each row."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, fold: bool = True):
         data, off = raw(column)
+        self.data, self.offsets, self.size = data, off, len(data)
         n = len(data)
         edge = np.zeros(n + 1, bool)
         edge[off] = True
@@ -141,10 +164,14 @@ class Words:
         self.start = np.flatnonzero(~space & (before[:-1] | edge[:-1]))
         self.end = np.flatnonzero(~space & (np.append(space[1:], True)[:n] | edge[1:])) + 1
         self.first = np.searchsorted(self.start, off)
-        forth, back = _powers(n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * forth[:n], out=total[1:])
-        self.hash = mixed((total[self.end] - total[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64))
+        forth, self._back = _powers(n + 1)
+        self._total = np.zeros(n + 1, np.uint64)
+        np.cumsum((_BYTE if fold else _EXACT)[data] * forth[:n], out=self._total[1:])
+        self.hash = self.spans(self.start, self.end)
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges, wherever they stand."""
+        return mixed((self._total[end] - self._total[start]) * self._back[start] + (end - start).astype(np.uint64))
 
     def shingles(self, size: int) -> Iterator[np.ndarray]:
         """Per row, the sorted distinct hashes of runs of `size` words; of the whole text if it has fewer words."""

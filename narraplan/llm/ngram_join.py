@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narraplan.llm.common import Words, blocks, components, cut, mixed, raw
+from narraplan.llm.common import Words, blocks, by_tile, components, cut, mixed
 
 COUNTERS = 1 << 18
 MARKS = 1 << 24
@@ -188,27 +188,6 @@ def _pairs(n: np.ndarray, maps: list[np.ndarray], label: np.ndarray, num: int, d
     return found
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], make: Callable) -> Iterator[pa.RecordBatch]:
-    """Call make on the rows of each tile of sorted batches; it returns links as node pairs."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rest.append(batch)
-        if rest[0].column("tile")[0].as_py() == batch.column("tile")[-1].as_py():
-            continue
-        table = pa.Table.from_batches(rest).combine_chunks()
-        tile = table.column("tile").to_numpy()
-        edge = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
-        yield make([table.slice(a, b - a) for a, b in zip(edge, edge[1:])])
-        rest = table.slice(edge[-1]).to_batches()
-    if rest:
-        table = pa.Table.from_batches(rest).combine_chunks()
-        tile = table.column("tile").to_numpy()
-        edge = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
-        yield make([table.slice(a, b - a) for a, b in zip(edge, np.append(edge[1:], len(tile)))])
-
-
 def compare(tiles: DataFrame, payload: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
     """Links (a, b) of tiles (tile, node, label); payload has (node, n, data): bitmaps, or sorted sets if exact."""
 
@@ -247,7 +226,7 @@ def compare(tiles: DataFrame, payload: DataFrame, num: int, den: int, exact: boo
             ends = np.array(ends, np.int64).reshape(-1, 2)
             return pa.record_batch({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
 
-        yield from _tiles(batches, make)
+        yield from by_tile(batches, make)
 
     rows = tiles.join(payload, "node").select("tile", "node", "label", "n", "data")
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(links, "a long, b long").distinct()
@@ -311,8 +290,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return some.join(wanted, "text_hash").select("node", "text").dropDuplicates(["node"]).mapInArrow(make, "node long, n long, data binary")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """doc_id, text_hash, n_shingles and class (null without shingles) of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = cut(features(docs, shingle_counts(docs, size), size, num, den))
     nodes = base.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"))
@@ -322,8 +301,43 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
     members = cut(bounds.join(nodes, "node").select(F.col("component").alias("grp"), "node", F.col("n").alias("weight"), "text_hash"))
     sets = cut(_sets(docs, members.select("text_hash", "node"), size))
     links = linked(members.select("grp", "node", "weight"), sets, BLOCK_TILE, num, den, True)
-    named = base.select("doc_id", "n", "node").join(components(links), "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("class"))
+    return base.select("doc_id", "text_hash", "n", "node").join(components(links), "node", "left").select(
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("class"))
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    named = jaccard_classes(docs, size, num, den)
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     return named.join(least, "class", "left").select(
         "doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """One row of each class, with all columns of docs: the smallest doc_id, null last, then text hash. Rows without shingles all stay."""
+    columns = docs.columns
+    classes = jaccard_classes(docs, size, num, den).where("class is not null")
+    first = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    first = cut(first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text_hash")))
+    rows = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text"))
+    blank = F.coalesce(F.col("_text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text_hash"))
+    kept = rows.where(~blank).join(first, same, "left_semi").dropDuplicates(["_doc", "_hash"])
+    return kept.select("_row.*").union(rows.where(blank).select("_row.*"))
+
+
+ORACLE = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+grams as (
+  select distinct doc_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g
+  from words where len(w) > 0),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from grams a join grams b on a.g = b.g and a.doc_id != b.doc_id group by all),
+links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on r.b = l.a),
+least as (select a, min(b) as component_id from reach group by a)
+select a as doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from least left join sizes on doc_id = a
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narraplan.llm import edit_counts, mixing, ngram_join, packing, sharding, token_files
+from narraplan.llm import edit_counts, fingerprints, language, mixing, ngram_join, packing, sharding, token_files, toxicity, vector_join
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -25,10 +25,32 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "depth", "prefix", "part", "shard_bytes")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 0)
+    return toxicity.scored(docs, lexicon).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = language.fit(docs.where(fold != 1))
+    return language.identified(docs.select("doc_id", "text"), model).select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits of every document: at a third, 16 code points become the text's first 16; a word is added at two thirds."""
     n = F.coalesce(F.length("text"), F.lit(0))
@@ -49,5 +71,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op4_packing, op8_token_counts, op9_mixing, op10_token_files)}
-ORACLE = {"op2_sharding": sharding.ORACLE, "op9_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard_join, op2_sharding, op3_toxicity, op4_packing, op5_fingerprints, op6_language_id, op7_vector_near_dedup,
+    op8_token_counts, op9_mixing, op10_token_files)}
+ORACLE = {"op1_ngram_jaccard_join": ngram_join.ORACLE, "op2_sharding": sharding.ORACLE, "op7_vector_near_dedup": vector_join.ORACLE, "op9_mixing": mixing.ORACLE}
