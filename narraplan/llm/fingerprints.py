@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and segments.
 
 Blank lines part sections, line ends part paragraphs, and words whose hash falls on a step part segments of about
-`STEP` words, wherever they stand. A segment's hash covers its exact bytes with the space behind it, a paragraph's
+`STEP` words, wherever they stand; none is longer than `LONGEST` words, and a text's first `OPENING` stand alone. A segment's hash covers its exact bytes with the space behind it, a paragraph's
 its segments, a section's its paragraphs, the root its sections. A fingerprint is written as the root in hex, then the segments'
 codes (24 bits in four letters) with ':' between paragraphs and '/' between sections, so that the tree can be rebuilt:
 equal roots mean equal texts; `differing` goes down where branches differ and names the segments. `likeness` is
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from narraplan.llm.common import Words, blocks, mixed, written
 
 STEP = 6
+LONGEST = 24
+OPENING = 8
 _SIGNS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", np.uint8)
 _COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -50,6 +52,10 @@ def trees(texts: list[str]) -> list[tuple[str, np.ndarray]]:
     after = np.append(0, ends[:-1]) if len(ends) else ends
     section, paragraph = first | (after > 1), first | (after > 0)
     cut = paragraph | np.append(False, words.hash[:-1] % np.uint64(STEP) == 0)[:len(first)]
+    at = np.arange(len(cut))
+    cut |= at - np.repeat(words.first[:-1], np.diff(words.first)) <= OPENING
+    since = at - np.maximum.accumulate(np.where(cut, at, 0))
+    cut |= (since > 0) & (since % LONGEST == 0)
     edge = np.flatnonzero(cut)
     rows = len(texts)
     owner = np.searchsorted(words.first, edge, "right") - 1

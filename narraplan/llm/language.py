@@ -3,8 +3,8 @@
 A text becomes counts of its letter n-grams of two to four bytes (a-z and two-byte Latin letters lowered, other
 ASCII a gap), hashed to `DIMENSIONS`, damped, weighted by inverse document frequency and scaled to length 1. Each
 language has several centroids from spherical k-means. The language of the nearest centroid by cosine is the
-prediction and the cosine the score. A text is rejected if it has no letter, or lies farther from every centroid
-than any text of its length did in fitting, by a margin.
+prediction and the cosine the score. A text is rejected if it has no letter, or if it has enough n-grams to tell
+(2^`BANDS_SHORT` - 1) and lies far outside the distance that texts of its length had in fitting, by a margin.
 
 Fitting uses at most about `sample` texts per language, chosen by a hash of doc_id; k-means runs per language.
 Null, empty and letterless texts are `und` with score 0. Ties go to the language first in order. Repeated rows get
@@ -26,6 +26,7 @@ from narraplan.llm.common import blocks, raw
 
 DIMENSIONS = 4096
 BANDS = 24
+BANDS_SHORT = 6
 _LETTER = re.compile(r"[^\W\d_]")
 _LOWER = np.full(256, 32, np.uint8)
 _LOWER[97:123] = np.arange(97, 123)
@@ -87,7 +88,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return c.astype(np.float32)
 
 
-def fit(docs: DataFrame, sample: int = 500, clusters: int = 4, margin: float = 0.7) -> Model | None:
+def fit(docs: DataFrame, sample: int = 500, clusters: int = 4, margin: float = 0.5) -> Model | None:
     """Learn from docs (doc_id, text, lang) with a lang."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
@@ -127,8 +128,8 @@ def fit(docs: DataFrame, sample: int = 500, clusters: int = 4, margin: float = 0
     counted.unpersist()
     got = got.sort_values("lang", kind="stable")
     floor = np.min(np.array(got["floor"].tolist()), axis=0)
-    floor = np.minimum.accumulate(floor[::-1])[::-1]  # a band without texts counts as the next longer one; shorter texts lie no nearer
-    floor = np.where(floor > 1, 0, floor) * margin
+    floor = np.minimum.accumulate(floor[::-1])[::-1]  # shorter texts lie no nearer
+    floor = np.where((floor > 1) | (np.arange(BANDS) < BANDS_SHORT), 0, floor) * margin
     return Model(got["lang"].tolist(), np.array(got["centroid"].tolist(), np.float32), idf, floor)
 
 

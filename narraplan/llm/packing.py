@@ -71,9 +71,9 @@ def pack(pieces: DataFrame, capacity: int = 1024, grain: int = 64, workers: int
         "rank", F.col("base") + F.col("own")).withColumn("bin", F.expr("rank div j"))
     ranked = cut(ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "j", "rank",
                                (F.col("bin") * (capacity + 1) + F.col("j")).alias("sequence_id")))
-    exact = ranked.where(f"length >= {grain}").withColumn("offset", F.expr("(rank % j) * length"))
+    exact = ranked.where(f"j < {capacity // grain}").withColumn("offset", F.expr("(rank % j) * length"))
     earlier = Window.partitionBy("sequence_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    tails = ranked.where(f"length < {grain}").withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)))
+    tails = ranked.where(f"j >= {capacity // grain}").withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)))
     return exact.unionByName(tails).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
