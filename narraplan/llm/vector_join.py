@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from narraplan.llm.common import by_tile, components, cut
 
-BLOCK = 512
+BLOCK = 2048
 SORTED = 8
 BOXED = 16
 SPLIT = 3  # an interval has 2^SPLIT parts
@@ -63,9 +63,10 @@ def principal(classes: DataFrame, width: int) -> np.ndarray:
 
 def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding)."""
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
     sound = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    plain = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double")))
+    plain = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x))
     rows = cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.coalesce(sound, F.lit(False)), plain).alias("embedding")).withColumn(
         "node", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding"))))
     classes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.first("embedding").alias("embedding"))
@@ -88,7 +89,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
                 yield pa.record_batch([*(batch.column(c) for c in ("node", "n", "embedding")), pa.array(list(cell), pa.list_(pa.int64())),
                                        pa.array(list(p), pa.list_(pa.float64()))], names=["node", "n", "embedding", "cell", "place"])
 
-    laid = classes.mapInArrow(project, "node long, n long, embedding array<double>, cell array<long>, place array<double>")
+    laid = classes.mapInArrow(project, f"node long, n long, embedding array<{kind}>, cell array<long>, place array<double>")
     order = [F.col("cell")[k] for k in range(sorted_by + 1)]
 
     def interval(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +101,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
                                    pa.array(number)], names=["node", "n", "embedding", "place", "shard", "number"])
 
     laid = cut(laid.repartitionByRange(*order, "node").sortWithinPartitions(*order, "node").mapInArrow(
-        interval, "node long, n long, embedding array<double>, place array<double>, shard int, number long"))
+        interval, f"node long, n long, embedding array<{kind}>, place array<double>, shard int, number long"))
     spans = laid.groupBy("shard").agg((F.max("number") + 1).alias("blocks"))
     base = spans.select("shard", F.coalesce(F.sum("blocks").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     laid = laid.join(base, "shard").select("node", "n", "embedding", "place", (F.col("base") + F.col("number")).alias("block"))
@@ -144,12 +145,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
                 rank = np.argsort(~one, kind="stable")
                 node, n, x, size, m = node[rank], n[rank], x[rank], size[rank], int(one.sum())
                 if m == len(node):  # a block with itself
-                    linked = (x @ x.T >= least) & (size[:, None] == size[None])
+                    linked = x @ x.T >= least
                     np.fill_diagonal(linked, False)
                 else:
-                    half = (x[:m] @ x[m:].T >= least) & (size[:m, None] == size[None, m:])
+                    half = x[:m] @ x[m:].T >= least
+                    if not half.any():
+                        continue
                     linked = np.zeros((len(node), len(node)), bool)
                     linked[:m, m:], linked[m:, :m] = half, half.T
+                if (size != size[0]).any():
+                    linked &= size[:, None] == size[None]
                 some = np.flatnonzero(linked.any(1))
                 if not len(some):
                     continue
