@@ -34,11 +34,12 @@ _PLACE = np.arange(4)
 
 def encode_ids(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """ranking, control, data of a block of ids."""
-    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((values, -counts))
-    rank = np.empty(len(values), "<u4")
-    rank[order] = np.arange(len(values), dtype="<u4")
-    ranks = rank[inverse]
+    counts = np.bincount(ids)
+    values = np.flatnonzero(counts)
+    order = np.lexsort((values, -counts[values]))
+    rank = np.zeros(len(counts), "<u4")
+    rank[values[order]] = np.arange(len(values), dtype="<u4")
+    ranks = rank[ids]
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     data = ranks.view(np.uint8).reshape(-1, 4)[_PLACE < size[:, None]]
     two = np.zeros(-(-len(ids) // 4) * 4, np.uint8)

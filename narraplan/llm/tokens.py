@@ -78,16 +78,19 @@ class Encoder:
         out = []
         for text in texts:
             words = text.split()
+            if not self.spaces and not any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to split() alone
+                out.append(b"".join(map(inside, words)))
+                continue
             led = self.spaces and text[:1] == " "
             lines = [x.split(" ") for x in text[led:].split("\n")]
             if not text or words != list(chain.from_iterable(lines)):
                 out.append(self.one(text) if text else b"")
-            elif self.spaces:
+            elif not self.spaces:
+                out.append(b"".join(map(inside, words)))
+            else:
                 if led:
                     lines[0].insert(0, "")
                 out.append(line.join([start(x[0]) + b"".join(map(inside, x[1:])) for x in lines]))
-            else:
-                out.append(b"".join(map(inside, words)))
         return out
 
 
