@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from narraplan.llm.common import cut
+from narraplan.llm.common import cut, sized
 
 BUCKETS = 4096
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -44,65 +44,70 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return got.select("source", "source_size", F.coalesce(F.least(cap, F.col("per") * F.col("w")), cap).alias("target"))
 
 
-def with_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", odds: str | None = None) -> DataFrame:
-    """docs with the columns size, source_size, target and copies."""
-    columns = docs.columns
+def _facts(docs: DataFrame, seed: str, odds: str | None) -> list:
+    """doc_id, source, size, u and odds of each row."""
     rank = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10)
-    unit = (rank.cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
-    sized = docs.select(
-        F.struct(*columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), unit.alias("u"),
-        (F.col(odds).cast("double") if odds else F.lit(1.0)).alias("odds"))
-    light = cut(sized.select("doc_id", "source", "size", "u", "odds"))
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"),
+            F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
+            ((rank.cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))).alias("u"), (F.col(odds).cast("double") if odds else F.lit(1.0)).alias("odds")]
+
+
+def _ranked(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows with their source's facts, their rank key and its bucket."""
+    got = rows.join(sources, F.col("source").eqNullSafe(F.col("its")), "left")
+    got = got.withColumn("key", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")) * F.col("odds"))))
+    return got.withColumn("bucket", F.floor(F.col("key") / (1 + F.col("key")) * BUCKETS)).withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+
+
+def _within() -> F.Column:
+    """Whether a row's rank lies in the part of its source that is taken."""
+    at = F.struct("key", "id") <= F.col("edge")
+    return F.col("open").isNull() | (F.col("bucket") < F.col("open")) | ((F.col("bucket") == F.col("open")) & F.coalesce(at, F.lit(False)))
+
+
+def thresholds(light: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """One row a source, from the facts of all rows: target, whole copies, p and where the sample ends."""
     sources = source_targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    sources = cut(sources.withColumn("f", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).select(
-        "source", "source_size", "target", F.floor("f").alias("whole"), (F.col("f") - F.floor("f")).alias("p")))
-
-    def ranked(rows: DataFrame) -> DataFrame:
-        got = rows.join(sources.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its")), "left")
-        got = got.withColumn("key", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")) * F.col("odds"))))
-        return got.withColumn("bucket", F.floor(F.col("key") / (1 + F.col("key")) * BUCKETS)).withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-
-    light = ranked(light).where("p > 0")
-    sums = light.groupBy("its", "bucket").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("whole").alias("whole"), F.first("source_size").alias("source_size"))
-    upto = Window.partitionBy("its").orderBy("bucket")
-    sums = sums.withColumn("upto", F.sum("words").over(upto)).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    fits = sums.groupBy("its").agg(
+    sources = sized(cut(sources.withColumn("f", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).select(
+        F.col("source").alias("its"), "source_size", "target", F.floor("f").alias("whole"), (F.col("f") - F.floor("f")).alias("p"))))
+    drawn = _ranked(light, sources).where("p > 0")
+    sums = drawn.groupBy("its", "bucket").agg(F.sum("size").alias("words"), F.first(F.col("target") - F.col("whole") * F.col("source_size")).alias("need"))
+    sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("its").orderBy("bucket")))
+    fits = sized(cut(sums.groupBy(F.col("its").alias("of")).agg(
         F.first("need").alias("need"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("need"), F.col("upto"))), F.lit(0)).alias("base"),
-        F.min(F.when(F.col("upto") > F.col("need"), F.col("bucket"))).alias("open"))
-    fits = cut(fits.withColumnRenamed("its", "of"))
+        F.min(F.when(F.col("upto") > F.col("need"), F.col("bucket"))).alias("open"))))
     same = F.col("its").eqNullSafe(F.col("of"))
-    opened = light.join(fits, same).where("bucket = open")
     run = F.sum("size").over(Window.partitionBy("its").orderBy("key", "id"))
-    opened = opened.withColumn("upto", F.col("base") + run).where("upto <= need")
-    edge = opened.groupBy("of").agg(F.max("upto").alias("got"), F.max(F.struct("key", "id")).alias("edge"))
-    edge = fits.join(edge.withColumnRenamed("of", "at"), F.col("of").eqNullSafe(F.col("at")), "left").select(
-        "of", "open", "edge", (F.col("need") - F.coalesce("got", "base")).alias("gap"))
+    opened = drawn.join(fits, same).where("bucket = open").withColumn("upto", F.col("base") + run).where("upto <= need")
+    ends = opened.groupBy(F.col("of").alias("at")).agg(F.max("upto").alias("got"), F.max(F.struct("key", "id")).alias("edge"))
+    ends = sized(cut(fits.join(ends, F.col("of").eqNullSafe(F.col("at")), "left").select(
+        "of", "open", "edge", (F.col("need") - F.coalesce("got", "base")).alias("gap"))))
+    miss = F.abs(F.col("gap") - F.col("size"))
+    fill = drawn.join(ends, same).where(~_within()).where(miss < F.col("gap")).groupBy(F.col("of").alias("at")).agg(F.min(F.struct(miss, "key", "id")).alias("fill"))
+    ends = ends.join(fill, F.col("of").eqNullSafe(F.col("at")), "left").select(
+        "of", "open", "edge", F.col("fill.key").alias("fill_key"), F.col("fill.id").alias("fill_id"))
+    return cut(sources.join(ends, same, "left").drop("of"))
 
-    def within() -> F.Column:
-        at = F.struct("key", "id")
-        return F.col("open").isNull() | (F.col("bucket") < F.col("open")) | ((F.col("bucket") == F.col("open")) & F.coalesce(at <= F.col("edge"), F.lit(False)))
 
-    miss = F.abs(F.col("gap") - F.col("size"))
-    fill = light.join(edge, same).where(~within()).where(miss < F.col("gap")).groupBy("of").agg(F.min(F.struct(miss, "key", "id")).alias("fill"))
-    edge = cut(edge.join(fill.withColumnRenamed("of", "at"), F.col("of").eqNullSafe(F.col("at")), "left").select("of", "open", "edge", "gap", "fill.key", "fill.id").toDF("of", "open", "edge", "gap", "fill_key", "fill_id"))
-    out = ranked(sized).join(edge, same, "left")
-    sampled = F.col("key").isNotNull() & (within() | ((F.col("key") == F.col("fill_key")) & (F.col("id") == F.col("fill_id"))))
-    copies = (F.col("whole") + F.coalesce(sampled, F.lit(False)).cast("long")).alias("copies")
-    return out.select("doc.*", F.col("size"), "source_size", "target", copies)
+def with_copies(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows that have the facts, with source_size, target and copies."""
+    fill = (F.col("key") == F.col("fill_key")) & (F.col("id") == F.col("fill_id"))
+    sampled = F.col("key").isNotNull() & (_within() | fill)
+    return _ranked(rows, sized(ends)).withColumn("copies", F.col("whole") + F.coalesce(sampled, F.lit(False)).cast("long"))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", odds: str | None = None) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    columns = docs.columns
-    rows = with_copies(docs.select(F.struct(*columns).alias("_row"), "doc_id", "text", "source"), **how)
+    ends = thresholds(cut(docs.select(*_facts(docs, seed, odds))), weights, most)
+    rows = with_copies(docs.select(F.struct(*docs.columns).alias("_row"), *_facts(docs, seed, odds)), ends)
     return rows.where("copies > 0").select("_row", F.explode(F.expr("array_repeat(0, cast(copies as int))"))).select("_row.*")
 
 
-def mix_report(docs: DataFrame, **how) -> DataFrame:
+def mix_report(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", odds: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
-    rows = with_copies(docs.select("doc_id", "source", "text"), **how)
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    light = cut(docs.select(*_facts(docs, seed, odds)))
+    rows = with_copies(light, thresholds(light, weights, most))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 ORACLE = """
