@@ -43,6 +43,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """A cut table of few rows with a hint to broadcast it; a longer one as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph (a, b): the smallest node reachable. Large and small stars in turn.
 
@@ -94,7 +99,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> list[np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 2 * BLOCK_BYTES)
+        n = max(n, BLOCK_BYTES + BLOCK_BYTES // 4)
         made = []
         for step in (_STEP, _STEP_BACK):
             p = np.full(n, step, np.uint64)
@@ -117,13 +122,13 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows with about `size` bytes of text; a longer text stands alone."""
+def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = BLOCK_BYTES, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Cut batches into runs of at most `rows` rows with about `size` bytes of text; a longer text stands alone."""
     for batch in batches:
         _, off = raw(batch.column(column))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
+            to = min(at + rows, max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1))
             yield batch.slice(at, to - at)
             at = to
 

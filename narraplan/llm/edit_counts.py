@@ -110,7 +110,7 @@ def counts_after_edits(docs: DataFrame, edits: str, path: str, span: int = SPAN)
         def count(texts: list[str]) -> list[int]:
             return [len(ids) // 2 for ids in known.encode(texts)]
 
-        for block in blocks(batches, "text", 4 << 20):
+        for block in blocks(batches, "text", 2 << 20):
             texts = [t or "" for t in block.column("text").to_pylist()]
             parts = [runs(t, span) for t in texts]
             sums = iter(count([p for ps in parts for p in ps]))

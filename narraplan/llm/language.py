@@ -96,7 +96,7 @@ def fit(docs: DataFrame, sample: int = 500, clusters: int = 4, margin: float = 0
     some = known.join(F.broadcast(sizes.orderBy(F.desc("n"), "lang").limit(1000)), "lang").where(place * F.col("n") < F.lit(sample << 30)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", 1 << 18):
+        for block in blocks(batches, "text", 1 << 18, 256):
             keep = np.array([bool(_LETTER.search(t)) for t in block.column("text").to_pylist()])
             c = ngram_counts(block.column("text"))[keep]
             if len(c):
@@ -140,7 +140,7 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for block in blocks(batches, "_text", 1 << 19):
+        for block in blocks(batches, "_text", 1 << 19, 256):
             letter = np.array([bool(t and _LETTER.search(t)) for t in block.column("_text").to_pylist()], bool)
             name, score, out = np.full(len(letter), "und", object), np.zeros(len(letter)), ~letter
             if own is None:

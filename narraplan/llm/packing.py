@@ -41,7 +41,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, grain: int =
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", 4 << 20):
+        for block in blocks(batches, "text", 2 << 20):
             doc, start, length, crc, total = [], [], [], [], []
             for name, ids in zip(block.column("doc_id").to_pylist(), encoded(path, True, block.column("text").to_pylist())):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

@@ -73,7 +73,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 2,
             ], names=["shard", "block", "tokens", "doc_ids", "lengths", "ranking", "control", "data"])
 
         total = 0
-        for block in blocks(batches, "text", 4 << 20):
+        for block in blocks(batches, "text", 2 << 20):
             for name, ids in zip(block.column("doc_id").to_pylist(), encoded(path, spaces, block.column("text").to_pylist())):
                 held.append(np.append(ids, np.uint32(end_id)).astype("<u4"))
                 names.append(name)

@@ -17,22 +17,31 @@ from itertools import chain
 
 import numpy as np
 
-CACHED = 800_000
+CACHED = 400_000
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 _MADE: dict = {}
 
 
 class _Units(dict):
-    """ids of units as bytes, made when first asked for."""
+    """ids of units as bytes, made when first asked for. At half of CACHED the units become the old half and the former one goes."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.make(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word)
+        self[word] = ids
         return ids
 
+    def turn(self) -> None:
+        if len(self) > CACHED // 2:
+            self.old = dict(self)
+            self.clear()
+
 
 class Encoder:
     """ids of texts as little-endian bytes, two per id. `spaces`: the vocabulary keeps white space in its tokens."""
@@ -72,8 +81,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         for known in (self.inner, self.outer, self.marks):
-            if len(known) > CACHED:
-                known.clear()
+            known.turn()
         start, inside, line = self.outer.__getitem__, self.inner.__getitem__, self.line
         out = []
         for text in texts:
