@@ -13,11 +13,10 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 
-CACHED = 400_000
+CACHED = 500_000
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 _MADE: dict = {}
 
@@ -85,20 +84,20 @@ class Encoder:
         start, inside, line = self.outer.__getitem__, self.inner.__getitem__, self.line
         out = []
         for text in texts:
-            words = text.split()
-            if not self.spaces and not any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to split() alone
-                out.append(b"".join(map(inside, words)))
+            if not self.spaces:  # split() alone takes four signs as white space
+                plain = not any(c in text for c in "\x1c\x1d\x1e\x1f")
+                out.append(b"".join(map(inside, text.split())) if plain else self.one(text))
                 continue
-            led = self.spaces and text[:1] == " "
-            lines = [x.split(" ") for x in text[led:].split("\n")]
-            if not text or words != list(chain.from_iterable(lines)):
+            led = text[:1] == " "
+            lines = text[led:].split("\n")
+            # In printable lines the plain space is the only white space.
+            if "  " in text or " \n" in text or "\n " in text or text[-1:] == " " or not all(lines) or not all(map(str.isprintable, lines)):
                 out.append(self.one(text) if text else b"")
-            elif not self.spaces:
-                out.append(b"".join(map(inside, words)))
-            else:
-                if led:
-                    lines[0].insert(0, "")
-                out.append(line.join([start(x[0]) + b"".join(map(inside, x[1:])) for x in lines]))
+                continue
+            lines = [x.split(" ") for x in lines]
+            if led:
+                lines[0].insert(0, "")
+            out.append(line.join([start(x[0]) + b"".join(map(inside, x[1:])) for x in lines]))
         return out
 
 
