@@ -318,11 +318,10 @@ def deduplicated(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100)
     columns = docs.columns
     classes = jaccard_classes(docs, size, num, den).where("class is not null")
     first = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
-    first = cut(first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text_hash")))
-    rows = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text"))
+    first = cut(first.select(F.xxhash64("first.doc_id", "first.text_hash").alias("_key")))
+    rows = docs.select(F.struct(*columns).alias("_row"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("_key"), F.col("text").alias("_text"))
     blank = F.coalesce(F.col("_text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
-    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text_hash"))
-    kept = rows.where(~blank).join(first, same, "left_semi").dropDuplicates(["_doc", "_hash"])
+    kept = rows.where(~blank).select("_key", "_row").join(first, "_key", "left_semi").dropDuplicates(["_key"])
     return kept.select("_row.*").union(rows.where(blank).select("_row.*"))
 
 

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narraplan.llm.common import cut
+from narraplan.llm.common import cut, sized
 
 BITS = 60
 
@@ -56,11 +56,12 @@ def directory(rows: DataFrame, limit: int, finer: int = 4) -> DataFrame:
         low, high = high, min(BITS, high + 2 * finer)
 
 
-def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 1 << 20) -> DataFrame:
-    """docs with depth, prefix, part and shard_bytes; (depth, prefix, part) is the shard."""
+def assign(docs: DataFrame, key: str = "doc_id", size: Column | None = None, limit: int = 1 << 20) -> DataFrame:
+    """docs with depth, prefix, part and shard_bytes; (depth, prefix, part) is the shard. size: bytes of a row, by default of its text."""
     columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("doc"), key_hash(key).alias("hash"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
-    shards = directory(rows.select("hash", "bytes"), limit)
+    size = F.octet_length("text") if size is None else size
+    rows = docs.select(F.struct(*columns).alias("doc"), key_hash(key).alias("hash"), F.coalesce(size, F.lit(0)).cast("long").alias("bytes"))
+    shards = sized(directory(rows.select("hash", "bytes"), limit))
     levels = [r[0] for r in shards.select("bits").distinct().collect()]  # at most BITS values
     choices = F.array(*[F.struct(F.lit(b).alias("bits"), _prefix(b).alias("cell")) for b in sorted(levels)]) if levels else F.array()
     if not levels:
