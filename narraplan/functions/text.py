@@ -84,7 +84,7 @@ def key_term(text: Column, terms: Sequence[str] = lx.KEY_TERMS,
     """First listed term found at a word start, else the first name-like word, else null."""
     low = F.lower(text)
     known = [
-        F.when(F.contains(low, F.lit(t.lower())) & low.rlike(rf"\b{re.escape(t)}"), F.lit(t))
+        F.when(F.contains(low, F.lit(t.lower())) & low.rlike(rf"\b{re.escape(t.lower())}"), F.lit(t))
         for t in terms
     ]
     return F.coalesce(*known, _name_like(text, stop))

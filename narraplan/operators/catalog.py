@@ -78,10 +78,10 @@ def ladder_rows(scenes: DataFrame) -> DataFrame:
 def token_overlap(queries: DataFrame, catalog: DataFrame,
                   person: Sequence[str] = lx.PERSON_WORDS,
                   animal: Sequence[str] = lx.ANIMAL_WORDS) -> DataFrame:
-    """(query, source, words, rel) for distinct queries and distinct clip token sets.
+    """(query, source, words, rel, conflict) for distinct queries and distinct clip token sets.
 
     rel is 3 per shared token, less 8 when the query names a person and the clip only an
-    animal. An equi join on the token; pairs without a shared token have rel 0 and are not
+    animal (conflict). An equi join on the token; pairs without a shared token have rel 0 and are not
     made. Partial counts fold before the shuffle.
     """
     persons, animals = tx.word_array(person), tx.word_array(animal)
@@ -101,7 +101,8 @@ def token_overlap(queries: DataFrame, catalog: DataFrame,
     return (
         shared.groupBy("query", "source", "words", "_asks", "_clash")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select("query", "source", "words", (F.lit(3.0) * F.col("_n") - penalty).alias("rel"))
+        .select("query", "source", "words", (F.lit(3.0) * F.col("_n") - penalty).alias("rel"),
+                (F.col("_asks") & F.col("_clash")).alias("conflict"))
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
@@ -10,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-
-MAX_CONCEPTS = 2000
+from ..functions import patterns
 
 
 class Concept(NamedTuple):
@@ -26,59 +24,18 @@ class Concept(NamedTuple):
 
 
 def concepts_from(df: DataFrame) -> list[Concept]:
-    """Read a concept table (priority, pattern, visual, anchor) of checked size.
-
-    Patterns become literals so that each is compiled once per task.
-    """
-    rows = df.orderBy("priority").limit(MAX_CONCEPTS + 1).collect()
-    if len(rows) > MAX_CONCEPTS:
-        raise ValueError(f"more than {MAX_CONCEPTS} concepts")
-    return [Concept(r.pattern, r.visual, r.anchor) for r in rows]
-
-
-def _seeds(pattern: str) -> list[str] | None:
-    """Literals of which one must occur wherever the pattern matches, or None."""
-    if re.search(r"[()\[\]{}]", pattern):
-        return None
-    found = []
-    for branch in pattern.split("|"):
-        plain = re.sub(r"\\[bBwWdDsS]|\\.|[.^$]|.[?*]", "\n", branch)
-        best = max(re.findall(r"[a-z0-9]+", plain), key=len, default="")
-        if len(best) < 2:
-            return None
-        found.append(best)
-    return found
-
-
-def _found(low: Column, pattern: str) -> Column:
-    seeds = _seeds(pattern)
-    if seeds is None:
-        return low.rlike(pattern)
-    hit = F.lit(False)
-    for s in seeds:
-        hit = hit | F.contains(low, F.lit(s))
-    # a literal-only pattern is its own seeds: no regex needed
-    return hit if pattern == "|".join(seeds) else hit & low.rlike(pattern)
+    """Read a topic's dictionary (priority, pattern, visual, anchor); its patterns go to every task."""
+    return [Concept(r.pattern, r.visual, r.anchor) for r in df.orderBy("priority").collect()]
 
 
 def concept_ids(text: Column, concepts: Sequence[Concept], limit: int = 2) -> Column:
     """Priorities of the first ``limit`` concepts found in the text."""
-    low = F.lower(text)
-    marks = F.array(*[F.when(_found(low, c.pattern), F.lit(i)) for i, c in enumerate(concepts)])
-    return F.slice(F.array_compact(marks), 1, limit)
+    return patterns.first_found(F.lower(text), [c.pattern for c in concepts], limit)
 
 
 def topic_id(text: Column, concepts: Sequence[Concept]) -> Column:
     """Priority of the concept with most hits, the earlier on ties; null when none."""
-    low = F.lower(text)
-    hits = F.array(*[
-        F.when(
-            _found(low, c.pattern),
-            F.struct(F.regexp_count(low, F.lit(c.pattern)).alias("hits"), F.lit(-i).alias("rank")),
-        )
-        for i, c in enumerate(concepts)
-    ])
-    return -F.array_max(F.array_compact(hits))["rank"]
+    return patterns.most_found(F.lower(text), [c.pattern for c in concepts])
 
 
 def _pick(values: Sequence[str], index: Column) -> Column:

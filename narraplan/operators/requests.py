@@ -24,7 +24,8 @@ def micros(ts: Column) -> Column:
 
 def trailing_rate(requests: DataFrame, window_s: int, max_requests: int,
                   keys: Sequence[str] = ("provider",)) -> DataFrame:
-    """Add in_window, the requests in (now - window, now], and throttled.
+    """Add in_window, the requests in (now - window, now], and throttled:
+    as many as allowed came before it in the window.
 
     Each request enters the line at its time and leaves it one window later; the running
     sum of the two is the count. No request is copied into several windows.
@@ -42,7 +43,7 @@ def trailing_rate(requests: DataFrame, window_s: int, max_requests: int,
     block = F.floor(F.col("_us") / F.lit(TIME_BLOCK_S * US))
     counted = running_sum(line, keys, ["_us"], block, F.col("_delta"), "in_window", peers=True)
     return counted.where(F.col("_delta") == 1).withColumn(
-        "throttled", F.col("in_window") >= F.lit(max_requests)
+        "throttled", F.col("in_window") > F.lit(max_requests)
     ).drop("_us", "_delta")
 
 

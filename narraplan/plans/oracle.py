@@ -325,7 +325,8 @@ CATALOG = f"""clips AS MATERIALIZED (
   FROM (SELECT DISTINCT query FROM ladder))
 , overlap AS MATERIALIZED (
   SELECT query, source, words, (3.0 * len(list_intersect(qw, words)) - CASE WHEN list_has_any(qw, {_list(fx.PERSONS)})
-      AND list_has_any(words, {_list(fx.ANIMALS)}) AND NOT list_has_any(words, {_list(fx.PERSONS)}) THEN 8.0 ELSE 0.0 END)::DOUBLE AS rel
+      AND list_has_any(words, {_list(fx.ANIMALS)}) AND NOT list_has_any(words, {_list(fx.PERSONS)}) THEN 8.0 ELSE 0.0 END)::DOUBLE AS rel,
+    list_has_any(qw, {_list(fx.PERSONS)}) AND list_has_any(words, {_list(fx.ANIMALS)}) AND NOT list_has_any(words, {_list(fx.PERSONS)}) AS conflict
   FROM queries JOIN (SELECT DISTINCT source, words FROM clips) ON list_has_any(qw, words))
 , results AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY rel DESC, source_rank) AS result_no
@@ -551,7 +552,7 @@ ORACLE: dict[str, str] = {
     "src6_plan_reader": _with(PLANNED, f"SELECT p.*, scene - 1 AS plan_pos FROM ({_PLAN}) p"),
     "snk1_plan_export": _with(PLANNED, _PLAN),
     "snk2_audit_report": _with(CATALOG + SIMS + WEAK + SIM_PREFS + AUDIT, "SELECT * FROM audit"),
-    "snk3_progress_sink": _with(SCENES + PRINTS, """SELECT DISTINCT fingerprint, scene_idx, 'scene_' || scene_idx AS output FROM completed"""),
+    "snk3_progress_sink": _with(SCENES + PRINTS, """SELECT DISTINCT fingerprint, scene_idx, CASE WHEN scene_idx % 2 = 0 THEN 'scene_' ELSE 'zz_' END || scene_idx AS output FROM completed"""),
     "p1_sentence_split": _with(SENTS, "SELECT * FROM sents"),
     "p2_word_tokens": _with(SENTS + WORDS, "SELECT script_id, word_idx, sent_idx, token FROM words"),
     "p3_token_norm": _with(SENTS + WORDS, f"""SELECT token, n, {_norm('token')} AS norm,
@@ -590,7 +591,7 @@ ORACLE: dict[str, str] = {
     "p16_card_eligible": _with(SCENES, f"SELECT script_id, scene_idx, n_words, {ELIGIBLE} AS eligible FROM scenes"),
     "p17_fingerprint": _with(SCENES + PRINTS, "SELECT * FROM prints"),
     "j1_token_overlap": _with(CATALOG, "SELECT query, source, array_to_string(words, '|') AS words, rel FROM overlap"),
-    "j2_class_conflict": _with(CATALOG, "SELECT query, source, count(*) AS n_sets, min(rel) AS lowest FROM overlap WHERE rel < 0 GROUP BY ALL"),
+    "j2_class_conflict": _with(CATALOG, "SELECT query, source, count(*) AS n_sets, min(rel) AS lowest FROM overlap WHERE conflict GROUP BY ALL"),
     "j3_concept_tags": _with(SCENES + TAGS, "SELECT script_id, scene_idx, visual, anchor, second_visual FROM tags"),
     "j4_alternates": _with(SCENES + TAGS + ROTATED, 'SELECT script_id, scene_idx, visual, prim AS "primary" FROM rotated WHERE visual IS NOT NULL'),
     "j5_plan_override": _with(PLANNED, "SELECT script_id, scene_idx, array_to_string(list_reverse(keywords), '|') AS keywords FROM planned"),
@@ -640,7 +641,7 @@ ORACLE: dict[str, str] = {
     "w7_estimated_windows": _with(SCENES + CAPTION_TOKENS + ESTIMATED, """SELECT script_id, scene_idx, chunk_idx, word_idx,
       round(start_ms, 4) AS start_ms, round(end_ms, 4) AS end_ms FROM estimated"""),
     "w8_timed_windows": _with(SCENES + WORDS + RELATIVE + CAPTION_TOKENS + TIMED, "SELECT * FROM timed"),
-    "w9_trailing_rate": _with(LOG[2:], f"""SELECT provider, event_id, in_window, in_window >= {fx.RATE_MAX} AS throttled FROM (
+    "w9_trailing_rate": _with(LOG[2:], f"""SELECT provider, event_id, in_window, in_window > {fx.RATE_MAX} AS throttled FROM (
       SELECT *, count(*) OVER (PARTITION BY provider ORDER BY us RANGE BETWEEN {fx.RATE_WINDOW_S * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS in_window FROM log)"""),
     "w10_speech_before": _with(FRAMES, "SELECT * FROM speech"),
     "t1_first_scenes": _with(SCENES, "SELECT script_id, scene_idx, start_ms, end_ms FROM scenes WHERE scene_idx < 5"),
@@ -695,13 +696,13 @@ ORACLE: dict[str, str] = {
       LEFT JOIN bounds b ON b.rec_id = s.script_id AND b.bound_idx = s.sent_idx
       WINDOW w AS (PARTITION BY s.script_id ORDER BY s.sent_idx)"""),
     "c6_request_report": _with(LOG[2:] + _spaced("log", "provider, query", "us", "event_id", str(fx.TTL_S * 1_000_000), ">"), f"""
-      SELECT * FROM (SELECT provider, count(*) AS requests, max(n) AS peak, count_if(n >= {fx.RATE_MAX}) AS throttled FROM (
+      SELECT * FROM (SELECT provider, count(*) AS requests, max(n) AS peak, count_if(n > {fx.RATE_MAX}) AS throttled FROM (
         SELECT *, count(*) OVER (PARTITION BY provider ORDER BY us RANGE BETWEEN {fx.RATE_WINDOW_S * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS n FROM log)
         GROUP BY provider)
       JOIN (SELECT provider, sum(greatest(n - {fx.MONTH_LIMIT}, 0))::BIGINT AS refused FROM (
         SELECT provider, strftime(ts, '%Y-%m') AS month, count(*) AS n FROM log GROUP BY ALL) GROUP BY provider) USING (provider)
       JOIN (SELECT provider, count_if(NOT kept) AS hits, count_if(kept) AS misses FROM spaced GROUP BY provider) USING (provider)"""),
-    "st1_request_rate": f"""SELECT provider, w AS window_start_s, count(*) AS n, count(*) >= {fx.RATE_MAX} AS alert FROM (
+    "st1_request_rate": f"""SELECT provider, w AS window_start_s, count(*) AS n, count(*) > {fx.RATE_MAX} AS alert FROM (
       SELECT event_type AS provider, epoch_us(ts) AS us, unnest([epoch_us(ts) // 1800000000 * 1800 - 1800, epoch_us(ts) // 1800000000 * 1800]) AS w FROM events)
       WHERE (w + 3600) * 1000 <= (SELECT max(epoch_us(ts) // 1000) FROM events) GROUP BY ALL""",
     "st3_ttl_suppression": _with(

@@ -214,12 +214,39 @@ def test_no_repeat_assignment(spark):
     assert got == [("2", "text"), ("1", "used"), ("1", "used")]
 
 
-def test_progress_sink_is_idempotent(spark, tmp_path):
+def test_throttle_counts_earlier_requests_only(spark):
+    from narraplan.operators import requests
+
+    rows = spark.sql("SELECT 'a' AS provider, timestamp_seconds(id) AS ts, id FROM range(4)")
+    got = {r.id: r.throttled for r in requests.trailing_rate(rows, 60, 3).collect()}
+    assert got == {0: False, 1: False, 2: False, 3: True}
+
+
+def test_listed_term_with_capital(spark):
+    row = spark.range(1).select(tx.key_term(F.lit("your melatonin dose"), terms=["Melatonin"]).alias("t")).first()
+    assert row.t == "Melatonin"
+
+
+def test_patterns_with_and_without_seeds():
+    from narraplan.functions.patterns import Finder
+
+    finder = Finder(["cat", r"\btea", "(dog|wolf)s", "owl|bat", "kidn.*stone", "[xyz]q"])
+    assert finder.first("étea cats and dogs, a bat", 9) == [0, 2, 3]
+    assert finder.first("tea, kidney or stone", 2) == [1, 4]
+    assert finder.most("bat owl dogs cat") == 3 and finder.most("cat dogs") == 0 and finder.most("none") is None
+    assert finder.first(None, 2) == [] and Finder([]).most("x") is None
+
+
+def test_progress_sink_keeps_the_newest(spark, tmp_path):
     path = str(tmp_path / "progress")
     rows = spark.createDataFrame([("f", 0, "a"), ("f", 1, "b"), ("g", 0, "c")], "fingerprint string, scene_idx long, output string")
-    sinks.write_progress(rows, path)
-    sinks.write_progress(rows.limit(2), path)
-    assert spark.read.parquet(path).count() == 3
+    assert sinks.read_progress(spark, path).count() == 0
+    newer = spark.createDataFrame([("f", 0, "A")], rows.schema)
+    for batch, part in ((0, rows), (0, rows), (1, newer)):
+        sinks.write_progress(part, path, batch)
+    got = {(r.fingerprint, r.scene_idx): r.output for r in sinks.read_progress(spark, path).collect()}
+    assert got == {("f", 0): "A", ("f", 1): "b", ("g", 0): "c"}
+    assert sinks.read_progress(spark, path, before=1).where("output = 'A'").count() == 0
 
 
 @pytest.mark.parametrize("name", ["c1_script_plan", "g4_card_spacing", "w9_trailing_rate", "j16_cache_hits"])
