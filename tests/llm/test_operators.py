@@ -112,7 +112,7 @@ def test_toxicity(spark, docs_of, odd):
         t, bad = r.choices(words, k=60), k % 5 == 0
         if bad:
             t[r.randrange(60)] = r.choice(["vile", "v1le", "nasty"])
-        elif k % 50 == 2:
+        elif k % 100 == 2:
             t[10:12] = ["nasty", "weather"]
         texts.append(" ".join(t))
         labels.append((k, int(bad)))
