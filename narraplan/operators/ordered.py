@@ -164,24 +164,32 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 # -- greedy spacing ------------------------------------------------------------
 
 
+def spaced_scan(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], gap: int,
+                strict: bool, name: str) -> DataFrame:
+    """Mark rows kept when each must follow the last kept one of its key by ``gap`` (more, if strict)."""
+    adds = T.StructType([T.StructField(name, T.BooleanType())])
+
+    def step(last, moment):
+        if last is None or (moment - last > gap if strict else moment - last >= gap):
+            return moment, (True,)
+        return last, (False,)
+
+    return ordered_scan(df, keys, order, [at], adds, step)
+
+
 def spaced_accepts(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], gap: int,
                    strict: bool, name: str, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Mark rows kept when each must follow the last kept one by ``gap`` (more, if strict).
+    """``spaced_scan`` for groups of any size.
 
     ``at`` is an integer column and the first entry of ``order``. Groups of up to
     ``group_limit`` rows are scanned; larger ones are solved by pointer doubling on their
-    distinct ``at`` values, which shuffles on (key, at) and so has no hot partition.
+    distinct ``at`` values, which shuffles on (key, at) and so has no hot partition. For log
+    keys, which nothing bounds; a key that is one script needs only ``spaced_scan``.
     """
     keys, order = list(keys), list(order)
-    adds = T.StructType([T.StructField(name, T.BooleanType())])
-
-    def step(last, moment):
-        if last is None or (moment - last > gap if strict else moment - last >= gap):
-            return moment, (True,)
-        return last, (False,)
 
     def scan(part):
-        return ordered_scan(part, keys, order, [at], adds, step)
+        return spaced_scan(part, keys, at, order, gap, strict, name)
 
     large = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -205,7 +213,8 @@ def _doubling_accepts(df, keys, at, order, gap, strict, name):
                      F.lit(None).cast("bigint").alias("_from"))
     )
     target = F.when(F.col("_side") == 0, F.col("_pos"))
-    block = F.floor(F.col("_pos") / F.lit(gap))
+    # far narrower than the gap, so that no block holds a whole gap of the hottest key
+    block = F.floor(F.col("_pos") / F.lit(max(gap // 1024, 1)))
     jump = (
         carry(line, keys, ["_pos", "_side"], block, target, "_next", backward=True)
         .where(F.col("_from").isNotNull() & F.col("_next").isNotNull())

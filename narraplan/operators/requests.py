@@ -14,7 +14,7 @@ from ..functions import lexicon as lx
 from .ordered import GROUP_LIMIT, row_positions, running_sum, spaced_accepts
 
 US = 1_000_000
-TIME_BLOCK_S = 600
+TIME_BLOCK_S = 10  # of the busiest provider one task sorts this much
 
 
 def micros(ts: Column) -> Column:

@@ -703,23 +703,23 @@ ORACLE: dict[str, str] = {
         SELECT provider, strftime(ts, '%Y-%m') AS month, count(*) AS n FROM log GROUP BY ALL) GROUP BY provider) USING (provider)
       JOIN (SELECT provider, count_if(NOT kept) AS hits, count_if(kept) AS misses FROM spaced GROUP BY provider) USING (provider)"""),
     "st1_request_rate": f"""SELECT provider, w AS window_start_s, count(*) AS n, count(*) > {fx.RATE_MAX} AS alert FROM (
-      SELECT event_type AS provider, epoch_us(ts) AS us, unnest([epoch_us(ts) // 1800000000 * 1800 - 1800, epoch_us(ts) // 1800000000 * 1800]) AS w FROM events)
-      WHERE (w + 3600) * 1000 <= (SELECT max(epoch_us(ts) // 1000) FROM events) GROUP BY ALL""",
+      SELECT event_type AS provider, epoch_us(ts) AS us, unnest([epoch_us(ts) // 1800000000 * 1800 - 1800, epoch_us(ts) // 1800000000 * 1800]) AS w FROM events) GROUP BY ALL""",
     "st3_ttl_suppression": _with(
         "items AS MATERIALIZED (SELECT event_type || '|' || user_id AS stream_key, epoch_us(ts) // 1000 AS at_ms, event_id AS seq FROM events)"
         + _spaced("items", "stream_key", "at_ms", "seq", str(fx.TTL_S * 1000), ">"),
-        "SELECT stream_key, at_ms, seq, kept FROM spaced WHERE at_ms < (SELECT max(at_ms) FROM items)"),
+        "SELECT stream_key, at_ms, seq, kept FROM spaced"),
     "st4_cool_down": _with(
         """items AS MATERIALIZED (SELECT user_id::VARCHAR AS stream_key, epoch_us(ts) // 1000 AS at_ms, event_id AS seq
           FROM events WHERE event_type IN ('click', 'signup', 'purchase'))"""
         + _spaced("items", "stream_key", "at_ms", "seq", str(fx.CUE_GAP_MS), ">="),
-        "SELECT stream_key, at_ms, seq, kept FROM spaced WHERE at_ms < (SELECT max(at_ms) FROM items)"),
+        "SELECT stream_key, at_ms, seq, kept FROM spaced"),
     "st5_incremental_plan": _with(SCENES + PRINTS.replace(SETTINGS, "4.0|2.5"), """SELECT fingerprint, scene_idx, max(md5(s.text)) AS output
       FROM scenes s JOIN prints USING (script_id) GROUP BY ALL"""),
-    "st6_silence_sessions": """WITH quiet AS (SELECT user_id AS rec_id, epoch_us(ts) AS us FROM events WHERE 20 * log10(value / 500.0 + 1e-12) < -38)
+    "st6_silence_sessions": _with(FRAMES, """, quiet AS (SELECT rec_id, epoch_us(ts) AS us FROM events JOIN thresholds ON rec_id = user_id
+        WHERE round(20 * log10(value / 500.0 + 1e-12), 9) < threshold_db)
       , marked AS (SELECT *, sum(CASE WHEN us - prev < 21600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY rec_id ORDER BY us) AS session
         FROM (SELECT *, lag(us) OVER (PARTITION BY rec_id ORDER BY us) AS prev FROM quiet))
       SELECT rec_id, count(*) AS n_frames, min(us) AS first_us, max(us) AS last_us FROM marked GROUP BY rec_id, session
-      HAVING count(*) >= 2 AND (max(us) + 21600000000) // 1000 <= (SELECT max(us) // 1000 FROM quiet)""",
+      HAVING count(*) >= 2"""),
     "st2_budget_count": "SELECT event_type AS provider, strftime(ts, '%Y-%m') AS month, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -692,7 +692,7 @@ def st5_incremental_plan(spark, sf):
 
 
 def st6_silence_sessions(spark, sf):
-    return jobs.run_silence_sessions(spark, sf)
+    return jobs.run_silence_sessions(spark, sf, pauses.silence_thresholds(fx.event_frames(spark, sf)))
 
 
 # -- pipelines -------------------------------------------------------------------
