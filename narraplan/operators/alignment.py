@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from .ordered import ordered_scan
+from .ordered import cut_lineage, ordered_scan
 from .scripts import script_words, split_sentences
 
 GRAM = 3
@@ -72,8 +72,9 @@ def _monotone(pairs: DataFrame) -> DataFrame:
 def match_words(scripts: DataFrame, asr: DataFrame) -> DataFrame:
     """(script_id, word_idx, asr_idx, start_ms, end_ms): script words found in the transcript.
 
-    Word triples that occur once on both sides anchor the match. Both sides meet in one
-    aggregation with partial counts, so nothing is joined and repeated triples cost nothing.
+    Word triples that occur once on both sides anchor the match. A script without such a triple
+    is anchored by triples both sides hold equally often, taken in order. Both sides meet in
+    one aggregation, so nothing is joined; a group is a triple of one script.
     """
     script = _script_grams(scripts)
     heard = _heard_grams(asr)
@@ -83,12 +84,15 @@ def match_words(scripts: DataFrame, asr: DataFrame) -> DataFrame:
     mine, other = F.col("_side") == 0, F.col("_side") == 1
     anchors = (
         both.groupBy("script_id", "gram")
-        .agg(F.count_if(mine).alias("_n"), F.count_if(other).alias("_m"),
-             F.min(F.when(mine, F.col("pos"))).alias("word_idx"),
-             F.min(F.when(other, F.col("pos"))).alias("asr_idx"),
-             F.max("times").alias("times"))
-        .where((F.col("_n") == 1) & (F.col("_m") == 1))
-        .select("script_id", "word_idx", "asr_idx", "times")
+        .agg(F.array_sort(F.collect_list(F.when(mine, F.col("pos")))).alias("_mine"),
+             F.array_sort(F.collect_list(F.when(other, F.struct("pos", "times")))).alias("_heard"))
+        .where((F.size("_mine") > 0) & (F.size("_mine") == F.size("_heard")))
+        .select("script_id", (F.size("_mine") == 1).alias("_once"),
+                F.explode(F.arrays_zip("_mine", "_heard")).alias("_x"))
+        .select("script_id", "_once", F.col("_x._mine").alias("word_idx"),
+                F.col("_x._heard.pos").alias("asr_idx"), F.col("_x._heard.times").alias("times"))
+        .withColumn("_any", F.max("_once").over(Window.partitionBy("script_id")))
+        .where(F.col("_once") | ~F.col("_any")).drop("_once", "_any")
     )
     per_word = (
         _monotone(anchors)
@@ -161,6 +165,42 @@ def align_words(scripts: DataFrame, asr: DataFrame) -> DataFrame:
     )
 
 
+def timed_spans(scripts: DataFrame, asr: DataFrame, paused: DataFrame | None = None,
+                words_per_second: float = lx.WORDS_PER_SECOND) -> DataFrame:
+    """Sentence spans of every script that has a sentence, with ``timing``: words where the
+    transcript matches anywhere; else pauses where ``paused`` (script_id, sent_idx, start_ms,
+    end_ms) covers the script; else pace, from the number of words alone.
+
+    The spans from words feed two readers, so they are written once.
+    """
+    heard = cut_lineage(sentence_spans(align_words(scripts, asr)))
+    found = heard.select("script_id").distinct()
+    sents = split_sentences(scripts).select("script_id", "sent_idx", "n_words")
+    upto = Window.partitionBy("script_id").orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, 0)
+    ms = 1000.0 / words_per_second
+    rest = (
+        sents.join(found, "script_id", "left_anti")
+        .withColumn("_upto", F.sum("n_words").over(upto))
+        .withColumn("first_word", F.col("_upto") - F.col("n_words"))
+        .withColumn("n_matched", F.lit(0).cast("bigint"))
+        .withColumn("timing", F.lit("pace"))
+        .withColumn("start_ms", F.col("first_word") * ms)
+        .withColumn("end_ms", F.col("_upto") * ms)
+    )
+    if paused is not None:
+        at = paused.select("script_id", "sent_idx", F.col("start_ms").cast("double").alias("_from"),
+                           F.col("end_ms").cast("double").alias("_to"))
+        rest = rest.join(at, ["script_id", "sent_idx"], "left").withColumn(
+            "_all", F.every(F.col("_from").isNotNull()).over(Window.partitionBy("script_id"))
+        ).withColumns({
+            "timing": F.when(F.col("_all"), "pauses").otherwise("pace"),
+            "start_ms": F.when(F.col("_all"), F.col("_from")).otherwise(F.col("start_ms")),
+            "end_ms": F.when(F.col("_all"), F.col("_to")).otherwise(F.col("end_ms")),
+        })
+    heard = heard.withColumn("timing", F.lit("words"))
+    return heard.unionByName(rest.select(*heard.columns))
+
+
 def alignment_rate(spans: DataFrame) -> DataFrame:
     """Matched words, all words and their ratio per script, from spans with n_matched."""
     hits, n = F.sum("n_matched"), F.sum("n_words")
@@ -223,7 +263,7 @@ def timed_scene_index(spans: DataFrame, target_ms: int = lx.TARGET_SCENE_MS) ->
 
 
 def bucket_timed_scenes(scripts: DataFrame, spans: DataFrame,
-                        target_ms: int = lx.TARGET_SCENE_MS, check: bool = False) -> DataFrame:
+                        target_ms: int = lx.TARGET_SCENE_MS, check: bool = True) -> DataFrame:
     """Scenes from spoken sentence times; each ends where the next begins.
 
     The scenes of a script, a few numbers each, travel to its text, which is cut in its row.

@@ -106,24 +106,36 @@ def token_overlap(queries: DataFrame, catalog: DataFrame,
     )
 
 
-def search(queries: DataFrame, catalog: DataFrame, per_query: int = lx.RESULTS_PER_QUERY,
+def answer_results(answers: DataFrame, person: Sequence[str] = lx.PERSON_WORDS,
+                   animal: Sequence[str] = lx.ANIMAL_WORDS) -> DataFrame:
+    """Add rel to what providers answered: (query, source, video_id, width, duration_s, desc, result_no).
+
+    The same relevance as ``token_overlap``, in the row and without a join, so answers that
+    share no word with their query keep rel 0 (or the penalty) and pass a floor of 0.
+    """
+    persons, animals = tx.word_array(person), tx.word_array(animal)
+    asked, words = query_words(F.col("query")), desc_words(F.col("desc"))
+    clash = F.arrays_overlap(asked, persons) & F.arrays_overlap(words, animals) & ~F.arrays_overlap(words, persons)
+    shared = F.size(F.array_intersect(asked, words))
+    return answers.withColumn("rel", F.lit(3.0) * shared - F.when(clash, F.lit(8.0)).otherwise(F.lit(0.0)))
+
+
+def search(queries: DataFrame, catalog: DataFrame, per_query: int | None = lx.RESULTS_PER_QUERY,
            **classes) -> DataFrame:
-    """A provider's answer: the ``per_query`` best clips of a source by overlap, then rank.
+    """A provider's answer: the ``per_query`` best clips of a source by overlap, then rank; None keeps all.
 
     Each token set first offers only its own best-ranked clips, so a query meets at most
     ``per_query`` clips of one token set.
     """
     keyed = catalog.select(*CLIP, F.array_sort(desc_words(F.col("desc"))).alias("words"))
     same = Window.partitionBy("source", "words").orderBy("source_rank")
-    heads = keyed.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= per_query).drop("_r")
+    heads = keyed if per_query is None else (
+        keyed.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= per_query).drop("_r"))
     overlap = token_overlap(queries, catalog, **classes)
     best = Window.partitionBy("query", "source").orderBy(F.col("rel").desc(), "source_rank")
-    return (
-        overlap.join(heads, ["source", "words"])
-        .withColumn("result_no", F.row_number().over(best).cast("bigint"))
-        .where(F.col("result_no") <= per_query)
-        .drop("words")
-    )
+    found = overlap.join(heads, ["source", "words"]).drop("words").withColumn(
+        "result_no", F.row_number().over(best).cast("bigint"))
+    return found if per_query is None else found.where(F.col("result_no") <= per_query)
 
 
 def score_results(requests: DataFrame, results: DataFrame) -> DataFrame:
@@ -137,14 +149,12 @@ def score_results(requests: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def top_candidates(scored: DataFrame, k: int = lx.TOP_CANDIDATES) -> DataFrame:
-    """The k best passing results per (query, source, needed_ms); ties keep source order."""
+def top_candidates(scored: DataFrame, k: int | None = lx.TOP_CANDIDATES) -> DataFrame:
+    """The k best (None: all) passing results per (query, source, needed_ms); ties keep source order."""
     w = Window.partitionBy("query", "source", "needed_ms").orderBy(F.col("score").desc(), "result_no")
-    return (
-        scored.where(F.col("rel") >= relevance_floor(F.col("query")))
-        .withColumn("cand_rank", F.row_number().over(w).cast("bigint"))
-        .where(F.col("cand_rank") <= k)
-    )
+    ranked = scored.where(F.col("rel") >= relevance_floor(F.col("query"))).withColumn(
+        "cand_rank", F.row_number().over(w).cast("bigint"))
+    return ranked if k is None else ranked.where(F.col("cand_rank") <= k)
 
 
 def without_used(candidates: DataFrame, used: DataFrame) -> DataFrame:
@@ -237,12 +247,15 @@ def weak_preferences(weak: DataFrame, keys: Sequence[str] = ("sig",)) -> DataFra
 
 
 def best_pick(choices: DataFrame, scenes: DataFrame) -> DataFrame:
-    """The first choice of every scene, repeats allowed: a passing clip before a weak one."""
+    """The first choice of every scene, repeats allowed: a passing clip before a weak one.
+
+    A scene without any choice stays, with tier 'none'.
+    """
     w = Window.partitionBy("sig").orderBy("kind", "pref")
     first = choices.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
     return signed(scenes).select("script_id", "scene_idx", "sig").join(
-        first.select("sig", "tier", "query", "source", "video_id", "score"), "sig"
-    ).drop("sig")
+        first.select("sig", "tier", "query", "source", "video_id", "score"), "sig", "left"
+    ).drop("sig").withColumn("tier", F.coalesce("tier", F.lit("none")))
 
 
 def assign_unrepeated(choices: DataFrame, scenes: DataFrame, shots: DataFrame,
@@ -251,7 +264,8 @@ def assign_unrepeated(choices: DataFrame, scenes: DataFrame, shots: DataFrame,
 
     ``choices`` holds, per signature, kind 0 (passes the floor) and kind 1 (below it; serves
     only signatures without kind 0) in order of pref. A scene whose passing clips are all
-    taken repeats the best-scored one (tier 'used'). ``seeded`` lists clips (script_id,
+    taken repeats the best-scored one (tier 'used'); one that found nothing, or whose weak clips
+    are all taken, has shots without a clip (tier 'none'). ``seeded`` lists clips (script_id,
     source, video_id) that earlier runs used.
 
     A signature has at most queries x providers x results choices. A scene reads only as many
@@ -292,16 +306,16 @@ def assign_unrepeated(choices: DataFrame, scenes: DataFrame, shots: DataFrame,
         counts.withColumn("_reach", (F.col("_limit") + seeds).cast("int"))
         .withColumn("_seed", F.when(F.row_number().over(first) == 1, F.col("_seed")))
         .join(signed(scenes).select("script_id", "scene_idx", "sig"), ["script_id", "scene_idx"])
-        .join(per_sig, "sig")
+        .join(per_sig, "sig", "left")
         .select("script_id", "scene_idx", "n_shots", "_seed", "_again",
-                F.slice("_options", F.lit(1), F.col("_reach")).alias("_options"))
+                F.slice(F.coalesce("_options", F.array()), F.lit(1), F.col("_reach")).alias("_options"))
         .withColumn("_clips", F.transform("_options", lambda o: o["clip"]))
         .withColumn("_repeats", F.col("_again").isNotNull())
     )
     adds = T.StructType([T.StructField("_picks", T.ArrayType(T.IntegerType()))])
 
     def step(used, clips, n_shots, repeats, seed):
-        """Picks as 1-based positions in the options, 0 for the repeated clip."""
+        """Picks as 1-based positions in the options, 0 for the repeated clip, -1 for none."""
         used = set() if used is None else used
         used.update(seed or ())
         made = []
@@ -310,14 +324,14 @@ def assign_unrepeated(choices: DataFrame, scenes: DataFrame, shots: DataFrame,
             if at is not None:
                 used.add(clips[at])
                 made.append(at + 1)
-            elif repeats:
-                made.append(0)
+            else:
+                made.append(0 if repeats else -1)
         return used, (made,)
 
     picked = ordered_scan(
         work, ["script_id"], ["scene_idx"], ["_clips", "n_shots", "_repeats", "_seed"], adds, step
     )
-    pick = F.get("_options", F.col("_at") - 1)
+    pick = F.get("_options", F.col("_at") - 1)  # null below 0
     chosen = F.when(F.col("_at") == 0, F.col("_again")).otherwise(F.struct(*[pick[c].alias(c) for c in facts]))
     return (
         picked.select("script_id", "scene_idx", "_options", "_again",
@@ -330,7 +344,7 @@ def assign_unrepeated(choices: DataFrame, scenes: DataFrame, shots: DataFrame,
             F.col("_o.query").alias("query"),
             F.substring_index("_o.clip", ":", 1).alias("source"),
             F.expr("substring(_o.clip, instr(_o.clip, ':') + 1)").alias("video_id"),
-            F.when(F.col("_at") == 0, "used").otherwise(F.col("_o.tier")).alias("tier"),
+            F.when(F.col("_at") == 0, "used").when(F.col("_at") < 0, "none").otherwise(F.col("_o.tier")).alias("tier"),
             F.col("_o.sim").alias("sim"),
         )
     )

@@ -384,7 +384,7 @@ def _assign(open_scenes: str) -> str:
 , shots AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY script_id ORDER BY scene_idx, shot_idx) AS pos FROM (
     SELECT script_id, scene_idx, unnest(range(0, least(3, greatest(1, ceil(needed_ms / {MAX_SHOT_MS}.0)))::BIGINT)) AS shot_idx
-    FROM ({open_scenes})) s JOIN options o USING (script_id, scene_idx))
+    FROM ({open_scenes})) s LEFT JOIN options o USING (script_id, scene_idx))
 , picking AS (
   SELECT script_id, 0::BIGINT AS pos, []::VARCHAR[] AS used, NULL::BIGINT AS scene_idx, NULL::BIGINT AS shot_idx,
     NULL::VARCHAR AS query, NULL::VARCHAR AS clip, NULL::VARCHAR AS tier FROM (SELECT DISTINCT script_id FROM shots)
@@ -392,13 +392,13 @@ def _assign(open_scenes: str) -> str:
   SELECT script_id, pos, CASE WHEN free IS NULL THEN used ELSE list_append(used, clips[free]) END, scene_idx, shot_idx,
     CASE WHEN free IS NOT NULL THEN qs[free] WHEN n_pass > 0 THEN again_q END,
     CASE WHEN free IS NOT NULL THEN clips[free] WHEN n_pass > 0 THEN again_c END,
-    CASE WHEN free IS NULL THEN 'used' ELSE tiers[free] END
-  FROM (SELECT s.*, p.used, list_filter(range(1, (CASE WHEN n_pass > 0 THEN n_pass ELSE len(clips) END + 1)::BIGINT),
+    CASE WHEN free IS NOT NULL THEN tiers[free] WHEN n_pass > 0 THEN 'used' ELSE 'none' END
+  FROM (SELECT s.*, p.used, list_filter(range(1, (CASE WHEN n_pass > 0 THEN n_pass ELSE coalesce(len(clips), 0) END + 1)::BIGINT),
       lambda i: NOT list_contains(p.used, s.clips[i]))[1] AS free
     FROM picking p JOIN shots s ON s.script_id = p.script_id AND s.pos = p.pos + 1))
 , picks AS MATERIALIZED (
   SELECT script_id, scene_idx, shot_idx, query, string_split(clip, ':')[1] AS source, string_split(clip, ':')[2] AS video_id, tier
-  FROM picking WHERE clip IS NOT NULL)"""
+  FROM picking WHERE pos > 0)"""
 
 
 # cards among the request scenes: four-word texts are all eligible from scene 1 on
@@ -465,9 +465,11 @@ def _grams(source: str, idx: str) -> str:
     FROM {source} WINDOW w AS (PARTITION BY script_id ORDER BY {idx})) WHERE a <> '' AND b <> '' AND c <> '')"""
 
 
-MATCHED = SENTS + WORDS + ASR + f""", sg AS (SELECT script_id, gram, min(pos) AS word_idx FROM {_grams('words', 'word_idx')} GROUP BY ALL HAVING count(*) = 1)
-, ag AS (SELECT script_id, gram, min(pos) AS asr_idx FROM {_grams('asr', 'asr_idx')} GROUP BY ALL HAVING count(*) = 1)
-, anchors AS MATERIALIZED (SELECT script_id, word_idx, asr_idx FROM sg JOIN ag USING (script_id, gram))""" + _up_down(
+MATCHED = SENTS + WORDS + ASR + f""", sg AS (SELECT *, count(*) OVER g AS n, row_number() OVER (g ORDER BY pos) AS k FROM {_grams('words', 'word_idx')} WINDOW g AS (PARTITION BY script_id, gram))
+, ag AS (SELECT *, count(*) OVER g AS n, row_number() OVER (g ORDER BY pos) AS k FROM {_grams('asr', 'asr_idx')} WINDOW g AS (PARTITION BY script_id, gram))
+, anchors AS MATERIALIZED (SELECT script_id, word_idx, asr_idx FROM (
+    SELECT script_id, n, sg.pos AS word_idx, ag.pos AS asr_idx, min(n) OVER (PARTITION BY script_id) AS least_n
+    FROM sg JOIN ag USING (script_id, gram, n, k)) WHERE n = 1 OR least_n > 1)""" + _up_down(
     "anchors", "kept") + """, per_word AS MATERIALIZED (
   SELECT script_id, word_idx + k AS word_idx, min(asr_idx + k) AS asr_idx
   FROM kept, (VALUES (0), (1), (2)) t(k) GROUP BY ALL)""" + _up_down("per_word", "matches")
@@ -630,7 +632,7 @@ ORACLE: dict[str, str] = {
       coalesce(array_to_string(list(scene_idx + 1 ORDER BY scene_idx) FILTER (is_card), '|'), '') AS card_scenes
       FROM terms GROUP BY script_id"""),
     "a11_alignment_rate": _with(ALIGNED, """SELECT script_id, count_if(matched) AS n_matched, count(*) AS n_words,
-      round(count_if(matched) / count(*), 6) AS rate FROM aligned GROUP BY script_id"""),
+      round(count_if(matched) / count(*), 6) AS rate FROM hitlines GROUP BY script_id"""),
     "w1_running_timeline": _with(SCENES, "SELECT script_id, scene_idx, start_ms, end_ms FROM scenes"),
     "w2_timeline_tiling": _with(SENTS + WORDS + SPANS, """SELECT script_id, sent_idx AS scene_idx, start_ms,
       coalesce(lead(start_ms) OVER (PARTITION BY script_id ORDER BY sent_idx), end_ms) AS end_ms FROM spans"""),
@@ -650,8 +652,9 @@ ORACLE: dict[str, str] = {
       max(struct_pack(u := uses, v := visual)) FILTER (visual IS NOT NULL).v AS top_visual,
       arg_max(scene_idx, struct_pack(n := n_words, i := -scene_idx)) AS longest_scene
       FROM (SELECT *, count(*) OVER (PARTITION BY script_id, visual) AS uses FROM planned) GROUP BY script_id"""),
-    "t4_tiered_pick": _with(CATALOG + SIMS + WEAK + SIM_PREFS, """SELECT script_id, scene_idx, tier, query, source, video_id, score FROM choices
-      QUALIFY row_number() OVER (PARTITION BY script_id, scene_idx ORDER BY kind, pref) = 1"""),
+    "t4_tiered_pick": _with(CATALOG + SIMS + WEAK + SIM_PREFS, """SELECT script_id, scene_idx, coalesce(tier, 'none') AS tier, query, source, video_id, score
+      FROM requests LEFT JOIN (SELECT * FROM choices
+        QUALIFY row_number() OVER (PARTITION BY script_id, scene_idx ORDER BY kind, pref) = 1) USING (script_id, scene_idx)"""),
     "t5_cue_order": _with(EVENT_CUES[2:], """SELECT script_id, seq, row_number() OVER (PARTITION BY script_id ORDER BY at_ms, seq) - 1 AS cue_no FROM event_cues"""),
     "u1_cue_union": _with(SCENES + CARDS + CARD_TERMS + STYLES + TYPED + CUES, "SELECT script_id, kind, at_ms FROM cues"),
     "u2_ordered_distinct": _with(SCENES, f"""SELECT script_id, scene_idx, md5(array_to_string(d, ' ')) AS distinct_md5, len(d) AS n_distinct FROM (
@@ -678,10 +681,13 @@ ORACLE: dict[str, str] = {
       LEFT JOIN styles s USING (script_id, scene_idx)"""),
     "g7_bound_clamp": _with(WALLS, "SELECT * FROM bounds"),
     "c1_script_plan": _with(PLANNED, _PLAN),
-    "c2_transcript_plan": _with(ALIGNED + SPANS.replace("word_times", "aligned") + TIMED_FOLD, """SELECT t.script_id, scene_idx, text,
-      round(t.start_ms, 3) AS start_ms, round(t.end_ms, 3) AS end_ms, pace, rate
+    "c2_transcript_plan": _with(ALIGNED + """, all_times AS MATERIALIZED (
+      SELECT script_id, word_idx, sent_idx, matched, start_ms, end_ms, 'words' AS timing FROM aligned
+      UNION ALL SELECT script_id, word_idx, sent_idx, false, word_idx * 400.0::DOUBLE, (word_idx + 1) * 400.0::DOUBLE, 'pace'
+      FROM words WHERE script_id NOT IN (SELECT script_id FROM aligned))""" + SPANS.replace("word_times", "all_times") + TIMED_FOLD,
+      """SELECT t.script_id, scene_idx, text, round(t.start_ms, 3) AS start_ms, round(t.end_ms, 3) AS end_ms, pace, rate, timing
       FROM timed_scenes t JOIN (SELECT script_id, round(count(*) / greatest(arg_max(end_ms, word_idx) / 1000.0::DOUBLE, 1e-6), 6) AS pace,
-        round(count_if(matched) / count(*), 6) AS rate FROM aligned GROUP BY script_id) USING (script_id)"""),
+        round(count_if(matched) / count(*), 6) AS rate, any_value(timing) AS timing FROM all_times GROUP BY script_id) USING (script_id)"""),
     "c3_clip_audit": _with(CATALOG + SIMS + WEAK + SIM_PREFS + AUDIT, """SELECT script_id, count(*) AS n_picks, count_if(sim >= 0.24) AS n_strong,
       count_if(sim >= 0.19 AND sim < 0.24) AS n_ok, count_if(sim < 0.19) AS n_weak FROM audit GROUP BY script_id"""),
     "c4_cue_schedule": _with(SCENES + CARDS + CARD_TERMS + STYLES + TYPED + CUES

@@ -27,31 +27,38 @@ def script_plan(corpus: DataFrame, table, alternates) -> DataFrame:
     return sinks.plan_export(planned_scenes(corpus, table, alternates))
 
 
-def transcript_plan(corpus: DataFrame, asr: DataFrame,
+def transcript_plan(corpus: DataFrame, asr: DataFrame, paused: DataFrame | None = None,
                     target_ms: int = lx.TARGET_SCENE_MS) -> DataFrame:
-    """Scenes on spoken time with the script's pace and share of matched words.
+    """Scenes on spoken time with the script's pace, share of matched words and timing (words,
+    pauses or pace): a script whose words match nothing is timed by the next way that works.
 
-    The sentence spans feed three readers, so they are written once; they are small beside
+    The sentence spans feed several readers, so they are written once; they are small beside
     the words they come from.
     """
-    spans = cut_lineage(alignment.sentence_spans(alignment.align_words(corpus, asr)))
+    spans = cut_lineage(alignment.timed_spans(corpus, asr, paused))
     scenes = alignment.bucket_timed_scenes(corpus, spans, target_ms)
     per_script = spans.groupBy("script_id").agg(
         F.round(F.sum("n_words") / F.greatest(F.max_by("end_ms", "sent_idx") / 1000.0, F.lit(1e-6)), 6).alias("pace"),
         F.round(F.sum("n_matched") / F.sum("n_words"), 6).alias("rate"),
+        F.first("timing").alias("timing"),
     )
     return scenes.join(per_script, "script_id")
 
 
 def scene_choices(scenes: DataFrame, clips: DataFrame, query_emb=None, frame_emb=None,
-                  **classes) -> DataFrame:
+                  per_query: int | None = lx.RESULTS_PER_QUERY, **classes) -> DataFrame:
     """Ranked clip choices of every scene signature, with similarity when embeddings are given.
 
-    ``query_emb`` is a function from distinct queries to (query, embedding).
+    ``query_emb`` is a function from distinct queries to (query, embedding). ``per_query`` is the
+    length of a provider's answer; None keeps whatever a search finds. Where ``clips`` has a
+    query column, its rows are answers and are scored as they are, without a search.
     """
     # both feed several branches and hold distinct values only, so they are written once
     ladder = cut_lineage(catalog.ladder_rows(catalog.signatures(scenes)))
-    results = catalog.search(ladder, clips, **classes)
+    if "query" in clips.columns:
+        results = catalog.answer_results(clips, **classes)
+    else:
+        results = catalog.search(ladder, clips, per_query, **classes)
     scored = cut_lineage(catalog.score_results(ladder, results))
     passing = F.col("rel") >= catalog.relevance_floor(F.col("query"))
     where = ["query", "source", "needed_ms"]
@@ -62,7 +69,7 @@ def scene_choices(scenes: DataFrame, clips: DataFrame, query_emb=None, frame_emb
         F.lit("weak").alias("tier"), F.lit(None).cast("double").alias("sim"),
     )
     if query_emb is None:
-        ranked = catalog.top_candidates(scored, lx.RESULTS_PER_QUERY)
+        ranked = catalog.top_candidates(scored, None)
         first = catalog.text_preferences(rows.join(ranked, where))
         first = first.withColumn("sim", F.lit(None).cast("double"))
     else:

@@ -306,9 +306,11 @@ def _flat_keys(scenes):
 
 
 def j5_plan_override(spark, sf):
-    """The exported plan with reversed keywords, applied by position."""
-    plan = readers.plan_entries(_plan_json(spark, sf)).withColumn("keywords", F.reverse("keywords"))
-    return _flat_keys(planedits.override_by_position(_planned(spark, sf), plan, check=False))
+    """The plan written to files, read back, its keywords reversed and applied by position."""
+    path = jobs.scratch_folder(spark, "plan-export")
+    sinks.write_plan(sinks.plan_export(_planned(spark, sf)), path, buckets=16)
+    plan = readers.read_plan_export(spark, path).withColumn("keywords", F.reverse("keywords"))
+    return _flat_keys(planedits.override_by_position(_planned(spark, sf), plan))
 
 
 def _edits(scenes):
@@ -328,7 +330,7 @@ def j7_shot_list(spark, sf):
     shot_list = fx.scenes(spark, sf).select(
         "script_id", "scene_idx",
         F.array(F.concat_ws(" ", F.lit("shot"), "scene_idx"), F.lit("backup shot")).alias("shots"))
-    return _flat_keys(planedits.apply_shot_list(_planned(spark, sf), shot_list, check=False))
+    return _flat_keys(planedits.apply_shot_list(_planned(spark, sf), shot_list))
 
 
 def j8_sentence_spans(spark, sf):
@@ -486,7 +488,7 @@ def a10_plan_counters(spark, sf):
 
 
 def a11_alignment_rate(spark, sf):
-    return alignment.alignment_rate(alignment.sentence_spans(_aligned(spark, sf)))
+    return alignment.alignment_rate(alignment.timed_spans(fx.corpus(spark, sf), fx.asr_words(spark, sf)))
 
 
 def _aligned(spark, sf):
@@ -705,7 +707,7 @@ def c1_script_plan(spark, sf):
 def c2_transcript_plan(spark, sf):
     return pipelines.transcript_plan(fx.corpus(spark, sf), fx.asr_words(spark, sf)).select(
         "script_id", "scene_idx", "text", F.round("start_ms", 3).alias("start_ms"),
-        F.round("end_ms", 3).alias("end_ms"), "pace", "rate")
+        F.round("end_ms", 3).alias("end_ms"), "pace", "rate", "timing")
 
 
 def _audit(spark, sf):

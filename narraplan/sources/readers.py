@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,12 +34,21 @@ PAYLOAD_B = (
 )
 
 
-def read_scripts(spark: SparkSession, path: str) -> DataFrame:
-    """Text files, one script each: (script_id, path, text). The id is a hash of the path."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("path"), F.col("value").alias("text")
-    )
-    return files.select(F.xxhash64("path").alias("script_id"), "path", "text")
+def stem_id(path: Column) -> Column:
+    """A hash of the file's name without folder and extension: a script, its transcript and its
+    plan share it. Give the readers another ``key`` where names repeat in different folders."""
+    return F.xxhash64(F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1))
+
+
+def _files(spark: SparkSession, path: str, key: Callable[[Column], Column], name: str) -> DataFrame:
+    named = spark.read.text(path, wholetext=True).select(
+        F.input_file_name().alias("path"), F.col("value").alias(name))
+    return named.select(key(F.col("path")).alias("script_id"), "path", name)
+
+
+def read_scripts(spark: SparkSession, path: str, key: Callable[[Column], Column] = stem_id) -> DataFrame:
+    """Text files, one script each: (script_id, path, text)."""
+    return _files(spark, path, key, "text")
 
 
 def scripts_from(table: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -74,12 +85,9 @@ def transcript_words(transcripts: DataFrame) -> DataFrame:
     )
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+def read_transcripts(spark: SparkSession, path: str, key: Callable[[Column], Column] = stem_id) -> DataFrame:
     """One JSON array file per recording, as a word-timing model writes it."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.xxhash64(F.input_file_name()).alias("script_id"), F.col("value").alias("words")
-    )
-    return transcript_words(files)
+    return transcript_words(_files(spark, path, key, "words"))
 
 
 def catalog_a(payloads: DataFrame) -> DataFrame:
@@ -152,8 +160,17 @@ def plan_entries(plans: DataFrame) -> DataFrame:
     return rows.select("script_id", F.col("pos").cast("bigint").alias("plan_pos"), "p.*")
 
 
-def read_plans(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(
-        F.xxhash64(F.input_file_name()).alias("script_id"), F.col("value").alias("plan")
-    )
-    return plan_entries(files)
+def read_plans(spark: SparkSession, path: str, key: Callable[[Column], Column] = stem_id) -> DataFrame:
+    """Plan files, one script's JSON array each."""
+    return plan_entries(_files(spark, path, key, "plan"))
+
+
+def read_plan_export(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """What ``sinks.write_plan`` wrote, one object a line, perhaps edited since; rows as ``plan_entries`` gives.
+
+    The position is the rank by scene number, so renumbered scenes keep their order.
+    """
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in PLAN_ROW)
+    by_scene = Window.partitionBy("script_id").orderBy("scene")
+    return spark.read.schema(f"script_id {id_type}, {columns}").json(path).select(
+        "script_id", (F.row_number().over(by_scene) - 1).cast("bigint").alias("plan_pos"), *PLAN_ROW.names)

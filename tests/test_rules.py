@@ -258,3 +258,79 @@ def test_partition_independence(spark, name):
         seen.append(df.select(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()[0])
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert seen[0] == seen[1]
+
+
+def test_files_of_one_script_share_its_id(spark, tmp_path):
+    from narraplan.sources import readers
+
+    for folder, name, body in (("s", "x.txt", "One. Two."), ("t", "x.json", '[{"word": " One.", "start": 0.1, "end": 0.4}]'),
+                               ("p", "x.json", '[{"scene": 1, "start": 0, "end": 1.5, "text": "One.", "keywords": ["a"]}]')):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / name).write_text(body)
+    script = readers.read_scripts(spark, str(tmp_path / "s")).first()
+    heard = readers.read_transcripts(spark, str(tmp_path / "t")).first()
+    plan = readers.read_plans(spark, str(tmp_path / "p")).first()
+    assert script.script_id == heard.script_id == plan.script_id
+    assert (heard.token, heard.start_ms, plan.plan_pos, plan.keywords) == ("One.", 100, 0, ["a"])
+    named = readers.read_scripts(spark, str(tmp_path / "s"), key=lambda p: F.regexp_extract(p, r"([^/]+)$", 1)).first()
+    assert (named.script_id, named.text) == ("x.txt", "One. Two.")
+
+
+def test_exported_plan_reads_back(spark, tmp_path):
+    from narraplan.sources import readers
+
+    path = str(tmp_path / "plan")
+    rows = [(5, 1, 0.0, 1.0, "a\nb", ["k"]), (5, 2, 1.0, 2.0, "c", ["l", "m"]), (9, 1, 0.0, 3.5, "d", [])]
+    plan = spark.createDataFrame(rows, "script_id long, scene long, start double, end double, text string, keywords array<string>")
+    sinks.write_plan(plan, path, buckets=4)
+    back = readers.read_plan_export(spark, path)
+    assert sorted(tuple(r) for r in back.drop("plan_pos").collect()) == rows
+    scenes = plan.select("script_id", (F.col("scene") - 1).alias("scene_idx"), F.array(F.lit("old")).alias("keywords"))
+    edited = planedits.override_by_position(scenes, back)
+    assert sorted((r.script_id, r.scene_idx, r.keywords) for r in edited.collect()) == [(5, 0, ["k"]), (5, 1, ["l", "m"]), (9, 0, [])]
+
+
+def test_scenes_without_a_choice_stay(spark):
+    scenes = spark.createDataFrame([(0, 0, ["k"], 4000), (0, 1, ["z"], 4000), (0, 2, ["k"], 4000)],
+                                   "script_id long, scene_idx long, keywords array<string>, needed_ms long")
+    sig = catalog.signed(scenes).where("scene_idx = 0").first().sig
+    choices = spark.createDataFrame([(sig, 1, 1, 1.0, "k", "A", "1", "weak", None)], "sig string, kind int, pref long, "
+                                    "score double, query string, source string, video_id string, tier string, sim double")
+    assert sorted((r.scene_idx, r.tier, r.video_id) for r in catalog.best_pick(choices, scenes).collect()) == [
+        (0, "weak", "1"), (1, "none", None), (2, "weak", "1")]
+    got = catalog.assign_unrepeated(choices, scenes, scenes.select("script_id", "scene_idx"))
+    assert sorted((r.scene_idx, r.tier, r.video_id) for r in got.collect()) == [(0, "weak", "1"), (1, "none", None), (2, "none", None)]
+
+
+def test_given_answers_are_scored_without_a_shared_word(spark):
+    rows = [("man drinking water", "A", "1", "dog drinking water"), ("lake", "A", "2", "a hill"), ("lake", "A", "3", "LAKE, dawn")]
+    answers = spark.createDataFrame(rows, "query string, source string, video_id string, desc string")
+    got = {r.video_id: r.rel for r in catalog.answer_results(answers).collect()}
+    assert got == {"1": -2.0, "2": 0.0, "3": 3.0}
+
+
+def heard(spark, script, words):
+    rows = [(script, i, w, i * 100, i * 100 + 90) for i, w in enumerate(words.split())]
+    return spark.createDataFrame(rows, "script_id long, asr_idx long, token string, start_ms long, end_ms long")
+
+
+def test_repeated_triples_anchor_scripts_without_a_unique_one(spark):
+    text = "go on and go on and go on and"
+    got = alignment.match_words(scripts_df(spark, text), heard(spark, 0, text)).orderBy("word_idx").collect()
+    assert [(r.word_idx, r.asr_idx) for r in got] == [(i, i) for i in range(9)]
+
+
+def test_every_script_gets_spans(spark):
+    corpus = scripts_df(spark, "aa bb cc dd.", "No words match. Not one.", "Read out slowly. In pauses.", "", "Hi.")
+    asr = heard(spark, 0, "aa bb cc dd").unionByName(heard(spark, 1, "zz yy xx ww vv"))
+    paused = spark.createDataFrame([(2, 0, 0, 5000), (2, 1, 5000, 9000), (1, 0, 0, 700)], "script_id long, sent_idx long, start_ms long, end_ms long")
+    got = {(r.script_id, r.sent_idx): (r.timing, r.start_ms, r.end_ms) for r in alignment.timed_spans(corpus, asr, paused).collect()}
+    assert got == {
+        (0, 0): ("words", 0.0, 390.0), (1, 0): ("pace", 0.0, 1200.0), (1, 1): ("pace", 1200.0, 2000.0),
+        (2, 0): ("pauses", 0.0, 5000.0), (2, 1): ("pauses", 5000.0, 9000.0), (4, 0): ("pace", 0.0, 400.0)}
+
+
+def test_span_mismatch_is_an_error(spark):
+    spans = spark.createDataFrame([(0, 0, 0.0, 900.0, 0, 2)], "script_id long, sent_idx long, start_ms double, end_ms double, first_word long, n_words long")
+    with pytest.raises(alignment.SpanMismatch):
+        alignment.bucket_timed_scenes(scripts_df(spark, "One two. Three."), spans)
