@@ -36,8 +36,6 @@ TOP_CANDIDATES = 6
 STRONG_SIMILARITY = 0.24
 MIN_SIMILARITY = 0.19
 TARGET_WIDTH = 1920
-RATE_LIMITS = {"A": (190, 3600), "B": (90, 60)}
-MONTHLY_BUDGET = 19_500
 CACHE_TTL_S = 24 * 3600
 DEFAULT_TOPIC = ("cinematic b-roll landscape", "nature")
 

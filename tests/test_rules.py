@@ -334,3 +334,9 @@ def test_span_mismatch_is_an_error(spark):
     spans = spark.createDataFrame([(0, 0, 0.0, 900.0, 0, 2)], "script_id long, sent_idx long, start_ms double, end_ms double, first_word long, n_words long")
     with pytest.raises(alignment.SpanMismatch):
         alignment.bucket_timed_scenes(scripts_df(spark, "One two. Three."), spans)
+
+
+def test_one_key_inside_one_gap(spark):
+    df = spark.range(5000).select(F.lit(0).alias("k"), (F.col("id") % 3000).alias("at"), F.col("id").alias("seq"))
+    got = ordered.spaced_accepts(df, ["k"], "at", ["at", "seq"], 1_000_000, True, "ok", group_limit=100)
+    assert [tuple(r) for r in got.where("ok").select("at", "seq").collect()] == [(0, 0)] and got.count() == 5000
