@@ -350,6 +350,105 @@ def assign_unrepeated(choices: DataFrame, scenes: DataFrame, shots: DataFrame,
     )
 
 
+def assign_by_similarity(passing: DataFrame, weak: DataFrame, scenes: DataFrame, shots: DataFrame,
+                         seeded: DataFrame | None = None, k: int = lx.TOP_CANDIDATES) -> DataFrame:
+    """Give each shot, in scene order, what its frames show best among clips not yet used in the script.
+
+    Of each group (query and provider, in order of trial) the ``k`` best-ranked unused clips are looked at,
+    so further ones move up as clips are used. The first group with a strong match ends the search
+    (tier 'strong'); else the best seen anywhere is taken ('ok', or 'low' below the minimum); else the
+    best-scored used clip, without a similarity ('used'); else the best unused one below the floor ('weak');
+    else none. Clips without a frame are looked at and passed over.
+
+    ``passing``: (sig, group_rank, query, source, video_id, score, cand_rank, sim); ``weak``: (sig, query, source,
+    video_id, score, pref). A signature has at most queries x providers x results of them. ``seeded`` as in
+    ``assign_unrepeated``.
+    """
+    clip = F.concat_ws(":", "source", "video_id").alias("clip")
+    options = passing.groupBy("sig").agg(F.array_sort(F.collect_list(
+        F.struct("group_rank", "cand_rank", clip, "score", "query", "sim"))).alias("_passing"))
+    below = weak.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("pref", clip, "query"))).alias("_weak"))
+    per_sig = options.join(below, "sig", "full")
+    script = Window.partitionBy("script_id")
+    counts = shots.groupBy("script_id", "scene_idx").agg(F.count(F.lit(1)).alias("n_shots")).withColumn(
+        "_reach", F.sum("n_shots").over(script))
+    if seeded is not None:
+        used = seeded.groupBy("script_id").agg(F.collect_set(clip).alias("_seed"))
+        counts = counts.join(used, "script_id", "left")
+    else:
+        counts = counts.withColumn("_seed", F.lit(None).cast("array<string>"))
+    seeds = F.when(F.col("_seed").isNull(), F.lit(0)).otherwise(F.size("_seed"))
+    empty = F.array()
+    work = (
+        counts.withColumn("_reach", (F.col("_reach") + seeds).cast("int"))
+        .withColumn("_seed", F.when(F.row_number().over(script.orderBy("scene_idx")) == 1, F.col("_seed")))
+        .join(signed(scenes).select("script_id", "scene_idx", "sig"), ["script_id", "scene_idx"])
+        .join(per_sig, "sig", "left")
+        .select("script_id", "scene_idx", "n_shots", "_seed", F.coalesce("_passing", empty).alias("_passing"),
+                F.slice(F.coalesce("_weak", empty), F.lit(1), F.col("_reach")).alias("_weak"))
+        .select("*", F.col("_passing.clip").alias("_clips"), F.col("_passing.group_rank").alias("_groups"),
+                F.col("_passing.sim").alias("_sims"), F.col("_passing.score").alias("_scores"),
+                F.col("_weak.clip").alias("_below"))
+    )
+    adds = T.StructType([T.StructField("_picks", T.ArrayType(T.LongType()))])
+
+    def look(used, clips, groups, sims, scores):
+        """Places of the clip that the search ends with and of the best-scored used one."""
+        best = again = group = None
+        seen = 0
+        for i, c in enumerate(clips):
+            if groups[i] != group:
+                if best is not None and sims[best] >= lx.STRONG_SIMILARITY:
+                    break
+                group, seen = groups[i], 0
+            if c in used:
+                if again is None or scores[i] > scores[again]:
+                    again = i
+            elif seen < k:
+                seen += 1
+                if sims[i] is not None and (best is None or sims[i] > sims[best]):
+                    best = i
+        return best, again
+
+    def step(used, clips, groups, sims, scores, below, n_shots, seed):
+        """Picks as 3 times the place, and 1 more for a used clip, 2 more for a weak one; -1 for none."""
+        used = set() if used is None else used
+        used.update(seed or ())
+        made = []
+        for _ in range(n_shots):
+            best, again = look(used, clips, groups, sims, scores)
+            if best is not None:
+                used.add(clips[best])
+                made.append(3 * best)
+            elif again is not None:
+                made.append(3 * again + 1)
+            else:
+                at = next((i for i, c in enumerate(below) if c not in used), None)
+                if at is not None:
+                    used.add(below[at])
+                made.append(-1 if at is None else 3 * at + 2)
+        return used, (made,)
+
+    picked = ordered_scan(work, ["script_id"], ["scene_idx"],
+                          ["_clips", "_groups", "_sims", "_scores", "_below", "n_shots", "_seed"], adds, step)
+    place, way = F.floor(F.col("_at") / 3).cast("int"), F.pmod(F.col("_at"), F.lit(3))
+    none = F.col("_at") < 0
+    option, last = F.get("_passing", place), F.get("_weak", place)
+    seen = F.when(~none & (way == 0), option["sim"])
+    return (
+        picked.select("script_id", "scene_idx", "_passing", "_weak", F.posexplode("_picks").alias("shot_idx", "_at"))
+        .select(
+            "script_id", "scene_idx", F.col("shot_idx").cast("bigint").alias("shot_idx"), seen.alias("sim"),
+            F.when(~none, F.when(way == 2, last["query"]).otherwise(option["query"])).alias("query"),
+            F.when(~none, F.when(way == 2, last["clip"]).otherwise(option["clip"])).alias("_clip"),
+            F.when(none, "none").when(way == 1, "used").when(way == 2, "weak")
+            .when(seen >= lx.STRONG_SIMILARITY, "strong").when(seen >= lx.MIN_SIMILARITY, "ok").otherwise("low").alias("tier"),
+        )
+        .select("script_id", "scene_idx", "shot_idx", "query", F.substring_index("_clip", ":", 1).alias("source"),
+                F.expr("substring(_clip, instr(_clip, ':') + 1)").alias("video_id"), "tier", "sim")
+    )
+
+
 def similarity_histogram(picks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Strong, ok and weak picks on the 3-dp similarity; unscored picks count as weak."""
     sim = F.bround(F.coalesce("sim", F.lit(-1.0)), 3)

@@ -341,7 +341,7 @@ CATALOG = f"""clips AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY query, source, needed_ms ORDER BY score DESC, result_no) AS cand_rank
   FROM scored WHERE rel >= floor)
 , top AS MATERIALIZED (SELECT * FROM ranked WHERE cand_rank <= 6)"""
-SIMS = """, n_clips AS (SELECT max(vec_id) // 3 + 1 AS n, max(vec_id) + 1 AS v FROM embeddings)
+_SIMS = """, n_clips AS (SELECT max(vec_id) // 3 + 1 AS n, max(vec_id) + 1 AS v FROM embeddings)
 , qvec AS MATERIALIZED (
   SELECT query, embedding::DOUBLE[] AS qv FROM queries, n_clips
   JOIN embeddings ON vec_id = (length(query) * 31 + ascii(query) * 7) % v)
@@ -351,8 +351,9 @@ SIMS = """, n_clips AS (SELECT max(vec_id) // 3 + 1 AS n, max(vec_id) + 1 AS v F
 , sims AS MATERIALIZED (
   SELECT query, source, video_id, CASE WHEN sim = 0 THEN 0.0 ELSE sim END AS sim FROM (
     SELECT p.query, p.source, p.video_id, round(avg(list_cosine_similarity(qv, fv)), 4) AS sim
-    FROM (SELECT DISTINCT query, source, video_id FROM top) p
+    FROM (SELECT DISTINCT query, source, video_id FROM {}) p
     LEFT JOIN qvec USING (query) LEFT JOIN fvec USING (source, video_id) GROUP BY ALL))"""
+SIMS = _SIMS.format("top")
 WEAK = """, weak AS MATERIALIZED (
   SELECT l.script_id, l.scene_idx, l.group_rank, s.*, row_number() OVER (
     PARTITION BY l.script_id, l.scene_idx ORDER BY score DESC, group_rank, result_no) AS pref
@@ -404,11 +405,42 @@ def _assign(open_scenes: str) -> str:
 # cards among the request scenes: four-word texts are all eligible from scene 1 on
 REQUEST_CARDS = f""", open_requests AS MATERIALIZED (
   SELECT r.* FROM requests r WHERE NOT (scene_idx > 0 AND (scene_idx - 1) % 4 = 0))"""
-AUDIT = REQUEST_CARDS + _assign("SELECT * FROM open_requests") + """, audit AS MATERIALIZED (
+# of each group the six best-ranked unused clips are looked at; the first group with a strong match ends the search
+SLIDING = REQUEST_CARDS + f""", grouped AS MATERIALIZED (
+  SELECT l.script_id, l.scene_idx, l.group_rank, list({{'g': l.group_rank, 'r': r.cand_rank, 'clip': r.source || ':' || r.video_id,
+      'q': r.query, 'score': r.score, 'sim': m.sim}} ORDER BY r.cand_rank) AS members
+  FROM ladder l JOIN ranked r USING (query, source, needed_ms) LEFT JOIN sims m USING (query, source, video_id) GROUP BY ALL)
+, options AS MATERIALIZED (SELECT script_id, scene_idx, list(members ORDER BY group_rank) AS groups FROM grouped GROUP BY ALL)
+, below AS MATERIALIZED (
+  SELECT script_id, scene_idx, list({{'clip': source || ':' || video_id, 'q': query}} ORDER BY pref) AS weaks FROM weak GROUP BY ALL)
+, shots AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY script_id ORDER BY scene_idx, shot_idx) AS pos FROM (
+    SELECT script_id, scene_idx, unnest(range(0, least(3, greatest(1, ceil(needed_ms / {MAX_SHOT_MS}.0)))::BIGINT)) AS shot_idx
+    FROM open_requests) s LEFT JOIN options USING (script_id, scene_idx) LEFT JOIN below USING (script_id, scene_idx))
+, picking AS (
+  SELECT script_id, 0::BIGINT AS pos, []::VARCHAR[] AS used, NULL::BIGINT AS scene_idx, NULL::BIGINT AS shot_idx,
+    NULL::VARCHAR AS query, NULL::VARCHAR AS clip, NULL::DOUBLE AS sim FROM (SELECT DISTINCT script_id FROM shots)
+  UNION ALL
+  SELECT script_id, pos, CASE WHEN best IS NULL AND again IS NOT NULL THEN used
+      WHEN coalesce(best.clip, free.clip) IS NULL THEN used ELSE list_append(used, coalesce(best.clip, free.clip)) END,
+    scene_idx, shot_idx, coalesce(best.q, again.q, free.q), coalesce(best.clip, again.clip, free.clip), best.sim
+  FROM (SELECT *, list_sort(list_transform(list_filter(seen, lambda o: strong IS NULL OR o.g = strong),
+        lambda o: {{'a': -o.sim, 'g': o.g, 'r': o.r, 'clip': o.clip, 'q': o.q, 'sim': o.sim}}))[1] AS best
+    FROM (SELECT *, list_min(list_transform(list_filter(seen, lambda o: o.sim >= 0.24), lambda o: o.g)) AS strong
+      FROM (SELECT s.*, p.used,
+          list_filter(flatten(list_transform(coalesce(s.groups, []), lambda x: list_filter(x, lambda o: NOT list_contains(p.used, o.clip))[1:6])),
+            lambda o: o.sim IS NOT NULL) AS seen,
+          list_sort(list_transform(list_filter(flatten(coalesce(s.groups, [])), lambda o: list_contains(p.used, o.clip)),
+            lambda o: {{'a': -o.score, 'g': o.g, 'r': o.r, 'clip': o.clip, 'q': o.q}}))[1] AS again,
+          list_filter(coalesce(s.weaks, []), lambda o: NOT list_contains(p.used, o.clip))[1] AS free
+        FROM picking p JOIN shots s ON s.script_id = p.script_id AND s.pos = p.pos + 1))))
+, picks AS MATERIALIZED (
+  SELECT script_id, scene_idx, shot_idx, query, string_split(clip, ':')[1] AS source, string_split(clip, ':')[2] AS video_id, sim
+  FROM picking WHERE pos > 0)"""
+AUDIT = CATALOG + _SIMS.format("ranked") + WEAK + SLIDING + """, audit AS MATERIALIZED (
   SELECT p.script_id, p.scene_idx + 1 AS scene, p.shot_idx + 1 AS shot, substr(r.text, 1, 90) AS text, p.query,
-    p.source || ':' || p.video_id AS clip, round_even(coalesce(m.sim, -1.0), 3) AS sim, substr(c.descr, 1, 100) AS "desc"
-  FROM picks p JOIN requests r USING (script_id, scene_idx) JOIN clips c USING (source, video_id)
-  LEFT JOIN sims m USING (query, source, video_id))"""
+    p.source || ':' || p.video_id AS clip, round_even(coalesce(p.sim, -1.0), 3) AS sim, substr(c.descr, 1, 100) AS "desc"
+  FROM picks p JOIN requests r USING (script_id, scene_idx) JOIN clips c USING (source, video_id))"""
 
 # -- recordings ------------------------------------------------------------------
 
@@ -553,7 +585,7 @@ ORACLE: dict[str, str] = {
       FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL"""),
     "src6_plan_reader": _with(PLANNED, f"SELECT p.*, scene - 1 AS plan_pos FROM ({_PLAN}) p"),
     "snk1_plan_export": _with(PLANNED, _PLAN),
-    "snk2_audit_report": _with(CATALOG + SIMS + WEAK + SIM_PREFS + AUDIT, "SELECT * FROM audit"),
+    "snk2_audit_report": _with(AUDIT, "SELECT * FROM audit"),
     "snk3_progress_sink": _with(SCENES + PRINTS, """SELECT DISTINCT fingerprint, scene_idx, CASE WHEN scene_idx % 2 = 0 THEN 'scene_' ELSE 'zz_' END || scene_idx AS output FROM completed"""),
     "p1_sentence_split": _with(SENTS, "SELECT * FROM sents"),
     "p2_word_tokens": _with(SENTS + WORDS, "SELECT script_id, word_idx, sent_idx, token FROM words"),
@@ -688,7 +720,7 @@ ORACLE: dict[str, str] = {
       """SELECT t.script_id, scene_idx, text, round(t.start_ms, 3) AS start_ms, round(t.end_ms, 3) AS end_ms, pace, rate, timing
       FROM timed_scenes t JOIN (SELECT script_id, round(count(*) / greatest(arg_max(end_ms, word_idx) / 1000.0::DOUBLE, 1e-6), 6) AS pace,
         round(count_if(matched) / count(*), 6) AS rate, any_value(timing) AS timing FROM all_times GROUP BY script_id) USING (script_id)"""),
-    "c3_clip_audit": _with(CATALOG + SIMS + WEAK + SIM_PREFS + AUDIT, """SELECT script_id, count(*) AS n_picks, count_if(sim >= 0.24) AS n_strong,
+    "c3_clip_audit": _with(AUDIT, """SELECT script_id, count(*) AS n_picks, count_if(sim >= 0.24) AS n_strong,
       count_if(sim >= 0.19 AND sim < 0.24) AS n_ok, count_if(sim < 0.19) AS n_weak FROM audit GROUP BY script_id"""),
     "c4_cue_schedule": _with(SCENES + CARDS + CARD_TERMS + STYLES + TYPED + CUES
                              + ", plain AS (SELECT * FROM cues WHERE kind <> 'key')"

@@ -45,13 +45,12 @@ def transcript_plan(corpus: DataFrame, asr: DataFrame, paused: DataFrame | None
     return scenes.join(per_script, "script_id")
 
 
-def scene_choices(scenes: DataFrame, clips: DataFrame, query_emb=None, frame_emb=None,
-                  per_query: int | None = lx.RESULTS_PER_QUERY, **classes) -> DataFrame:
-    """Ranked clip choices of every scene signature, with similarity when embeddings are given.
+def scored_ladder(scenes: DataFrame, clips: DataFrame, per_query: int | None = lx.RESULTS_PER_QUERY,
+                  **classes) -> tuple[DataFrame, DataFrame]:
+    """Groups tried per scene signature, and every result scored for every distinct request of them.
 
-    ``query_emb`` is a function from distinct queries to (query, embedding). ``per_query`` is the
-    length of a provider's answer; None keeps whatever a search finds. Where ``clips`` has a
-    query column, its rows are answers and are scored as they are, without a search.
+    ``per_query`` is the length of a provider's answer; None keeps whatever a search finds. Where
+    ``clips`` has a query column, its rows are answers and are scored as they are, without a search.
     """
     # both feed several branches and hold distinct values only, so they are written once
     ladder = cut_lineage(catalog.ladder_rows(catalog.signatures(scenes)))
@@ -59,40 +58,66 @@ def scene_choices(scenes: DataFrame, clips: DataFrame, query_emb=None, frame_emb
         results = catalog.answer_results(clips, **classes)
     else:
         results = catalog.search(ladder, clips, per_query, **classes)
-    scored = cut_lineage(catalog.score_results(ladder, results))
+    return ladder, cut_lineage(catalog.score_results(ladder, results))
+
+
+REQUEST = ["query", "source", "needed_ms"]
+FOUND = ["query", "source", "video_id", "score", "result_no"]
+
+
+def _weak_choices(ladder: DataFrame, scored: DataFrame) -> DataFrame:
+    """Results below the floor, in order of preference."""
     passing = F.col("rel") >= catalog.relevance_floor(F.col("query"))
-    where = ["query", "source", "needed_ms"]
-    rows = ladder.select("sig", "group_rank", *where)
-    kept = ["query", "source", "video_id", "score", "result_no"]
-    weak = rows.join(scored.where(~passing), where).select(
-        "sig", F.lit(1).alias("kind"), "group_rank", *kept,
+    return catalog.weak_preferences(ladder.select("sig", "group_rank", *REQUEST).join(scored.where(~passing), REQUEST).select(
+        "sig", F.lit(1).alias("kind"), "group_rank", *FOUND,
         F.lit("weak").alias("tier"), F.lit(None).cast("double").alias("sim"),
-    )
+    ))
+
+
+def scene_choices(scenes: DataFrame, clips: DataFrame, query_emb=None, frame_emb=None,
+                  per_query: int | None = lx.RESULTS_PER_QUERY, **classes) -> DataFrame:
+    """Ranked clip choices of every scene signature, with similarity when embeddings are given.
+
+    With similarity they are the choices while no clip is used yet; ``unrepeated_picks`` slides on.
+    ``query_emb`` is a function from distinct queries to (query, embedding).
+    """
+    ladder, scored = scored_ladder(scenes, clips, per_query, **classes)
+    rows = ladder.select("sig", "group_rank", *REQUEST)
     if query_emb is None:
         ranked = catalog.top_candidates(scored, None)
-        first = catalog.text_preferences(rows.join(ranked, where))
+        first = catalog.text_preferences(rows.join(ranked, REQUEST))
         first = first.withColumn("sim", F.lit(None).cast("double"))
     else:
         top = catalog.top_candidates(scored)
         sims = catalog.frame_similarity(top, query_emb(ladder), frame_emb)
         seen = top.join(sims, ["query", "source", "video_id"])
-        first = catalog.similarity_preferences(rows.join(seen, where))
-    strong = first.select("sig", F.lit(0).alias("kind"), "group_rank", *kept, "tier", "sim", "pref")
-    return strong.unionByName(catalog.weak_preferences(weak))
+        first = catalog.similarity_preferences(rows.join(seen, REQUEST))
+    strong = first.select("sig", F.lit(0).alias("kind"), "group_rank", *FOUND, "tier", "sim", "pref")
+    return strong.unionByName(_weak_choices(ladder, scored))
+
+
+def unrepeated_picks(scenes: DataFrame, shots: DataFrame, clips: DataFrame, query_emb, frame_emb, seeded: DataFrame | None = None,
+                     per_query: int | None = lx.RESULTS_PER_QUERY, **classes) -> DataFrame:
+    """The clip of every shot by similarity, without repeats within a script."""
+    ladder, scored = scored_ladder(scenes, clips, per_query, **classes)
+    ranked = catalog.top_candidates(scored, None)
+    sims = catalog.frame_similarity(ranked, query_emb(ladder), frame_emb)
+    passing = ladder.select("sig", "group_rank", *REQUEST).join(
+        ranked.join(sims, ["query", "source", "video_id"]), REQUEST)
+    return catalog.assign_by_similarity(passing, _weak_choices(ladder, scored), scenes, shots, seeded)
 
 
 def clip_audit(scenes: DataFrame, clips: DataFrame, query_emb, frame_emb, max_shot_ms: int,
                cues_: Sequence[str] = lx.CARD_CUES, **classes) -> DataFrame:
-    """Scenes to picked clips to audit lines; cards take no clip."""
-    choices = scene_choices(scenes, clips, query_emb, frame_emb, **classes)
+    """Scenes to picked clips to audit lines; cards take no clip, and a clip listed twice makes one line."""
     timed = scenes.withColumn("n_words", tx.word_count(F.col("text")))
     open_scenes = cues.plan_cards(timed, cues=cues_).where(~F.col("is_card"))
     shots = scripts.expand_shots(
         open_scenes.select("script_id", "scene_idx", F.lit(0).alias("start_ms"),
                            F.col("needed_ms").alias("end_ms")), max_shot_ms)
-    picks = catalog.assign_unrepeated(choices, scenes, shots)
+    picks = unrepeated_picks(scenes, shots, clips, query_emb, frame_emb, **classes)
     described = (
-        picks.join(clips.select("source", "video_id", "desc"), ["source", "video_id"])
+        picks.join(clips.groupBy("source", "video_id").agg(F.min("desc").alias("desc")), ["source", "video_id"])
         .join(scenes.select("script_id", "scene_idx", "text"), ["script_id", "scene_idx"])
         .withColumn("sim", F.coalesce("sim", F.lit(-1.0)))
     )

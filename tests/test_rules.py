@@ -214,6 +214,29 @@ def test_no_repeat_assignment(spark):
     assert got == [("2", "text"), ("1", "used"), ("1", "used")]
 
 
+def test_similarity_picks_slide_as_clips_are_used(spark):
+    scenes = spark.createDataFrame([(0, i, ["k"], 4000) for i in range(0, 12, 2)], "script_id long, scene_idx long, keywords array<string>, needed_ms long")
+    sig = catalog.signed(scenes).first().sig
+    # two groups; the second clip of the first group has no frame, its last is strong but out of the three looked at
+    found = [(0, "A", "a1", 9.0, 1, 0.20), (0, "A", "a2", 8.0, 2, None), (0, "A", "a3", 7.0, 3, 0.21), (0, "A", "a4", 6.0, 4, 0.30),
+             (1, "B", "b1", 9.5, 1, 0.22)]
+    passing = spark.createDataFrame([(sig, g, "q", s, v, score, rank, sim) for g, s, v, score, rank, sim in found],
+                                    "sig string, group_rank long, query string, source string, video_id string, score double, cand_rank long, sim double")
+    weak = spark.createDataFrame([(sig, "q", "A", "w", 1.0, 1)], "sig string, query string, source string, video_id string, score double, pref long")
+    shots = scenes.select("script_id", "scene_idx")
+
+    def picks(**how):
+        got = catalog.assign_by_similarity(passing, weak, scenes, shots, k=3, **how).orderBy("scene_idx").collect()
+        return [(r.video_id, r.tier, r.sim) for r in got]
+
+    assert picks() == [("b1", "ok", 0.22), ("a3", "ok", 0.21), ("a4", "strong", 0.30), ("a1", "ok", 0.20), ("b1", "used", None), ("b1", "used", None)]
+    seed = spark.createDataFrame([(0, "A", "a1")], "script_id long, source string, video_id string")
+    assert picks(seeded=seed)[:2] == [("a4", "strong", 0.30), ("b1", "ok", 0.22)]
+    frameless = passing.withColumn("sim", F.lit(None).cast("double"))
+    got = catalog.assign_by_similarity(frameless, weak, scenes, shots).orderBy("scene_idx").collect()
+    assert [(r.video_id, r.tier) for r in got][:2] == [("w", "weak"), (None, "none")]
+
+
 def test_throttle_counts_earlier_requests_only(spark):
     from narraplan.operators import requests
 
