@@ -6,7 +6,8 @@ language has several centroids from spherical k-means. The language of the neare
 prediction and the cosine the score. A text is rejected if it has no letter, or if it has enough n-grams to tell
 (2^`BANDS_SHORT` - 1) and lies far outside the distance that texts of its length had in fitting, by a margin.
 
-Fitting uses at most about `sample` texts per language, chosen by a hash of doc_id; k-means runs per language.
+Fitting uses at most about `sample` texts per language, chosen by a hash of doc_id; k-means runs per language. The
+model has 64 kB of centroids a language, whatever the number of texts.
 Null, empty and letterless texts are `und` with score 0. Ties go to the language first in order. Repeated rows get
 equal results. Without any labelled text all are `und`. Extra columns are kept.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narraplan.llm.common import blocks, raw
+from narraplan.llm.common import blocks, cut, raw, sized
 
 DIMENSIONS = 4096
 BANDS = 24
@@ -93,7 +94,9 @@ def fit(docs: DataFrame, sample: int = 500, clusters: int = 4, margin: float = 0
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
-    some = known.join(F.broadcast(sizes.orderBy(F.desc("n"), "lang").limit(1000)), "lang").where(place * F.col("n") < F.lit(sample << 30)).select("lang", "text")
+    # In doubles, as the product of place and n leaves 64 bits from about 2^33 texts of a language on.
+    share = F.lit(float(sample << 30)) / F.col("n")
+    some = known.join(sized(cut(sizes)), "lang").where(place < share).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", 1 << 18, 256):
