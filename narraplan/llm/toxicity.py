@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
 Folding lowers a text, turns homoglyphs and digit or sign substitutions into the letters they stand for, drops signs
-that end a word, and leaves words apart by one space. The lexicon is learned from labelled documents: words whose
-document counts are far from chance (G2) and much likelier in toxic ones, weighted by their log odds. Word pairs with
+that end a word, and leaves words apart by one space. The lexicon is learned from labelled documents: words and
+beginnings of words (stems, written with a '*' behind) whose document counts are far from chance (G2) and much likelier
+in toxic ones, weighted by their log odds; of terms that contain one another the one farthest from chance stays. Word pairs with
 a lexicon word that labelled documents show to be harmless are exception phrases: a match inside one doesn't count.
 A document's matched weight, whole and per length, goes through a logistic curve fitted on the same documents.
 
@@ -40,6 +41,7 @@ _TABLE = (
     {ord(c): " " for c in map(chr, range(128)) if not c.isalnum()} | _HIDDEN | _WIDE
     | {ord(k): v for k, v in (HOMOGLYPHS | SUBSTITUTES).items()}
 )
+STEMS = range(3, 8)
 _ENDING = re.compile(r"[$@!]+(?!\w)")
 
 
@@ -51,6 +53,26 @@ def folded(text: str) -> str:
     return f" {' '.join(text.translate(_TABLE).split())} "
 
 
+def terms_of(word: str) -> list[str]:
+    """The word and its stems, which are shorter than it."""
+    return [word, *(word[:k] + "*" for k in STEMS if k < len(word))]
+
+
+def _apart(ranked: list[tuple[str, float]], size: int) -> dict[str, float]:
+    """The first `size` terms of a ranking that neither begin with a stem before them nor are the beginning of a term before them."""
+    kept: dict[str, float] = {}
+    within: set[str] = set()
+    for term, weight in ranked:
+        if len(kept) == size:
+            break
+        stem = term.rstrip("*")
+        if term in within or any(stem[:k] + "*" in kept for k in STEMS if k <= len(stem)):
+            continue
+        kept[term] = weight
+        within.update(terms_of(stem))
+    return kept
+
+
 @dataclass
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
@@ -64,7 +86,8 @@ class Lexicon:
         for phrase in self.exceptions:
             machine.add_word(f" {phrase} ", (len(phrase) + 2, 0.0))
         for term, weight in self.weights.items():
-            machine.add_word(f" {term} ", (len(term) + 2, weight))
+            form = f" {term[:-1]}" if term.endswith("*") else f" {term} "
+            machine.add_word(form, (len(form), weight))
         if len(machine):
             machine.make_automaton()
         return machine
@@ -107,14 +130,14 @@ def labelled(docs: DataFrame, labels: DataFrame, keep, sample: int) -> DataFrame
 
 def fit(docs: DataFrame, labels: DataFrame, keep, sample: int = 20_000, size: int = 2_000, least_g2: float = 30.0,
         exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """Learn a lexicon of at most `size` words, its exceptions and the curve. keep: condition on labels' doc_id."""
+    """Learn a lexicon of at most `size` terms, its exceptions and the curve. keep: condition on labels' doc_id."""
     rows = labelled(docs, labels, keep, sample)
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             bad, good = Counter(), Counter()
             for text, toxic in zip(block.column("text").to_pylist(), block.column("toxic").to_pylist()):
-                (bad if toxic else good).update(set(folded(text or "").split()))
+                (bad if toxic else good).update({t for word in set(folded(text or "").split()) for t in terms_of(word)})
                 (bad if toxic else good)[""] += 1
             terms = list(bad | good)
             yield pa.record_batch({"term": pa.array(terms, pa.string()), "bad": pa.array([bad[t] for t in terms], pa.int64()),
@@ -134,14 +157,16 @@ def fit(docs: DataFrame, labels: DataFrame, keep, sample: int = 20_000, size: in
     share = bad_all / (bad_all + good_all)
     g2 = 2 * (part(F.col("bad"), n * share) + part(F.col("good"), n * (1 - share)))
     best = counts.where("term != ''").withColumn("odds", odds).withColumn("g2", g2).where((F.col("odds") > 1.5) & (F.col("g2") >= least_g2))
-    weights = {r["term"]: float(r["odds"]) for r in best.orderBy(F.desc("g2"), "term").limit(size).collect()}
+    # A term has at most len(STEMS) stems, so so many times `size` leave enough after _apart or are all there are.
+    ranked = best.orderBy(F.desc("g2"), F.col("term").endswith("*"), F.desc(F.length("term")), "term").limit(size * (len(STEMS) + 1)).collect()
+    weights = _apart([(r["term"], float(r["odds"])) for r in ranked], size)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             bad, good = Counter(), Counter()
             for text, toxic in zip(block.column("text").to_pylist(), block.column("toxic").to_pylist()):
                 words = folded(text or "").split()
-                at = {k for k, w in enumerate(words) if w in weights}
+                at = {k for k, w in enumerate(words) if any(t in weights for t in terms_of(w))}
                 pairs = {" ".join(words[a:a + 2]) for k in at for a in (k - 1, k) if 0 <= a < len(words) - 1}
                 (bad if toxic else good).update(pairs)
             terms = list(bad | good)

@@ -127,6 +127,25 @@ def test_toxicity(spark, docs_of, odd):
     assert toxicity.scored(docs_of([]), toxicity.fit(docs_of([]), labels, F.lit(True))).count() == 0
 
 
+def test_toxicity_stems(docs_of, spark):
+    """Words of one beginning that each occur rarely are learned as a stem; a term within another isn't counted twice."""
+    assert toxicity.terms_of("abcde") == ["abcde", "abc*", "abcd*"]
+    assert toxicity._apart([("vile*", 2.0), ("vileness", 3.0), ("vil*", 1.0), ("vilify", 1.0)], 9) == {"vile*": 2.0, "vilify": 1.0}
+    r = random.Random(5)
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400)]
+    texts, labels = [], []
+    for k in range(600):
+        t = r.choices(words, k=60)
+        if k % 5 == 0:
+            t[r.randrange(60)] = "grub" + "".join(r.choices("aeiou", k=4))
+        texts.append(" ".join(t))
+        labels.append((k, int(k % 5 == 0)))
+    lexicon = toxicity.fit(docs_of(texts), spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") % 2 == 0)
+    assert list(lexicon.weights) == ["grub*"]
+    got = {x.doc_id: x.predicted for x in toxicity.scored(docs_of(texts), lexicon).collect()}
+    assert all(got[k] == (k % 5 == 0) for k in range(600))
+
+
 def test_packing(spark, docs_of, odd):
     rows = packing.pack_documents(docs_of([(i, t) for i, (_, t) in enumerate(odd * 3)]), BYTE_VOCABULARY).collect()
     whole = Encoder(BYTE_VOCABULARY, True)
