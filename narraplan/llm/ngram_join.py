@@ -121,9 +121,6 @@ def shared_groups(nodes: DataFrame) -> DataFrame:
         def out(t, n, last):
             """Emit whole runs; of a run that exceeds a tile at once, under its token."""
             nonlocal long
-            keep = np.ones(len(t), bool)
-            keep[1:] = (t[1:] != t[:-1]) | (n[1:] != n[:-1])
-            t, n = t[keep], n[keep]
             edge = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
             size = np.diff(np.append(edge, len(t)))
             name = _signed(mixed(np.add.reduceat(mixed(n.view(np.uint64)), edge))) if len(edge) else edge
@@ -141,8 +138,12 @@ def shared_groups(nodes: DataFrame) -> DataFrame:
             n = np.concatenate([rest_n, batch.column(1).to_numpy()])
             if not len(t):
                 continue
+            # Copies are folded before a run is measured: a run that is cut has more nodes than a tile and bears its token's name.
+            keep = np.ones(len(t), bool)
+            keep[1:] = (t[1:] != t[:-1]) | (n[1:] != n[:-1])
+            t, n = t[keep], n[keep]
             whole = int(np.searchsorted(t, t[-1], "left"))
-            if len(t) - whole > 4 * GROUP_TILE and n[whole] != n[-1]:
+            if len(t) - whole > 4 * GROUP_TILE:
                 whole = len(t)
             yield out(t[:whole], n[:whole], whole == len(t))
             rest_t, rest_n = t[whole:], n[whole:]

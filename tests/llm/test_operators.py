@@ -84,6 +84,19 @@ def test_jaccard_join_odd_ids(docs_of, odd):
     assert ngram_join.jaccard_components(docs_of([])).count() == 0
 
 
+def test_groups_of_many_copies(spark):
+    """Three nodes share a shingle; copies of each go over several Arrow batches."""
+    rows = [(node, [7]) for node, copies in [(1, 1500), (2, 1500), (3, 10)] for _ in range(copies)]
+    nodes = spark.createDataFrame(rows, "node long, rarest array<long>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
+    try:
+        got = ngram_join.shared_groups(nodes).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(x.node for x in got) == [1, 2, 3] and len({x.grp for x in got}) == 1
+
+
 def test_sharding(spark, docs_of, odd):
     texts = [(k, "x" * (k * 37 % 900)) for k in range(300)] + [(777, "y" * 400)] * 20 + [(None, "z" * 5000)]
     rows = sharding.assign(docs_of(texts), limit=3000).collect()
