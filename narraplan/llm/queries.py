@@ -21,8 +21,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return sharding.assign(docs, size=F.col("n_bytes"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = sharding.new_folder(spark)
+    sharding.write_shards(docs, folder)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return sharding.read_shards(spark, folder, docs.schema, n_bytes).select("doc_id", n_bytes.alias("n_bytes"), "depth", "prefix", "part", "shard_bytes")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,11 +13,13 @@ as the text 'null'; null texts have 0 bytes. Extra columns are kept. An empty ta
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from narraplan.llm.common import cut, sized
+from narraplan.llm.common import cut, shared_folder, sized
 
 BITS = 60
 
@@ -61,12 +63,13 @@ def assign(docs: DataFrame, key: str = "doc_id", size: Column | None = None, lim
     columns = docs.columns
     size = F.octet_length("text") if size is None else size
     rows = docs.select(F.struct(*columns).alias("doc"), key_hash(key).alias("hash"), F.coalesce(size, F.lit(0)).cast("long").alias("bytes"))
-    shards = sized(directory(rows.select("hash", "bytes"), limit))
-    levels = [r[0] for r in shards.select("bits").distinct().collect()]  # at most BITS values
-    choices = F.array(*[F.struct(F.lit(b).alias("bits"), _prefix(b).alias("cell")) for b in sorted(levels)]) if levels else F.array()
+    # One row a shard, not a cell: it stays small enough to broadcast for longer, as texts go through this join.
+    shards = sized(cut(directory(rows.select("hash", "bytes"), limit).select("depth", "prefix", "shard_bytes", "shard_rows").distinct()))
+    levels = [r[0] for r in shards.select("depth").distinct().collect()]  # at most BITS + 1 values
+    choices = F.array(*[F.struct(F.lit(b).alias("depth"), _prefix(b).alias("prefix")) for b in sorted(levels)]) if levels else F.array()
     if not levels:
         return rows.select("doc.*", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("shard_bytes"))
-    placed = rows.withColumn("at", F.explode(choices)).select("doc", "hash", "bytes", "at.*").join(shards, ["bits", "cell"])
+    placed = rows.withColumn("at", F.explode(choices)).select("doc", "hash", "bytes", "at.*").join(shards, ["depth", "prefix"])
     full = (F.col("depth") == BITS) & (F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)
     open_ = placed.where(~full).withColumn("part", F.lit(0).cast("long"))
     chain = Window.partitionBy("hash").orderBy("bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -82,6 +85,21 @@ def write_shards(docs: DataFrame, path: str, **how) -> None:
     rows.drop("depth", "prefix", "part", "shard_bytes").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
+def read_shards(spark: SparkSession, path: str, schema: T.StructType, size: Column) -> DataFrame:
+    """Rows of written shards, of this schema, with depth, prefix, part and shard_bytes; bytes are summed from the rows read."""
+    names = schema.fieldNames()
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("shard", T.StringType())])).parquet(path)
+    rows = rows.withColumn("_bytes", F.coalesce(size, F.lit(0)).cast("long"))
+    sums = rows.groupBy("shard").agg(F.sum("_bytes").alias("shard_bytes"))
+    name = F.split("shard", "-")
+    return rows.join(sums, "shard").select(
+        *names, name[0].cast("int").alias("depth"), name[1].cast("long").alias("prefix"), name[2].cast("long").alias("part"), "shard_bytes")
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+
+
 ORACLE = """
 with hashed as (
   select doc_id, coalesce(strlen(text), 0)::bigint as n_bytes, ('0x' || substr(md5(coalesce(doc_id::varchar, 'null')), 1, 15))::bigint as hash from documents),

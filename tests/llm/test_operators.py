@@ -112,6 +112,20 @@ def test_sharding(spark, docs_of, odd):
     assert sharding.assign(docs_of(odd)).count() == len(odd) and sharding.assign(docs_of([])).count() == 0
 
 
+def test_shards_are_written(spark, docs_of, odd, tmp_path, monkeypatch):
+    size = F.octet_length("text")
+    for k, rows in enumerate([odd, []]):
+        docs, path = docs_of(rows), str(tmp_path / f"shards{k}")
+        sharding.write_shards(docs, path, limit=3000)
+        got = sharding.read_shards(spark, path, docs.schema, size)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, sharding.assign(docs, limit=3000).collect()))
+    monkeypatch.setattr(sharding, "new_folder", lambda spark: str(tmp_path / "query"))
+    n = QUERIES["op2_sharding"](spark, SF).count()
+    written = spark.read.parquet(str(tmp_path / "query"))
+    whole = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    assert n == whole.count() and whole.exceptAll(written.select("doc_id", "text")).isEmpty()
+
+
 def test_folding():
     assert toxicity.folded("You 1d10t!! ІDІОT, c1ow-n $$$") == " you idiot idiot ciow n "
     assert toxicity.folded("") == "  "
