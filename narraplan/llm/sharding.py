@@ -6,7 +6,7 @@ prefixes, a few bits finer than an even split would need: sums of all shorter pr
 the shortest prefix that fits. Prefixes still too large in the histogram go on, alone, with more bits.
 
 Bits cannot part rows of one key. A bucket with a single row that is larger than the limit stays as it is. Where all
-60 bits are used up, rows of the same hash are chained in numbered parts that fit, in order of size. Null keys hash
+60 bits are used up, rows of the same hash are dealt into buckets and chained in numbered parts that fit, by size in a bucket. Null keys hash
 as the text 'null'; null texts have 0 bytes. Extra columns are kept. An empty table gives no shard.
 """
 
@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from narraplan.llm.common import cut, shared_folder, sized
 
 BITS = 60
+CHAIN_SHARDS = 64
+CHAIN_ROWS = 1 << 17
 
 
 def key_hash(key: str) -> Column:
@@ -72,13 +74,31 @@ def assign(docs: DataFrame, key: str = "doc_id", size: Column | None = None, lim
     placed = rows.withColumn("at", F.explode(choices)).select("doc", "hash", "bytes", "at.*").join(shards, ["depth", "prefix"])
     full = (F.col("depth") == BITS) & (F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)
     open_ = placed.where(~full).withColumn("part", F.lit(0).cast("long"))
-    chain = Window.partitionBy("hash").orderBy("bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Greedy filling is serial; half-limit steps of the running sum fit instead, as no row but a lone one exceeds the limit.
-    chained = placed.where(full).withColumn("part", F.floor((F.sum("bytes").over(chain) - 1) * 2 / limit)).withColumn(
-        "shard_bytes", F.sum("bytes").over(Window.partitionBy("hash", "part")))
+    if shards.where(full).isEmpty():
+        return open_.select("doc.*", "depth", "prefix", "part", "shard_bytes")
+    chained = _chained(placed.where(full), limit)
     return open_.unionByName(chained).select("doc.*", "depth", "prefix", "part", "shard_bytes")
 
 
+def _chained(rows: DataFrame, limit: int) -> DataFrame:
+    """Parts of hashes that alone exceed the limit. A hash is dealt into buckets of bounded size; each has parts of its own."""
+    buckets = F.ceil(F.col("shard_bytes") / (CHAIN_SHARDS * limit)) + F.floor(F.col("shard_rows") / CHAIN_ROWS)
+    # Cut, as copies can only be told apart by their place.
+    rows = cut(rows.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), buckets)))
+
+    def step(upto):
+        return F.greatest(F.lit(0), F.floor((upto - 1) * 2 / limit)).cast("long")
+
+    # Greedy filling is serial; half-limit steps of the running sum fit instead, as no row but a lone one exceeds the limit.
+    chain = Window.partitionBy("hash", "bucket").orderBy("bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stepped = rows.withColumn("step", step(F.sum("bytes").over(chain))).withColumn(
+        "shard_bytes", F.sum("bytes").over(Window.partitionBy("hash", "bucket", "step")))
+    earlier = Window.partitionBy("hash").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy("hash", "bucket").agg((step(F.sum("bytes")) + 1).alias("steps")).select(
+        "hash", "bucket", F.coalesce(F.sum("steps").over(earlier), F.lit(0)).alias("first"))
+    return stepped.join(first, ["hash", "bucket"]).withColumn("part", F.col("first") + F.col("step")).drop("bucket", "step", "first")
+
+
 def write_shards(docs: DataFrame, path: str, **how) -> None:
     """Write documents into one folder a shard."""
     rows = assign(docs, **how).withColumn("shard", F.concat_ws("-", "depth", "prefix", "part"))

@@ -126,6 +126,20 @@ def test_shards_are_written(spark, docs_of, odd, tmp_path, monkeypatch):
     assert n == whole.count() and whole.exceptAll(written.select("doc_id", "text")).isEmpty()
 
 
+def test_hot_key_is_dealt(docs_of, monkeypatch):
+    """One key with many copies and sizes: no window holds all its rows, and every part fits."""
+    docs = docs_of([(1, "y" * (k * 37 % 2000)) for k in range(600)] + [(1, "z" * 300)] * 400 + [(1, None)] * 50 + [(1, "x" * 5000)])
+    plan = sharding.assign(docs, limit=3000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(hash" in plan and not re.search(r"windowspecdefinition\(hash#\d+L, bytes#", plan)
+    monkeypatch.setattr(sharding, "CHAIN_ROWS", 100)
+    rows = sharding.assign(docs, limit=3000).collect()
+    parts = {}
+    for x in rows:
+        parts.setdefault(x.part, []).append((len(x.text or ""), x.shard_bytes))
+    assert len(rows) == 1051 and all(n == sum(a for a, _ in v) for v in parts.values() for _, n in v)
+    assert all(sum(a for a, _ in v) <= 3000 or len(v) == 1 for v in parts.values())
+
+
 def test_folding():
     assert toxicity.folded("You 1d10t!! ІDІОT, c1ow-n $$$") == " you idiot idiot ciow n "
     assert toxicity.folded("") == "  "
