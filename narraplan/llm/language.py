@@ -89,14 +89,21 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return c.astype(np.float32)
 
 
-def fit(docs: DataFrame, sample: int = 500, clusters: int = 4, margin: float = 0.5) -> Model | None:
-    """Learn from docs (doc_id, text, lang) with a lang."""
+def drawn(docs: DataFrame, sample: int) -> DataFrame:
+    """(lang, text) of about `sample` distinct (id, text) a language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
+    # Copies (same id and text) count once and are drawn once; texts of one id are drawn apart, so a repeated id is no unbounded group.
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+    sizes = known.select("lang", key.alias("key")).distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.pmod(key, F.lit(1 << 30))
     # In doubles, as the product of place and n leaves 64 bits from about 2^33 texts of a language on.
     share = F.lit(float(sample << 30)) / F.col("n")
-    some = known.join(sized(cut(sizes)), "lang").where(place < share).select("lang", "text")
+    return known.join(sized(cut(sizes)), "lang").where(place < share).dropDuplicates(["lang", "doc_id", "text"]).select("lang", "text")
+
+
+def fit(docs: DataFrame, sample: int = 500, clusters: int = 4, margin: float = 0.5) -> Model | None:
+    """Learn from docs (doc_id, text, lang) with a lang."""
+    some = drawn(docs, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", 1 << 18, 256):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narraplan.llm.common import blocks
+from narraplan.llm.common import blocks, cut
 
 # Letters that look like a-z, and the letters that digits and signs stand for.
 HOMOGLYPHS = {
@@ -121,11 +121,13 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, keep, sample: int) -> DataFrame:
-    """(text, toxic) of at most about `sample` labelled documents that `keep` admits, one label each."""
+    """(text, toxic) of at most `sample` distinct labelled (id, text) that `keep` admits, one label an id."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(keep).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    # Drawn by id and text, as one id can have any number of rows; only keys are joined and sorted.
+    chosen = cut(texts.select("doc_id", "key").distinct().join(own, "doc_id").orderBy(F.xxhash64("key"), "doc_id").limit(sample))
+    return texts.join(F.broadcast(chosen), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep, sample: int = 20_000, size: int = 2_000, least_g2: float = 30.0,

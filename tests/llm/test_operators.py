@@ -140,6 +140,19 @@ def test_hot_key_is_dealt(docs_of, monkeypatch):
     assert all(sum(a for a, _ in v) <= 3000 or len(v) == 1 for v in parts.values())
 
 
+def test_samples_with_repeated_ids(spark, docs_of):
+    """One id, or none, with many texts and copies: samples are bounded and hold other ids too."""
+    rows = [(i, f"own text {k}") for k in range(600) for i in (5, None)] + [(5, "one copy")] * 300 + [(100 + k, f"other {k}") for k in range(600)]
+    docs = docs_of(rows)
+    labels = spark.createDataFrame([(i, 1) for i in [5, *range(100, 700)]], "doc_id long, toxic int")
+    got = toxicity.labelled(docs, labels, F.lit(True), 200).collect()
+    assert len(got) == len({x.text for x in got}) == 200 and {x.text.split()[0] for x in got} >= {"own", "other"}
+    assert len(toxicity.labelled(docs, labels, F.lit(True), 5000).collect()) == 1201
+    texts = [x.text for x in language.drawn(docs, 100).collect()]
+    assert 50 < len(texts) < 150 and sum(t.startswith("other") for t in texts) > 10
+    assert sum(x.text == "one copy" for x in language.drawn(docs, 5000).collect()) == 1
+
+
 def test_folding():
     assert toxicity.folded("You 1d10t!! ІDІОT, c1ow-n $$$") == " you idiot idiot ciow n "
     assert toxicity.folded("") == "  "
