@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narraplan.llm import edit_counts, fingerprints, language, mixing, ngram_join, packing, sharding, token_files, toxicity, vector_join
+from narraplan.llm import edit_counts, fingerprints, language, mixing, ngram_join, packing, sharding, token_alignment, token_files, toxicity, vector_join
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +75,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(spark, folder)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.linked_counts(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECE_VOCABULARY)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_sharding, op3_toxicity, op4_packing, op5_fingerprints, op6_language_id, op7_vector_near_dedup,
-    op8_token_counts, op9_mixing, op10_token_files)}
+    op8_token_counts, op9_mixing, op10_token_files, op11_token_alignment)}
 ORACLE = {"op1_ngram_jaccard_join": ngram_join.ORACLE, "op2_sharding": sharding.ORACLE, "op7_vector_near_dedup": vector_join.ORACLE, "op9_mixing": mixing.ORACLE}
