@@ -154,30 +154,37 @@ def by_tile(batches: Iterator[pa.RecordBatch], make: Callable[[list[pa.Table]],
         yield make(parts(True))
 
 
-class Words:
+class Spans:
+    """Bytes of a run of texts (`data`, rows at `offsets`), any range of which can be hashed at once, with A-Z lowered if fold."""
+
+    def __init__(self, column: pa.Array, fold: bool = True):
+        self.data, self.offsets = raw(column)
+        n = self.size = len(self.data)
+        forth, self._back = _powers(n + 1)
+        self._total = np.zeros(n + 1, np.uint64)
+        np.cumsum((_BYTE if fold else _EXACT)[self.data] * forth[:n], out=self._total[1:])
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges, wherever they stand."""
+        return mixed((self._total[end] - self._total[start]) * self._back[start] + (end - start).astype(np.uint64))
+
+
+class Words(Spans):
     """Words `[^\\x20\\x09-\\x0D]+` of a run of texts: `hash` of each, with A-Z lowered if fold; `first` word of each row."""
 
     def __init__(self, column: pa.Array, fold: bool = True):
-        data, off = raw(column)
-        self.data, self.offsets, self.size = data, off, len(data)
-        n = len(data)
+        super().__init__(column, fold)
+        n, off = self.size, self.offsets
         edge = np.zeros(n + 1, bool)
         edge[off] = True
-        space = _SPACE[data]
+        space = _SPACE[self.data]
         before = np.ones(n + 1, bool)
         before[1:] = space
         self.start = np.flatnonzero(~space & (before[:-1] | edge[:-1]))
         self.end = np.flatnonzero(~space & (np.append(space[1:], True)[:n] | edge[1:])) + 1
         self.first = np.searchsorted(self.start, off)
-        forth, self._back = _powers(n + 1)
-        self._total = np.zeros(n + 1, np.uint64)
-        np.cumsum((_BYTE if fold else _EXACT)[data] * forth[:n], out=self._total[1:])
         self.hash = self.spans(self.start, self.end)
 
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges, wherever they stand."""
-        return mixed((self._total[end] - self._total[start]) * self._back[start] + (end - start).astype(np.uint64))
-
     def shingles(self, size: int) -> Iterator[np.ndarray]:
         """Per row, the sorted distinct hashes of runs of `size` words; of the whole text if it has fewer words."""
         first, h = self.first, self.hash

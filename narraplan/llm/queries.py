@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narraplan.llm import edit_counts, fingerprints, language, mixing, ngram_join, packing, sharding, token_alignment, token_files, toxicity, vector_join
+from narraplan.llm import conversation_repair, edit_counts, fingerprints, language, line_dedup, mixing, ngram_join, packing, sharding, token_alignment, token_files, toxicity, vector_join
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -79,7 +79,17 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.linked_counts(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECE_VOCABULARY)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_sharding, op3_toxicity, op4_packing, op5_fingerprints, op6_language_id, op7_vector_near_dedup,
-    op8_token_counts, op9_mixing, op10_token_files, op11_token_alignment)}
-ORACLE = {"op1_ngram_jaccard_join": ngram_join.ORACLE, "op2_sharding": sharding.ORACLE, "op7_vector_near_dedup": vector_join.ORACLE, "op9_mixing": mixing.ORACLE}
+    op8_token_counts, op9_mixing, op10_token_files, op11_token_alignment, op12_conversation_repair, op13_line_dedup)}
+ORACLE = {"op1_ngram_jaccard_join": ngram_join.ORACLE, "op2_sharding": sharding.ORACLE, "op7_vector_near_dedup": vector_join.ORACLE, "op9_mixing": mixing.ORACLE,
+          "op12_conversation_repair": conversation_repair.ORACLE, "op13_line_dedup": line_dedup.ORACLE}
