@@ -314,32 +314,32 @@ rows_ as (
     case code when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
   from hit, range(2) c(copy) where code != 0 and (copy = 0 or code = 3)),
 placed as (
-  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as at,
-    row_number() over (partition by conv_id, role, text order by turn nulls first) as nth,
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as seq,
     rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as visible from rows_),
 turns as (
-  select conv_id, turn, role, text, at, substr(role, 1, 1) as letter, visible = '' as blank, visible != '' and nth > 1 as dup,
-    (visible != '' and nth = 1 and substr(visible, length(visible), 1) not in ('.', '!', '?'))::int as cut from placed),
-flags as (select *, blank or dup as bad, lag(letter) over (partition by conv_id order by at) as before from turns),
+  select conv_id, turn, role, text, seq, substr(role, 1, 1) as letter, visible = '' as blank, visible != '' and nth > 1 as dup,
+    (visible != '' and nth = 1 and substr(visible, length(visible), 1) not in ('.', '!', '?'))::int as cut
+  from (select *, row_number() over (partition by conv_id, role, text order by seq) as nth from placed)),
+flags as (select *, blank or dup as bad, lag(letter) over (partition by conv_id order by seq) as before from turns),
 facts as (
   select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (blank) as blank,
     count(*) filter (dup) as duplicate, sum(cut)::bigint as truncated,
     count(*) filter (before is not null and before || letter not in ('su', 'ua', 'au')) as illegal, count(*) as n from flags group by conv_id),
 parse as (
-  select conv_id, 0::bigint as at, '000000000' as t0, null::varchar as t1, '000000002I' as t2, '000000004II' as t3 from facts
+  select conv_id, 0::bigint as seq, '000000000' as t0, null::varchar as t1, '000000002I' as t2, '000000004II' as t3 from facts
   union all
-  select conv_id, at, n0, n1, u2, least(n3, {_sql_more('u2', '2', 'I')}) from (
+  select conv_id, seq, n0, n1, u2, least(n3, {_sql_more('u2', '2', 'I')}) from (
     select *, {_USER} as u2 from (
-      select p.conv_id, f.at, {_STEP} from parse p join flags f on f.conv_id is not distinct from p.conv_id and f.at = p.at + 1))),
+      select p.conv_id, f.seq, {_STEP} from parse p join flags f on f.conv_id is not distinct from p.conv_id and f.seq = p.seq + 1))),
 best as (
-  select p.conv_id, least(t0, t3) as top from parse p join facts f on f.conv_id is not distinct from p.conv_id and f.n = p.at),
+  select p.conv_id, least(t0, t3) as top from parse p join facts f on f.conv_id is not distinct from p.conv_id and f.n = p.seq),
 edits as (
   select conv_id, unnest(string_split(substr(top, 10), '')) as edit, generate_subscripts(string_split(substr(top, 10), ''), 1) as k from best),
-dealt as (select *, sum((edit != 'I')::int) over (partition by conv_id order by k) as at from edits),
+dealt as (select *, sum((edit != 'I')::int) over (partition by conv_id order by k) as seq from edits),
 kept as (
   select d.conv_id, d.k, d.edit, f.role, case when d.edit = 'I' then '' else f.text end as text, f.letter,
     row_number() over (partition by d.conv_id order by d.k) - 1 as place
-  from dealt d left join flags f on f.conv_id is not distinct from d.conv_id and f.at = d.at where d.edit in ('K', 'R', 'I')),
+  from dealt d left join flags f on f.conv_id is not distinct from d.conv_id and f.seq = d.seq where d.edit in ('K', 'R', 'I')),
 led as (select *, coalesce(max((place = 0 and edit = 'K' and letter = 's')::int) over (partition by conv_id), 0) as system from kept),
 digests as (
   select conv_id, sha256(string_agg(case when edit = 'K' then role when (place - system) % 2 = 0 then 'user' else 'assistant' end || ':' || text,

@@ -277,15 +277,15 @@ def without_repeats(docs: DataFrame, result: str = "lines", shortest: int = SHOR
 
 ORACLE = r"""
 with lines as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as at
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as seq
   from documents),
 keyed as (
-  select doc_id, line, at, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  select doc_id, line, seq, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
 repeats as (
   select key, min(doc_id) as keeper from keyed where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
 marked as (select k.*, r.key is not null and doc_id != keeper as gone from keyed k left join repeats r on k.key = r.key)
 select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) order by at) filter (not gone), '')) as kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) order by seq) filter (not gone), '')) as kept_sha256
 from marked group by doc_id
 """
