@@ -5,6 +5,10 @@ Every group is one script, which is one text cell, so windows by script are boun
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterable, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,95 +18,103 @@ from ..functions import text as tx
 from .ordered import cut_lineage, ordered_scan
 from .scripts import script_words, split_sentences
 
-GRAM = 3
-
+#: Rounds of matching: words in a run, and which runs may pair. "once": runs found once on both sides of a gap;
+#: "equal": runs found equally often, in order; "least": as many as the side with fewer has, in order.
+ROUNDS = ((3, "once"), (3, "equal"), (2, "once"), (1, "least"))
+PLACES = "array<struct<word_idx:int,heard:int>>"
 
-def _script_grams(scripts: DataFrame) -> DataFrame:
-    """(script_id, pos, gram): neighbouring non-empty words, made in the script's row."""
-    words = scripts.select(
-        "script_id", F.transform(tx.tokens(F.col("text")), tx.norm_word).alias("_w")
-    )
-    span = F.sequence(F.lit(0), F.size("_w") - GRAM)
-
-    def gram(i):
-        parts = [F.get("_w", i + k) for k in range(GRAM)]
-        full = F.lit(True)
-        for p in parts:
-            full = full & (p != "")
-        return F.when(full, F.struct(i.cast("bigint").alias("pos"), F.concat_ws(" ", *parts).alias("gram")))
-
-    grams = F.when(F.size("_w") >= GRAM, F.array_compact(F.transform(span, gram)))
-    opened = words.select("script_id", F.explode_outer(grams).alias("g"))
-    return opened.where(F.col("g").isNotNull()).select("script_id", "g.pos", "g.gram")
-
-
-def _heard_grams(asr: DataFrame) -> DataFrame:
-    """(script_id, pos, gram, times): as above for transcript rows, with the words' times."""
-    w = Window.partitionBy("script_id").orderBy("asr_idx")
-    word = F.struct(tx.norm_word(F.col("token")).alias("norm"), "start_ms", "end_ms")
-    named = asr.select("script_id", "asr_idx", word.alias("_w0"))
-    named = named.select(
-        "*", *[F.lead("_w0", k).over(w).alias(f"_w{k}") for k in range(1, GRAM)]
-    )
-    full = F.lit(True)
-    for k in range(GRAM):
-        full = full & F.col(f"_w{k}").isNotNull() & (F.col(f"_w{k}.norm") != "")
-    return named.where(full).select(
-        "script_id", F.col("asr_idx").alias("pos"),
-        F.concat_ws(" ", *[f"_w{k}.norm" for k in range(GRAM)]).alias("gram"),
-        F.array(*[F.struct(f"_w{k}.start_ms", f"_w{k}.end_ms") for k in range(GRAM)]).alias("times"),
-    )
 
+def rising(places: list[int]) -> list[int]:
+    """Longest strictly rising subsequence, as positions, by patience sorting.
 
-def _monotone(pairs: DataFrame) -> DataFrame:
-    """Keep (word_idx, asr_idx) pairs above all earlier and below all later ones."""
-    script = Window.partitionBy("script_id")
-    # the later side is read backwards: a frame to the end would be summed anew at each row
-    up = script.orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
-    down = script.orderBy(F.col("word_idx").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    before, after = F.max("asr_idx").over(up), F.min("asr_idx").over(down)
-    return (
-        pairs.withColumn("_before", before).withColumn("_after", after)
-        .where((F.col("_before").isNull() | (F.col("asr_idx") > F.col("_before")))
-               & (F.col("_after").isNull() | (F.col("asr_idx") < F.col("_after"))))
-        .drop("_before", "_after")
-    )
+    Each element goes on the first pile whose top is not below it and points to the top of
+    the pile before, so of several longest ones the latest in every pile is taken.
+    """
+    tops: list[int] = []
+    at: list[int] = []
+    back: list[int] = []
+    for k, place in enumerate(places):
+        pile = bisect_left(tops, place)
+        back.append(at[pile - 1] if pile else -1)
+        if pile == len(tops):
+            tops.append(place)
+            at.append(k)
+        else:
+            tops[pile], at[pile] = place, k
+    found = []
+    k = at[-1] if at else -1
+    while k >= 0:
+        found.append(k)
+        k = back[k]
+    return found[::-1]
+
+
+def _runs(words: Sequence[str], low: int, high: int, size: int) -> dict[tuple, list[int]]:
+    """Where each run of non-empty words stands between low and high."""
+    found: dict[tuple, list[int]] = {}
+    for k in range(low, high - size + 1):
+        run = tuple(words[k:k + size])
+        if "" not in run:
+            found.setdefault(run, []).append(k)
+    return found
+
+
+def _paired(mine: list[int], heard: list[int], rule: str) -> Iterable[tuple[int, int]]:
+    if rule == "once" and not len(mine) == len(heard) == 1 or rule == "equal" and len(mine) != len(heard):
+        return ()
+    return zip(mine, heard)
+
+
+def matched_places(script: Sequence[str], heard: Sequence[str]) -> list[tuple[int, int]]:
+    """(script word, heard word) that match, rising on both sides.
+
+    Each round looks into the gaps that the rounds before left. Runs that pair vote for the
+    places of their words; a word goes where most of its runs put it, the earlier place on
+    ties, and the longest rising chain of a gap stays. So a stray run costs its own words only.
+    """
+    kept: list[tuple[int, int]] = []
+    for size, rule in ROUNDS:
+        more = []
+        edges = [(-1, -1), *kept, (len(script), len(heard))]
+        for (a, b), (c, d) in zip(edges, edges[1:]):
+            if c - a <= size or d - b <= size:
+                continue
+            theirs = _runs(heard, b + 1, d, size)
+            votes: dict[int, dict[int, int]] = {}
+            for run, mine in _runs(script, a + 1, c, size).items():
+                for i, j in _paired(mine, theirs.get(run, []), rule):
+                    for k in range(size):
+                        seen = votes.setdefault(i + k, {})
+                        seen[j + k] = seen.get(j + k, 0) + 1
+            words = sorted(votes)
+            places = [min(votes[w], key=lambda p: (-votes[w][p], p)) for w in words]
+            more += [(words[k], places[k]) for k in rising(places)]
+        kept = sorted(kept + more)
+    return kept
+
+
+def _match(script: pa.Array, heard: pa.Array) -> pa.Array:
+    rows = [
+        [{"word_idx": i, "heard": j} for i, j in matched_places(a, b)]
+        for a, b in zip(script.to_pylist(), heard.to_pylist())
+    ]
+    return pa.array(rows, pa.list_(pa.struct([("word_idx", pa.int32()), ("heard", pa.int32())])))
 
 
 def match_words(scripts: DataFrame, asr: DataFrame) -> DataFrame:
     """(script_id, word_idx, asr_idx, start_ms, end_ms): script words found in the transcript.
 
-    Word triples that occur once on both sides anchor the match. A script without such a triple
-    is anchored by triples both sides hold equally often, taken in order. Both sides meet in
-    one aggregation, so nothing is joined; a group is a triple of one script.
+    A script's words stay in its row and its transcript is gathered to them, both bounded by
+    one text; only normalised words cross to Python, in Arrow batches. See ``matched_places``.
     """
-    script = _script_grams(scripts)
-    heard = _heard_grams(asr)
-    both = script.select(
-        "*", F.lit(None).cast(heard.schema["times"].dataType).alias("times"), F.lit(0).alias("_side")
-    ).unionByName(heard.withColumn("_side", F.lit(1)))
-    mine, other = F.col("_side") == 0, F.col("_side") == 1
-    anchors = (
-        both.groupBy("script_id", "gram")
-        .agg(F.array_sort(F.collect_list(F.when(mine, F.col("pos")))).alias("_mine"),
-             F.array_sort(F.collect_list(F.when(other, F.struct("pos", "times")))).alias("_heard"))
-        .where((F.size("_mine") > 0) & (F.size("_mine") == F.size("_heard")))
-        .select("script_id", (F.size("_mine") == 1).alias("_once"),
-                F.explode(F.arrays_zip("_mine", "_heard")).alias("_x"))
-        .select("script_id", "_once", F.col("_x._mine").alias("word_idx"),
-                F.col("_x._heard.pos").alias("asr_idx"), F.col("_x._heard.times").alias("times"))
-        .withColumn("_any", F.max("_once").over(Window.partitionBy("script_id")))
-        .where(F.col("_once") | ~F.col("_any")).drop("_once", "_any")
-    )
-    per_word = (
-        _monotone(anchors)
-        .select("script_id", "word_idx", "asr_idx", F.posexplode("times").alias("_k", "_t"))
-        .groupBy("script_id", (F.col("word_idx") + F.col("_k")).alias("word_idx"))
-        .agg(F.min(F.struct(
-            (F.col("asr_idx") + F.col("_k")).alias("asr_idx"), "_t.start_ms", "_t.end_ms")).alias("_m"))
-        .select("script_id", "word_idx", "_m.*")
-    )
-    return _monotone(per_word)
+    word = F.struct(F.col("asr_idx").cast("bigint").alias("asr_idx"), tx.norm_word(F.col("token")).alias("norm"), "start_ms", "end_ms")
+    heard = asr.groupBy("script_id").agg(F.array_sort(F.collect_list(word)).alias("_heard"))
+    words = scripts.select("script_id", F.transform(tx.tokens(F.col("text")), tx.norm_word).alias("_mine"))
+    places = F.arrow_udf(_match, PLACES)("_mine", F.transform("_heard", lambda x: x["norm"]))
+    found = words.join(heard, "script_id").select("script_id", "_heard", places.alias("_places"))
+    opened = found.select("script_id", F.explode(F.transform("_places", lambda p: F.struct(
+        p["word_idx"].cast("bigint").alias("word_idx"), F.get("_heard", p["heard"]).alias("x")))).alias("_m"))
+    return opened.select("script_id", "_m.word_idx", "_m.x.asr_idx", "_m.x.start_ms", "_m.x.end_ms")
 
 
 def align_words(scripts: DataFrame, asr: DataFrame) -> DataFrame:

@@ -42,11 +42,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column,
-                value: Column, name: str, peers: bool = False, total: str | None = None) -> DataFrame:
+                value: Column, name: str, total: str | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` per key. ``block`` must rise with ``order``.
 
-    With ``peers`` rows equal in ``order`` share the sum, as a RANGE frame does. ``total``
-    names a column for the key's whole sum, which the block table gives for free.
+    ``total`` names a column for the key's whole sum, which the block table gives for free.
     """
     blocked = df.withColumn("_blk", block).withColumn("_val", value)
     totals = blocked.groupBy(*keys, "_blk").agg(F.sum("_val").alias("_tot"))
@@ -56,9 +55,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
     before = totals.select(
         *keys, "_blk", F.coalesce(F.sum("_tot").over(earlier), F.lit(0)).alias("_before"), *extra
     )
-    inside = Window.partitionBy(*keys, "_blk").orderBy(*order)
-    start = Window.unboundedPreceding
-    inside = inside.rangeBetween(start, 0) if peers else inside.rowsBetween(start, 0)
+    inside = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         blocked.join(before, [*keys, "_blk"])
         .withColumn(name, F.col("_before") + F.sum("_val").over(inside))

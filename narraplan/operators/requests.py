@@ -22,13 +22,14 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def trailing_rate(requests: DataFrame, window_s: int, max_requests: int,
+def trailing_rate(requests: DataFrame, window_s: int, max_requests: int, tiebreak: str,
                   keys: Sequence[str] = ("provider",)) -> DataFrame:
-    """Add in_window, the requests in (now - window, now], and throttled:
-    as many as allowed came before it in the window.
+    """Add in_window, the requests in (now - window, now] up to this one, and throttled: as
+    many as allowed came before it in the window. Requests of one moment come one after
+    another, by ``tiebreak``.
 
-    Each request enters the line at its time and leaves it one window later; the running
-    sum of the two is the count. No request is copied into several windows.
+    Each request enters the line at its time and leaves it one window later, leavers first;
+    the running sum of the two is the count. No request is copied into several windows.
     """
     at = micros(F.col("ts"))
     extra = [c for c in requests.columns if c not in keys]
@@ -41,7 +42,7 @@ def trailing_rate(requests: DataFrame, window_s: int, max_requests: int,
     )
     line = enter.unionByName(leave)
     block = F.floor(F.col("_us") / F.lit(TIME_BLOCK_S * US))
-    counted = running_sum(line, keys, ["_us"], block, F.col("_delta"), "in_window", peers=True)
+    counted = running_sum(line, keys, ["_us", "_delta", tiebreak], block, F.col("_delta"), "in_window")
     return counted.where(F.col("_delta") == 1).withColumn(
         "throttled", F.col("in_window") > F.lit(max_requests)
     ).drop("_us", "_delta")

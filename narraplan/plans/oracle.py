@@ -7,6 +7,7 @@ joins and windows over whole tables.
 from __future__ import annotations
 
 from ..functions import lexicon as lx
+from ..operators.alignment import ROUNDS
 from . import fixtures as fx
 from .queries import MAX_SHOT_MS, SETTINGS
 
@@ -251,10 +252,10 @@ TIMED = """, timed AS MATERIALIZED (
           CASE WHEN next_chunk_idx = chunk_idx THEN next_at
             ELSE coalesce(nullif(next_at, 0), duration_ms) END AS follow FROM (
           SELECT c.*, r.start_ms AS at_ms, lead(r.start_ms) OVER w AS next_at, lead(c.chunk_idx) OVER w AS next_chunk_idx,
-            count(r.start_ms) OVER (PARTITION BY c.script_id, c.scene_idx) AS n_timed
-          FROM chunked c LEFT JOIN relative r USING (script_id, scene_idx, token_idx)
+            count(r.start_ms) OVER (PARTITION BY c.script_id, c.scene_idx) AS n_timed, max(n_times) OVER (PARTITION BY c.script_id, c.scene_idx) AS n_given
+          FROM chunked c LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY script_id, scene_idx) AS n_times FROM relative) r USING (script_id, scene_idx, token_idx)
           WINDOW w AS (PARTITION BY c.script_id, c.scene_idx ORDER BY c.token_idx))
-        WHERE n_timed = n_tokens))))"""
+        WHERE n_timed = n_tokens AND n_given = n_tokens))))"""
 
 TERMS = f""", terms AS MATERIALIZED (SELECT *, {_term('text')} AS term FROM scenes)"""
 CARD_TERMS = f""", terms AS MATERIALIZED (
@@ -483,28 +484,51 @@ WALLS = FRAMES + ", " + SENTS + """, targets AS MATERIALIZED (
 # -- alignment -------------------------------------------------------------------
 
 
-def _up_down(source: str, name: str) -> str:
-    return f""", {name} AS MATERIALIZED (
-  SELECT * EXCLUDE (hi, lo) FROM (SELECT *,
-    max(asr_idx) OVER (PARTITION BY script_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi,
-    min(asr_idx) OVER (PARTITION BY script_id ORDER BY word_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS lo
-    FROM {source}) WHERE (hi IS NULL OR asr_idx > hi) AND (lo IS NULL OR asr_idx < lo))"""
-
-
-def _grams(source: str, idx: str) -> str:
-    return f"""(SELECT script_id, pos, a || ' ' || b || ' ' || c AS gram FROM (
-    SELECT script_id, {idx} AS pos, {_norm('token')} AS a, {_norm('lead(token, 1) OVER w')} AS b, {_norm('lead(token, 2) OVER w')} AS c
-    FROM {source} WINDOW w AS (PARTITION BY script_id ORDER BY {idx})) WHERE a <> '' AND b <> '' AND c <> '')"""
-
-
-MATCHED = SENTS + WORDS + ASR + f""", sg AS (SELECT *, count(*) OVER g AS n, row_number() OVER (g ORDER BY pos) AS k FROM {_grams('words', 'word_idx')} WINDOW g AS (PARTITION BY script_id, gram))
-, ag AS (SELECT *, count(*) OVER g AS n, row_number() OVER (g ORDER BY pos) AS k FROM {_grams('asr', 'asr_idx')} WINDOW g AS (PARTITION BY script_id, gram))
-, anchors AS MATERIALIZED (SELECT script_id, word_idx, asr_idx FROM (
-    SELECT script_id, n, sg.pos AS word_idx, ag.pos AS asr_idx, min(n) OVER (PARTITION BY script_id) AS least_n
-    FROM sg JOIN ag USING (script_id, gram, n, k)) WHERE n = 1 OR least_n > 1)""" + _up_down(
-    "anchors", "kept") + """, per_word AS MATERIALIZED (
-  SELECT script_id, word_idx + k AS word_idx, min(asr_idx + k) AS asr_idx
-  FROM kept, (VALUES (0), (1), (2)) t(k) GROUP BY ALL)""" + _up_down("per_word", "matches")
+def _norms(source: str, idx: str) -> str:
+    return f"SELECT script_id, {idx} AS pos, {_norm('token')} AS norm FROM {source}"
+
+
+def _gap_runs(source: str, side: str, idx: str, size: int, before: str) -> str:
+    """Runs of non-empty words inside the gaps of earlier rounds, with how often and as which one they stand there."""
+    lead = [f"lead(norm, {k}) OVER w" for k in range(size)]
+    return f"""SELECT *, count(*) OVER g AS n, row_number() OVER (g ORDER BY pos) AS k FROM (
+      SELECT script_id, gap, pos, {" || ' ' || ".join(lead)} AS run, {" AND ".join(f"{x} <> ''" for x in lead)} AS whole
+      FROM (SELECT script_id, s.pos, norm, m.{idx} IS NOT NULL AS hit, count(m.{idx}) OVER (PARTITION BY script_id ORDER BY s.pos) AS gap
+        FROM {source} s LEFT JOIN (SELECT script_id, {idx}, {idx} AS pos FROM {before}) m USING (script_id, pos)) WHERE NOT hit
+      WINDOW w AS (PARTITION BY script_id, gap ORDER BY pos)) WHERE whole WINDOW g AS (PARTITION BY script_id, gap, run)"""
+
+
+def _match_round(r: int, size: int, rule: str) -> str:
+    """Runs that pair vote for the places of their words; of each gap the longest rising chain is kept (patience sorting:
+    an element's pile is one more than the number of piles with lower tops; from the end, the latest of each pile)."""
+    how = {"once": "s.n = 1 AND h.n = 1", "equal": "s.n = h.n", "least": "true"}[rule]
+    return f""", s{r} AS ({_gap_runs("mine", "s", "word_idx", size, f"m{r - 1}")})
+, h{r} AS ({_gap_runs("theirs", "h", "asr_idx", size, f"m{r - 1}")})
+, v{r} AS (
+  SELECT script_id, gap, s.pos + o AS word_idx, h.pos + o AS place, count(*) AS v
+  FROM s{r} s JOIN h{r} h USING (script_id, gap, run, k), range({size}) t(o) WHERE {how} GROUP BY ALL)
+, c{r} AS MATERIALIZED (
+  SELECT script_id, gap, list(word_idx ORDER BY word_idx) AS words, list(place ORDER BY word_idx) AS places
+  FROM (SELECT * FROM v{r} QUALIFY row_number() OVER (PARTITION BY script_id, word_idx ORDER BY v DESC, place) = 1) GROUP BY ALL)
+, p{r} AS MATERIALIZED (
+  SELECT *, list_reduce(list_transform(places, lambda x: {{'place': x, 'tops': []::BIGINT[], 'piles': []::BIGINT[]}}), lambda s, x: {{
+      'place': x.place,
+      'tops': list_concat(list_filter(s.tops, lambda t: t < x.place), list_concat([x.place], s.tops[len(list_filter(s.tops, lambda t: t < x.place)) + 2:])),
+      'piles': list_append(s.piles, len(list_filter(s.tops, lambda t: t < x.place)) + 1)}},
+    {{'place': 0::BIGINT, 'tops': []::BIGINT[], 'piles': []::BIGINT[]}}).piles AS piles FROM c{r})
+, m{r} AS MATERIALIZED (
+  SELECT * FROM m{r - 1} UNION ALL
+  SELECT script_id, words[nth] AS word_idx, places[nth] AS asr_idx FROM (
+    SELECT script_id, words, places, unnest(list_reduce(
+      list_transform(list_reverse(range(1, len(piles) + 1)), lambda i: {{'want': piles[i], 'at': i, 'taken': []::BIGINT[]}}),
+      lambda s, x: CASE WHEN x.want = s.want THEN {{'want': s.want - 1, 'at': s.at, 'taken': list_prepend(x.at, s.taken)}} ELSE s END,
+      {{'want': list_max(piles), 'at': 0::BIGINT, 'taken': []::BIGINT[]}}).taken) AS nth FROM p{r}))"""
+
+
+MATCHED = SENTS + WORDS + ASR + f""", mine AS MATERIALIZED ({_norms('words', 'word_idx')})
+, theirs AS MATERIALIZED ({_norms('asr', 'asr_idx')})
+, m0 AS MATERIALIZED (SELECT script_id, word_idx, word_idx AS asr_idx FROM words WHERE false)""" + "".join(
+    _match_round(r, size, rule) for r, (size, rule) in enumerate(ROUNDS, 1)) + f", matches AS (SELECT * FROM m{len(ROUNDS)})"
 ALIGNED = MATCHED + """, hitlines AS MATERIALIZED (
   SELECT w.script_id, w.word_idx, w.sent_idx, w.token, a.start_ms, a.end_ms, a.start_ms IS NOT NULL AS matched
   FROM words w LEFT JOIN matches m USING (script_id, word_idx) LEFT JOIN asr a USING (script_id, asr_idx))
@@ -676,7 +700,8 @@ ORACLE: dict[str, str] = {
       round(start_ms, 4) AS start_ms, round(end_ms, 4) AS end_ms FROM estimated"""),
     "w8_timed_windows": _with(SCENES + WORDS + RELATIVE + CAPTION_TOKENS + TIMED, "SELECT * FROM timed"),
     "w9_trailing_rate": _with(LOG[2:], f"""SELECT provider, event_id, in_window, in_window > {fx.RATE_MAX} AS throttled FROM (
-      SELECT *, count(*) OVER (PARTITION BY provider ORDER BY us RANGE BETWEEN {fx.RATE_WINDOW_S * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS in_window FROM log)"""),
+      SELECT *, count(*) OVER (PARTITION BY provider ORDER BY us RANGE BETWEEN {fx.RATE_WINDOW_S * 1_000_000 - 1} PRECEDING AND CURRENT ROW)
+        - count(*) OVER (PARTITION BY provider, us) + row_number() OVER (PARTITION BY provider, us ORDER BY event_id) AS in_window FROM log)"""),
     "w10_speech_before": _with(FRAMES, "SELECT * FROM speech"),
     "t1_first_scenes": _with(SCENES, "SELECT script_id, scene_idx, start_ms, end_ms FROM scenes WHERE scene_idx < 5"),
     "t2_top_candidates": _with(CATALOG, "SELECT query, source, needed_ms, cand_rank, video_id, rel, score FROM top"),

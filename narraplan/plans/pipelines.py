@@ -168,7 +168,7 @@ def pause_plan(sentences: DataFrame, frames: DataFrame, frame_ms: int, min_silen
 def request_report(log: DataFrame, window_s: int, max_requests: int, month_limit: int,
                    ttl_s: int, tiebreak: str) -> DataFrame:
     """Per provider: requests, throttled ones, refused ones, cache hits and misses."""
-    rate = requests.trailing_rate(log, window_s, max_requests).groupBy("provider").agg(
+    rate = requests.trailing_rate(log, window_s, max_requests, tiebreak).groupBy("provider").agg(
         F.count(F.lit(1)).alias("requests"), F.max("in_window").alias("peak"),
         F.count_if("throttled").alias("throttled"),
     )

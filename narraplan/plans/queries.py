@@ -544,7 +544,7 @@ def w8_timed_windows(spark, sf):
 
 
 def w9_trailing_rate(spark, sf):
-    return requests.trailing_rate(fx.request_log(spark, sf), fx.RATE_WINDOW_S, fx.RATE_MAX).select(
+    return requests.trailing_rate(fx.request_log(spark, sf), fx.RATE_WINDOW_S, fx.RATE_MAX, "event_id").select(
         "provider", "event_id", "in_window", "throttled")
 
 

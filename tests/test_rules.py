@@ -1,6 +1,7 @@
 """Hand-computed answers for the rules, and properties that hold on any input."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -241,10 +242,29 @@ def test_throttle_counts_earlier_requests_only(spark):
     from narraplan.operators import requests
 
     rows = spark.sql("SELECT 'a' AS provider, timestamp_seconds(id) AS ts, id FROM range(4)")
-    got = {r.id: r.throttled for r in requests.trailing_rate(rows, 60, 3).collect()}
+    got = {r.id: r.throttled for r in requests.trailing_rate(rows, 60, 3, "id").collect()}
     assert got == {0: False, 1: False, 2: False, 3: True}
 
 
+def test_requests_of_one_moment_come_one_after_another(spark):
+    """Six at one microsecond with a limit of five: the sixth waits. A window later all have left."""
+    from narraplan.operators import requests
+
+    rows = spark.sql("SELECT 'a' AS provider, timestamp_micros(1000000 + 60000000 * (id div 6)) AS ts, id FROM range(12)")
+    got = {r.id: (r.in_window, r.throttled) for r in requests.trailing_rate(rows, 60, 5, "id").collect()}
+    assert got == {k: (k % 6 + 1, k % 6 == 5) for k in range(12)}
+
+
+def test_more_times_than_tokens_are_estimated(spark):
+    """The numbers of times and tokens must be equal, as nothing tells which time is surplus."""
+    scenes = spark.createDataFrame([(0, 0, "one two three", 3000), (1, 0, "one two three", 3000)],
+                                   "script_id long, scene_idx long, text string, duration_ms long")
+    times = [(s, 0, k, k * 500) for s, n in ((0, 3), (1, 4)) for k in range(n)]
+    times = spark.createDataFrame(times, "script_id long, scene_idx long, token_idx long, start_ms long")
+    got = captions.timed_windows(captions.chunk_captions(scenes, keep=["duration_ms"]), times).collect()
+    assert {r.script_id for r in got} == {0} and len(got) == 3
+
+
 def test_listed_term_with_capital(spark):
     row = spark.range(1).select(tx.key_term(F.lit("your melatonin dose"), terms=["Melatonin"]).alias("t")).first()
     assert row.t == "Melatonin"
@@ -363,3 +383,67 @@ def test_one_key_inside_one_gap(spark):
     df = spark.range(5000).select(F.lit(0).alias("k"), (F.col("id") % 3000).alias("at"), F.col("id").alias("seq"))
     got = ordered.spaced_accepts(df, ["k"], "at", ["at", "seq"], 1_000_000, True, "ok", group_limit=100)
     assert [tuple(r) for r in got.where("ok").select("at", "seq").collect()] == [(0, 0)] and got.count() == 5000
+
+
+def matched(spark, script, words):
+    rows = alignment.match_words(scripts_df(spark, script), heard(spark, 0, words)).collect()
+    got = sorted((r.word_idx, r.asr_idx) for r in rows)
+    assert [b for _, b in got] == sorted({b for _, b in got})
+    return got
+
+
+def test_a_stray_anchor_costs_its_own_words_only(spark):
+    words = [f"w{k}" for k in range(60)]
+    # words 0-2 are garbled and said at the end
+    got = matched(spark, " ".join(words), " ".join(["xx", "yy", "zz", *words[3:], *words[:3]]))
+    assert got == [(k, k) for k in range(3, 60)]
+    # one word said too early
+    got = matched(spark, " ".join(words), " ".join(["w59", *words[:59]]))
+    assert got == [(k, k + 1) for k in range(59)]
+
+
+def test_scripts_that_share_runs_are_matched(spark):
+    assert matched(spark, "go " * 60, "go " * 57) == [(k, k) for k in range(57)]
+    assert matched(spark, "a b c d", "a c d") == [(0, 0), (2, 1), (3, 2)]
+    intro = "hello and welcome to the show "
+    got = matched(spark, intro + "today we talk about water " + intro, intro + "today we talk of water " + intro)
+    assert len(got) == 16 and (10, 10) in got and (9, 9) not in got
+    assert matched(spark, "aa bb", "cc dd") == []
+
+
+def test_longest_rising_chain():
+    r = random.Random(6)
+    for _ in range(300):
+        places = [r.randrange(12) for _ in range(r.randrange(10))]
+        best = [1] * len(places)
+        for i in range(len(places)):
+            best[i] += max((best[j] for j in range(i) if places[j] < places[i]), default=0)
+        got = [places[k] for k in alignment.rising(places)]
+        assert len(got) == max(best, default=0) and got == sorted(set(got))
+
+
+def test_pattern_fragments():
+    from narraplan.functions import patterns
+
+    of = lambda p: set(patterns.fragments(p) or ())
+    assert of(r"\x61bcd") == {"abcd"} and of(r"\u00e9t\u00e9") == {"été"}
+    assert of(r"(?:sleep|rest)ing") == {"sleeping", "resting"} and of(r"colou?r") == {"color", "colour"}
+    assert of(r"\bwater\b.*(drink|glass)") == {"water"} and of(r"\d+ (mg|ml)") == {" mg", " ml"}
+    assert of(r"[^a]bc") == {"bc"} and of(r"(?:a|b*)c?") == set() and of(r".*") == set()
+    assert patterns.Finder([r"\x61bcd", r"x|.*"]).first("abcd", 2) == [0, 1]
+
+
+def test_fragments_never_miss():
+    from narraplan.functions import patterns
+
+    r = random.Random(8)
+    parts = ["a", "b", "c", "ab", "[ab]", "[a-c]", "[^a]", ".", r"\w", "(ab|c)", "(?:a|bc)", "a?", "b*", "c+", "(ab)?", "(a|b){2}", r"\b", "^", "$", "(a|)", "(?=a)", "(?!b)", "a{0,2}"]
+    n = 0
+    for _ in range(3000):
+        p = "|".join("".join(r.choices(parts, k=r.randrange(1, 6))) for _ in range(r.choice([1, 1, 2])))
+        one, search = patterns.Finder([p]), re.compile(p)
+        for _ in range(4):
+            t = "".join(r.choices("abc d", k=r.randrange(7)))
+            assert one.first(t, 1) == ([0] if search.search(t) else []), (p, t)
+            n += search.search(t) is not None
+    assert n > 1000
