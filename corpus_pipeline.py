@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. It works on all rows that the one before kept; all
 but the last return the columns of documents.
+
+Defined results: null, empty and letterless texts go at the first stage, which rejects what it can't identify; so do rows
+without any learned language. Very long texts are treated whole. Of tied and repeated rows one stays at the third
+stage: the smallest doc_id of a class, null last. Rows with null doc_id are documents like others. Without labels nothing
+is toxic. Extra columns go through all stages but the last, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,20 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narraplan.llm import language, mixing, ngram_join, packing, toxicity
-from narraplan.llm.common import written
+from narraplan.llm.common import free_name, written
 from narraplan.llm.queries import BYTE_VOCABULARY, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that language identification rejects."""
-    model = language.fit(docs)
-    return language.identified(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    own = free_name(docs.columns, "language")
+    found = language.identified(docs, language.fit(docs), own)
+    return found.where(~F.col(f"{own}.rejected")).drop(own)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents predicted toxic by a lexicon learned from the labels of documents still here."""
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return toxicity.scored(docs, lexicon).where("predicted = 0").select(*docs.columns)
+    own = free_name(docs.columns, "toxicity")
+    return toxicity.scored(docs, lexicon, own).where(F.col(f"{own}.predicted") == 0).drop(own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

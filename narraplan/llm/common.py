@@ -18,6 +18,20 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that is none of `columns`."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def refuse(columns: list[str], name: str) -> None:
+    """Results come in one struct column; its name must be free."""
+    if name.lower() in {c.lower() for c in columns}:
+        raise ValueError(f"documents have a column {name}: give `result` another name")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share. Only a local master gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -6,29 +6,30 @@ language has several centroids from spherical k-means. The language of the neare
 prediction and the cosine the score. A text is rejected if it has no letter, or if it has enough n-grams to tell
 (2^`BANDS_SHORT` - 1) and lies far outside the distance that texts of its length had in fitting, by a margin.
 
-Fitting uses at most about `sample` texts per language, chosen by a hash of doc_id; k-means runs per language. The
+Fitting uses at most about `sample` texts per language, chosen by a hash of (doc_id, text); k-means runs per language. The
 model has 64 kB of centroids a language, whatever the number of texts.
 Null, empty and letterless texts are `und` with score 0. Ties go to the language first in order. Repeated rows get
-equal results. Without any labelled text all are `und`. Extra columns are kept.
+equal results. Without any labelled text all are `und`. Extra columns are kept; results come in one struct column, whose
+name the caller gives.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narraplan.llm.common import blocks, cut, raw, sized
+from narraplan.llm.common import blocks, cut, raw, refuse, sized
 
 DIMENSIONS = 4096
 BANDS = 24
 BANDS_SHORT = 6
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _LOWER = np.full(256, 32, np.uint8)
 _LOWER[97:123] = np.arange(97, 123)
 _LOWER[65:91] = np.arange(97, 123)
@@ -36,6 +37,11 @@ _LOWER[128:] = np.arange(128, 256)
 _HASH = np.random.default_rng(11).integers(1, 2**31, 4, dtype=np.uint32) | np.uint32(1)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter: a sign of a Unicode category L. Signs of numbers (½, Ⅷ) are none."""
+    return bool(text) and _LETTER.search(text) is not None
+
+
 def ngram_counts(column: pa.Array) -> np.ndarray:
     """rows x DIMENSIONS counts of n-grams that touch a letter; n-grams don't cross rows."""
     data, off = raw(column)
@@ -107,7 +113,7 @@ def fit(docs: DataFrame, sample: int = 500, clusters: int = 4, margin: float = 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", 1 << 18, 256):
-            keep = np.array([bool(_LETTER.search(t)) for t in block.column("text").to_pylist()])
+            keep = np.array([has_letter(t) for t in block.column("text").to_pylist()])
             c = ngram_counts(block.column("text"))[keep]
             if len(c):
                 yield pa.record_batch([block.column("lang").filter(pa.array(keep)), pa.array(list(c), pa.list_(pa.float32()))], names=["lang", "counts"])
@@ -143,28 +149,34 @@ def fit(docs: DataFrame, sample: int = 500, clusters: int = 4, margin: float = 0
     return Model(got["lang"].tolist(), np.array(got["centroid"].tolist(), np.float32), idf, floor)
 
 
-def identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred, score and rejected."""
+def identified(docs: DataFrame, model: Model | None, result: str = "language") -> DataFrame:
+    """docs with a struct column `result`: lang_pred, score and rejected."""
     columns = docs.columns
+    refuse(columns, result)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for block in blocks(batches, "_text", 1 << 19, 256):
-            letter = np.array([bool(t and _LETTER.search(t)) for t in block.column("_text").to_pylist()], bool)
-            name, score, out = np.full(len(letter), "und", object), np.zeros(len(letter)), ~letter
-            if own is None:
-                out[:] = True
-            elif letter.any():
-                counts = ngram_counts(block.column("_text"))
-                near = own.vectors(counts) @ own.centroids.T
-                best = near.argmax(1)
-                name[letter] = np.array(own.languages, object)[best[letter]]
-                score[letter] = np.clip(near.max(1)[letter], 0, 1)
-                out |= score < own.floor[band(counts)]
-            yield pa.record_batch([block.column("_row"), pa.array(name, pa.string()), pa.array(score), pa.array(out)],
-                                  names=["_row", "lang_pred", "score", "rejected"])
+        for rows in batches:
+            # Texts come once, inside the row.
+            texts = rows.column("_row").field(columns.index("text"))
+            yield from (judged(own, block) for block in blocks(iter([rows.append_column("_text", texts)]), "_text", 1 << 19, 256))
+
+    def judged(own: Model | None, block: pa.RecordBatch) -> pa.RecordBatch:
+        letter = np.array([has_letter(t) for t in block.column("_text").to_pylist()], bool)
+        name, score, out = np.full(len(letter), "und", object), np.zeros(len(letter)), ~letter
+        if own is None:
+            out[:] = True
+        elif letter.any():
+            counts = ngram_counts(block.column("_text"))
+            near = own.vectors(counts) @ own.centroids.T
+            best = near.argmax(1)
+            name[letter] = np.array(own.languages, object)[best[letter]]
+            score[letter] = np.clip(near.max(1)[letter], 0, 1)
+            out |= score < own.floor[band(counts)]
+        return pa.record_batch([block.column("_row"), pa.array(name, pa.string()), pa.array(score), pa.array(out)],
+                              names=["_row", "lang_pred", "score", "rejected"])
 
     row = F.struct(*columns).alias("_row")
     schema = f"_row {docs.select(row).schema[0].dataType.simpleString()}, lang_pred string, score double, rejected boolean"
-    return docs.select(row, F.col("text").alias("_text")).mapInArrow(make, schema).select("_row.*", "lang_pred", "score", "rejected")
+    return docs.select(row).mapInArrow(make, schema).select("_row.*", F.struct("lang_pred", "score", "rejected").alias(result))

@@ -139,7 +139,7 @@ def _long(lines: Lines, shortest: int) -> np.ndarray:
     return np.flatnonzero(lines.points >= max(shortest, 1))
 
 
-def _collected(parts: DataFrame, bits: int) -> np.ndarray:
+def merged_words(parts: DataFrame, bits: int) -> np.ndarray:
     """Words of the merged second filter, at most MOST_BITS, from the segments of all tasks."""
     whole = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment long, twice binary")
     words = np.zeros(bits // 64, np.uint64)
@@ -149,6 +149,18 @@ def _collected(parts: DataFrame, bits: int) -> np.ndarray:
     return words
 
 
+def own_words(marks: DataFrame, bits: int) -> DataFrame:
+    """Segments of the tasks' Bloom filters over a column of 64-bit marks."""
+
+    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Filter(bits)
+        for batch in batches:
+            known.add(batch.column(0).to_numpy().view(np.uint64))
+        yield from _segments(known, known)
+
+    return marks.mapInArrow(note, SEGMENTS)
+
+
 def twice_seen(docs: DataFrame, bits: int, shortest: int) -> np.ndarray:
     """Words of a Bloom filter that has every key of two or more rows."""
 
@@ -167,7 +179,7 @@ def twice_seen(docs: DataFrame, bits: int, shortest: int) -> np.ndarray:
             once.add(keys)
         yield from _segments(once, twice)
 
-    return _collected(docs.select("text").mapInArrow(seen, SEGMENTS), bits)
+    return merged_words(docs.select("text").mapInArrow(seen, SEGMENTS), bits)
 
 
 def suspects(docs: DataFrame, words: np.ndarray, bits: int, shortest: int) -> DataFrame:
@@ -238,13 +250,7 @@ def without_repeats(docs: DataFrame, result: str = "lines", shortest: int = SHOR
     bits = filter_bits(drops.count())
     mark = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text_hash").alias("mark")
 
-    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Filter(bits)
-        for batch in batches:
-            known.add(batch.column(0).to_numpy().view(np.uint64))
-        yield from _segments(known, known)
-
-    held = docs.sparkSession.sparkContext.broadcast(_collected(drops.select(mark).mapInArrow(note, SEGMENTS), bits))
+    held = docs.sparkSession.sparkContext.broadcast(merged_words(own_words(drops.select(mark), bits), bits))
 
     def parted(batches: Iterator[pa.RecordBatch], hit: bool) -> Iterator[pa.RecordBatch]:
         known = Filter(bits, held.value)

@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narraplan.llm.common import Words, blocks, by_tile, components, cut, mixed
+from narraplan.llm.common import Words, blocks, by_tile, components, cut, mixed, written
+from narraplan.llm.line_dedup import Filter, filter_bits, merged_words, own_words
 
 COUNTERS = 1 << 18
 MARKS = 1 << 24
+MET = 1 << 18
 GROUP_TILE = 256
 BLOCK_TILE = 1 << 20
 LONGEST_BITMAP = 1 << 17
@@ -83,20 +85,27 @@ def _bitmap(shingles: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, counts: np.ndarray, size: int, num: int, den: int) -> DataFrame:
-    """Per row: doc_id, text_hash, n, node (hash of the set, null without shingles), bitmap and rarest shingles."""
+    """Per row: doc_id, text_hash, n, node (hash of the set, null without shingles); bitmap and rarest shingles at a node's first rows.
+
+    A task knows the nodes that it has met of late, so copies in its part have neither.
+    """
     shift = np.uint64(64 - int(COUNTERS).bit_length() + 1)
     held = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 20) - 1).astype(np.uint64))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = held.value
+        met: set[int] = set()
         for block in blocks(batches, "text"):
             n, node, sign, first = [], [], [], []
             for s in Words(block.column("text")).shingles(size):
                 n.append(len(s))
-                if not len(s):
-                    node.append(None), sign.append(None), first.append(None)
+                node.append(int(_signed(mixed(mixed(s).sum(keepdims=True) + np.uint64(len(s))))[0]) if len(s) else None)
+                if not len(s) or node[-1] in met:
+                    sign.append(None), first.append(None)
                     continue
-                node.append(int(_signed(mixed(mixed(s).sum(keepdims=True) + np.uint64(len(s))))[0]))
+                if len(met) >= MET:
+                    met.clear()
+                met.add(node[-1])
                 sign.append(_bitmap(s).tobytes())
                 order = np.argsort((rank[s >> shift] << np.uint64(44)) | (s >> np.uint64(20)), kind="stable")
                 first.append(_signed(s[order[:len(s) - int(_needed(len(s), num, den)) + 1]]))
@@ -276,10 +285,20 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     table[bits["at"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
     held = docs.sparkSession.sparkContext.broadcast(table)
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = batch.column("text_hash").to_numpy() % MARKS
-            yield batch.filter(pa.array((held.value[bit // 62] >> (bit % 62)) & 1 == 1))
+    @F.arrow_udf("boolean")
+    def chosen(hashes: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """Marked texts, of copies in a task the first; texts themselves don't leave the JVM."""
+        met: set[int] = set()
+        for batch in hashes:
+            h = batch.to_numpy(zero_copy_only=False)
+            bit = h % MARKS
+            use = (held.value[bit // 62] >> (bit % 62)) & 1 == 1
+            for k in np.flatnonzero(use).tolist():
+                use[k] = h[k] not in met
+                met.add(h[k])
+            if len(met) > MET:
+                met.clear()
+            yield pa.array(use)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -287,17 +306,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.record_batch([block.column("node"), pa.array([len(s) for s in sets], pa.int64()),
                                    pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "data"])
 
-    some = docs.select("text", F.xxhash64("text").alias("text_hash")).mapInArrow(chosen, "text string, text_hash long")
-    return some.join(wanted, "text_hash").select("node", "text").dropDuplicates(["node"]).mapInArrow(make, "node long, n long, data binary")
+    some = docs.select("text", F.xxhash64("text").alias("text_hash")).where(chosen.asNondeterministic()("text_hash"))
+    return some.join(wanted, "text_hash").dropDuplicates(["text_hash"]).select("node", "text").mapInArrow(make, "node long, n long, data binary")
 
 
 def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, text_hash, n_shingles and class (null without shingles) of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = cut(features(docs, shingle_counts(docs, size), size, num, den))
+    base = written(features(docs, shingle_counts(docs, size), size, num, den), "shingles")
     nodes = base.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"))
-    groups = shared_groups(base.where("node is not null")).select("grp", "node", F.lit(1).alias("weight"))
-    maps = base.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("data"))
+    groups = shared_groups(base.where("rarest is not null")).select("grp", "node", F.lit(1).alias("weight"))
+    maps = base.where("bitmap is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("data"))
     bounds = components(linked(groups, maps, GROUP_TILE, num, den, False))
     members = cut(bounds.join(nodes, "node").select(F.col("component").alias("grp"), "node", F.col("n").alias("weight"), "text_hash"))
     sets = cut(_sets(docs, members.select("text_hash", "node"), size))
@@ -314,16 +333,50 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
         "doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def _known(keys: DataFrame):
+    """Broadcast Bloom filter over (doc_id, text_hash), of a bounded size."""
+    bits = filter_bits(keys.count())
+    marks = keys.select(_mark("doc_id", "text_hash"))
+    return bits, keys.sparkSession.sparkContext.broadcast(merged_words(own_words(marks, bits), bits))
+
+
+def _mark(doc_id, text_hash):
+    return F.xxhash64(F.coalesce(doc_id, F.lit(-1)), text_hash)
+
+
 def deduplicated(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """One row of each class, with all columns of docs: the smallest doc_id, null last, then text hash. Rows without shingles all stay."""
+    """One row of each class, with all columns of docs: the smallest doc_id, null last, then text hash. Rows without shingles all stay.
+
+    Two Bloom filters over row keys let nearly all texts stay or go where they are: a key that the filter of kept keys
+    doesn't know goes, one that the filter of other and of repeated keys doesn't know stays. The few in both are decided
+    by an exact join.
+    """
     columns = docs.columns
-    classes = jaccard_classes(docs, size, num, den).where("class is not null")
+    classes = cut(jaccard_classes(docs, size, num, den).where("class is not null"))
     first = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
-    first = cut(first.select(F.xxhash64("first.doc_id", "first.text_hash").alias("_key")))
-    rows = docs.select(F.struct(*columns).alias("_row"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("_key"), F.col("text").alias("_text"))
-    blank = F.coalesce(F.col("_text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
-    kept = rows.where(~blank).select("_key", "_row").join(first, "_key", "left_semi").dropDuplicates(["_key"])
-    return kept.select("_row.*").union(rows.where(blank).select("_row.*"))
+    keep = cut(first.select("first.doc_id", "first.text_hash"))
+    rows = classes.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    same = rows["doc_id"].eqNullSafe(keep["doc_id"]) & (rows["text_hash"] == keep["text_hash"])
+    single = rows.where("n = 1").join(keep, same, "left_semi")
+    others = cut(rows.select("doc_id", "text_hash").exceptAll(single.select("doc_id", "text_hash")))
+    (keep_bits, kept), (other_bits, other) = _known(keep), _known(others)
+
+    @F.arrow_udf("int")
+    def fate(marks: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """0 goes, 1 stays, 2 is in both filters."""
+        stays, goes = Filter(keep_bits, kept.value), Filter(other_bits, other.value)
+        for batch in marks:
+            h = batch.to_numpy(zero_copy_only=False).view(np.uint64)
+            yield pa.array(np.where(stays.has(h), 1 + goes.has(h), 0).astype(np.int32))
+
+    keyed = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"),
+                        F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$").alias("_blank"))
+    keyed = keyed.withColumn("_fate", fate(_mark(F.col("_id"), F.col("_hash"))))
+    sure = keyed.where(F.col("_blank") | (F.col("_fate") == 1))
+    open_ = keyed.where(~F.col("_blank") & (F.col("_fate") == 2))
+    wanted = keep.select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_kept_hash"))
+    found = open_.join(wanted, open_["_id"].eqNullSafe(wanted["_kept"]) & (open_["_hash"] == wanted["_kept_hash"]), "left_semi")
+    return sure.select("_row.*").union(found.dropDuplicates(["_id", "_hash"]).select("_row.*"))
 
 
 ORACLE = r"""

@@ -33,7 +33,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 0)
-    return toxicity.scored(docs, lexicon).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+    return toxicity.scored(docs, lexicon).select(
+        "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "toxicity.score", "toxicity.predicted")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     model = language.fit(docs.where(fold != 1))
-    return language.identified(docs.select("doc_id", "text"), model).select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "rejected")
+    return language.identified(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
 
 
 def op7_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

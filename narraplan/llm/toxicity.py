@@ -7,10 +7,11 @@ in toxic ones, weighted by their log odds; of terms that contain one another the
 a lexicon word that labelled documents show to be harmless are exception phrases: a match inside one doesn't count.
 A document's matched weight, whole and per length, goes through a logistic curve fitted on the same documents.
 
-Fitting uses at most `sample` labelled documents, in order of a hash of doc_id; their ids, at most that many, are
+Fitting uses at most `sample` labelled documents, in order of a hash of (doc_id, text); their keys, at most that many, are
 broadcast. Scoring reads nothing but the text. Null and empty texts have no match and get the score of such.
 Repeated rows score alike. Labels of unknown documents and null labels are ignored; without labels of both kinds
-nothing is learned and every score is 0. Extra columns are ignored.
+nothing is learned and every score is 0. Extra columns are kept; results come in one struct column, whose name the
+caller gives.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narraplan.llm.common import blocks, cut
+from narraplan.llm.common import blocks, cut, refuse
 
 # Letters that look like a-z, and the letters that digits and signs stand for.
 HOMOGLYPHS = {
@@ -133,7 +134,7 @@ def labelled(docs: DataFrame, labels: DataFrame, keep, sample: int) -> DataFrame
 def fit(docs: DataFrame, labels: DataFrame, keep, sample: int = 20_000, size: int = 2_000, least_g2: float = 30.0,
         exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Learn a lexicon of at most `size` terms, its exceptions and the curve. keep: condition on labels' doc_id."""
-    rows = labelled(docs, labels, keep, sample)
+    rows = cut(labelled(docs, labels, keep, sample))  # read three times, and bounded
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -193,19 +194,21 @@ def _features(lexicon: Lexicon):
     return make
 
 
-def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs with score and predicted (1 from 0.5)."""
+def scored(docs: DataFrame, lexicon: Lexicon, result: str = "toxicity") -> DataFrame:
+    """docs with a struct column `result`: score and predicted (1 from 0.5)."""
     columns = docs.columns
+    refuse(columns, result)
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
+    at = columns.index("text")  # texts come once, inside the row
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         machine = own.matcher()
-        for block in blocks(batches, "_text"):
+        for block in (b for rows in batches for b in blocks(iter([rows.append_column("_text", rows.column("_row").field(at))]), "_text")):
             x = np.array([own.features(machine, t) for t in block.column("_text").to_pylist()]).reshape(-1, 2)
             p = own.score(x)
             yield pa.record_batch([block.column("_row"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["_row", "score", "predicted"])
 
     row = F.struct(*columns).alias("_row")
     schema = f"_row {docs.select(row).schema[0].dataType.simpleString()}, score double, predicted int"
-    return docs.select(row, F.col("text").alias("_text")).mapInArrow(make, schema).select("_row.*", "score", "predicted")
+    return docs.select(row).mapInArrow(make, schema).select("_row.*", F.struct("score", "predicted").alias(result))

@@ -173,11 +173,11 @@ def test_toxicity(spark, docs_of, odd):
     docs, labels = docs_of(texts), spark.createDataFrame([*labels, (None, 1), (9999, None)], "doc_id long, toxic int")
     lexicon = toxicity.fit(docs, labels, F.col("doc_id") % 2 == 0)
     assert "vile" in lexicon.weights and "nasty weather" in lexicon.exceptions
-    got = {x.doc_id: x.predicted for x in toxicity.scored(docs, lexicon).collect()}
+    got = {x.doc_id: x.toxicity.predicted for x in toxicity.scored(docs, lexicon).collect()}
     assert sum(got[k] == (k % 5 == 0) for k in range(600)) >= 595
     rows = toxicity.scored(docs_of([*odd, (50, "so vile")]), lexicon).collect()
-    assert len(rows) == len(odd) + 1 and all(0 <= x.score <= 1 for x in rows)
-    assert [x.predicted for x in rows if x.doc_id in (0, 1, 50)] == [0, 0, 1]
+    assert len(rows) == len(odd) + 1 and all(0 <= x.toxicity.score <= 1 for x in rows)
+    assert [x.toxicity.predicted for x in rows if x.doc_id in (0, 1, 50)] == [0, 0, 1]
     assert toxicity.scored(docs_of([]), toxicity.fit(docs_of([]), labels, F.lit(True))).count() == 0
 
 
@@ -196,7 +196,7 @@ def test_toxicity_stems(docs_of, spark):
         labels.append((k, int(k % 5 == 0)))
     lexicon = toxicity.fit(docs_of(texts), spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") % 2 == 0)
     assert list(lexicon.weights) == ["grub*"]
-    got = {x.doc_id: x.predicted for x in toxicity.scored(docs_of(texts), lexicon).collect()}
+    got = {x.doc_id: x.toxicity.predicted for x in toxicity.scored(docs_of(texts), lexicon).collect()}
     assert all(got[k] == (k % 5 == 0) for k in range(600))
 
 
@@ -251,12 +251,12 @@ def test_fingerprints(docs_of, odd):
 def test_language(spark, docs_of, odd):
     rows = spark.read.parquet(f"{SF}/documents.parquet")
     fit = language.fit(rows.where("doc_id % 2 = 0"))
-    got = language.identified(rows.where("doc_id % 2 = 1"), fit).collect()
+    got = language.identified(rows.where("doc_id % 2 = 1"), fit).select("*", "language.*").collect()
     assert sum(x.lang == x.lang_pred for x in got) >= 0.97 * len(got) and not any(x.rejected for x in got if x.n_chars > 200 and x.lang == x.lang_pred and x.score > 0.6)
-    rows = {x.doc_id: x for x in language.identified(docs_of([*odd, (60, "12 34 !?"), (61, "qzx" * 4000)]), fit).collect()}
+    rows = {x.doc_id: x for x in language.identified(docs_of([*odd, (60, "12 34 !?"), (61, "qzx" * 4000)]), fit).select("*", "language.*").collect()}
     assert all(rows[i].lang_pred == "und" and rows[i].rejected and rows[i].score == 0 for i in (0, 1, 2, 60))
     assert rows[61].rejected and all(0 <= x.score <= 1 for x in rows.values())
-    assert {x.lang_pred for x in language.identified(docs_of(odd), language.fit(docs_of([]))).collect()} == {"und"}
+    assert {x.lang_pred for x in language.identified(docs_of(odd), language.fit(docs_of([]))).select("language.*").collect()} == {"und"}
 
 
 @pytest.mark.parametrize("block", [2048, 16])
