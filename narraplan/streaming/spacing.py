@@ -2,98 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-WAITING = T.StructType([T.StructField("at_ms", T.LongType()), T.StructField("seq", T.LongType())])
-LAST = T.StructType([T.StructField("at_ms", T.LongType())])
-
-
-class Spacing(StatefulProcessor):
-    """Items wait until the watermark passes them, then are judged in time order.
-
-    State per key: the last kept time and the items still ahead of the watermark. Batch and
-    stream therefore agree, whatever the order of arrival within the watermark's delay.
-    """
-
-    def __init__(self, gap_ms: int, strict: bool):
-        self.gap_ms, self.strict = gap_ms, strict
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", LAST)
-        self.waiting = handle.getListState("waiting", WAITING)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        soonest = None
-        for pdf in rows:
-            items = list(zip(pdf["at_ms"].tolist(), pdf["seq"].tolist()))
-            self.waiting.appendList(items)
-            first = min(at for at, _ in items)
-            soonest = first if soonest is None else min(soonest, first)
-        if soonest is not None:
-            self.handle.registerTimer(max(soonest, timerValues.getCurrentWatermarkInMs()) + 1)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        items = sorted(self.waiting.get())
-        ready = [x for x in items if x[0] < now]
-        later = [x for x in items if x[0] >= now]
-        last = self.last.get()[0] if self.last.exists() else None
-        kept = []
-        for at, _ in ready:
-            gap = None if last is None else at - last
-            ok = gap is None or (gap > self.gap_ms if self.strict else gap >= self.gap_ms)
-            if ok:
-                last = at
-            kept.append(ok)
-        if last is not None:
-            self.last.update((last,))
-        if later:
-            self.waiting.put([tuple(x) for x in later])
-            self.handle.registerTimer(max(later[0][0], now) + 1)
-        else:
-            self.waiting.clear()
-        yield pd.DataFrame({
-            "stream_key": [key[0]] * len(ready),
-            "at_ms": [x[0] for x in ready],
-            "seq": [x[1] for x in ready],
-            "kept": kept,
-        })
-
-    def close(self) -> None:
-        pass
-
 
-OUTPUT = T.StructType([
-    T.StructField("stream_key", T.StringType()),
-    T.StructField("at_ms", T.LongType()),
-    T.StructField("seq", T.LongType()),
-    T.StructField("kept", T.BooleanType()),
-])
+from .inorder import Spacing, in_order
 
 
-def spaced_stream(items: DataFrame, gap_ms: int, strict: bool, delay: str = "0 seconds") -> DataFrame:
-    """(stream_key STRING, ts TIMESTAMP, at_ms, seq) to (stream_key, at_ms, seq, kept)."""
-    return (
-        items.withWatermark("ts", delay)
-        .groupBy("stream_key")
-        .transformWithStateInPandas(
-            statefulProcessor=Spacing(gap_ms, strict), outputStructType=OUTPUT,
-            outputMode="Append", timeMode="EventTime",
-        )
-    )
+def spaced_stream(items: DataFrame, gap_us: int, strict: bool, delay: str = "0 seconds") -> DataFrame:
+    """(stream_key STRING, ts TIMESTAMP, at_us, seq, mark) to (stream_key, at_us, seq, kept)."""
+    return in_order(items, Spacing(["stream_key"], gap_us, strict), delay)
 
 
 def suppress_repeats(lookups: DataFrame, ttl_s: int, delay: str = "0 seconds") -> DataFrame:
     """Cache lookups (provider, query, ts, seq): kept ones are misses."""
     keyed = lookups.select(
         F.concat_ws("\u0001", "provider", "query").alias("stream_key"), "ts",
-        F.unix_millis("ts").alias("at_ms"), "seq")
-    return spaced_stream(keyed, ttl_s * 1000, strict=True, delay=delay)
+        F.unix_micros("ts").alias("at_us"), "seq", F.lit(0).cast("bigint").alias("mark"))
+    return spaced_stream(keyed, ttl_s * 1_000_000, strict=True, delay=delay)
