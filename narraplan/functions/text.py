@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from . import lexicon as lx
 
 SENTENCE_END = r"""([.!?]["')]*)\s+"""
 EDGE_SPACE = r"^\s+|\s+$"
+OPENING = r"""^["'(\[]*"""
+OUTER = r"""^["'(\[]+|["')\]]+$"""
+INITIALS = r"^\p{L}(\.\p{L})*$"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 NOT_WORD_APOS = r"[^\p{L}\p{N}_']"
 NOT_WORD_APOS_DASH = r"[^\p{L}\p{N}_'-]"
@@ -25,10 +29,48 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGE_SPACE, "")
 
 
-def sentences(text: Column) -> Column:
-    """ARRAY<STRING> of sentences: split after end punctuation followed by space."""
+class Breaks(NamedTuple):
+    """Lower-case words whose full stop belongs to them, and words that start sentences."""
+
+    abbreviations: frozenset[str]
+    starters: frozenset[str]
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def bare_token(token: Column) -> Column:
+    """A token without the quotes and brackets around it."""
+    return F.regexp_replace(token, OUTER, "")
+
+
+def sentences(text: Column, breaks: Breaks | None = None) -> Column:
+    """ARRAY<STRING> of sentences: split after end punctuation followed by space.
+
+    With ``breaks`` there is no end behind an abbreviation or initials, unless a capitalised
+    sentence starter follows; the white space there becomes one space.
+    """
     marked = F.regexp_replace(strip(text), SENTENCE_END, "$1\u0001")
-    return _non_empty(F.split(marked, "\u0001"))
+    pieces = _non_empty(F.split(marked, "\u0001"))
+    if breaks is None:
+        return pieces
+
+    def glue(piece: Column, after: Column) -> Column:
+        last = bare_token(F.regexp_extract(piece, r"(\S+)$", 1))
+        word = F.lower(F.regexp_replace(last, r"\.$", ""))
+        short = last.endswith(".") & (word.rlike(INITIALS) | _among(word, breaks.abbreviations))
+        opener = F.lower(F.regexp_extract(after, OPENING + r"([\p{L}\p{N}_'-]+)", 1))
+        starts = after.rlike(OPENING + r"\p{Lu}") & _among(opener, breaks.starters)
+        return F.concat(piece, F.when(after.isNull(), "").when(short & ~starts, " ").otherwise("\u0001"))
+
+    glued = bound(pieces, lambda p: F.array_join(F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), glue), ""))
+    return _non_empty(F.split(glued, "\u0001"))
+
+
+def _among(word: Column, words: frozenset[str]) -> Column:
+    return word.isin(sorted(words)) if words else F.lit(False)
 
 
 def tokens(text: Column) -> Column:
@@ -171,6 +213,15 @@ def card_eligible(scene_idx: Column, text: Column, n_words: Column,
     return (scene_idx > 0) & (n_words <= lx.CARD_MAX_WORDS) & (opens | (n_words <= lx.CARD_SHORT_WORDS))
 
 
+def keyed_settings(settings: Column, ladders: Column) -> Column:
+    """Settings with a signature of all scenes' keywords: an edited ladder changes a run's identity.
+
+    ``ladders``: one array of keywords a scene, in order.
+    """
+    joined = F.array_join(F.transform(ladders, lambda k: F.array_join(k, ",")), "|")
+    return F.concat(settings, F.lit("|kw="), F.substring(F.sha2(joined, 256), 1, 12))
+
+
 def run_fingerprint(text: Column, scene_count: Column, settings: Column) -> Column:
     joined = F.concat(text, F.lit("|"), scene_count.cast("string"), F.lit("|"), settings)
     return F.substring(F.sha2(joined, 256), 1, 16)

@@ -120,22 +120,93 @@ def answer_results(answers: DataFrame, person: Sequence[str] = lx.PERSON_WORDS,
     return answers.withColumn("rel", F.lit(3.0) * shared - F.when(clash, F.lit(8.0)).otherwise(F.lit(0.0)))
 
 
+#: Clips of every inverted list that a search looks at first, at least.
+LIST_HEAD = 256
+
+
+def _clip_sets(catalog: DataFrame, persons: Column, animals: Column) -> DataFrame:
+    """(source, words, clash, set_rank) per distinct token set; its best clip's rank names it within its source."""
+    words = F.array_sort(desc_words(F.col("desc"))).alias("words")
+    sets = catalog.select("source", words, "source_rank").groupBy("source", "words").agg(
+        F.min("source_rank").alias("set_rank"))
+    return sets.withColumn("clash", F.arrays_overlap("words", animals) & ~F.arrays_overlap("words", persons))
+
+
+def best_overlaps(queries: DataFrame, catalog: DataFrame, k: int, head: int | None = None,
+                  person: Sequence[str] = lx.PERSON_WORDS,
+                  animal: Sequence[str] = lx.ANIMAL_WORDS) -> DataFrame:
+    """(query, source, set_rank, rel, conflict): the k best token sets of a source by rel, then rank.
+
+    What ``token_overlap`` would rank first, without its pairs. A token's inverted list is in
+    rank order. First every query meets the ``head`` first entries of its tokens' lists. A
+    set not met there is behind the head in every list that has it, so it can have no more
+    words in common than the query has longer lists; where the k-th best found is not below
+    that, the query is done. Else a set that could still enter needs some number of common
+    words, so it is in one of the rarest longer lists, all but that number less one, and
+    only these are read whole. Sets that conflict with a query that names a person are searched
+    apart, as they rank by another scale. Lists are cut before their shuffle.
+    """
+    persons, animals = tx.word_array(person), tx.word_array(animal)
+    head = max(head or LIST_HEAD, k)
+    lists = _clip_sets(catalog, persons, animals).withColumn("token", F.explode("words"))
+    key = ["source", "clash", "token"]
+    in_order = Window.partitionBy(*key).orderBy("set_rank")
+    heads = lists.withColumn("_pos", F.row_number().over(in_order)).where(F.col("_pos") <= head)
+    ends = lists.groupBy(*key).agg(F.count(F.lit(1)).alias("_df")).join(
+        heads.groupBy(*key).agg(F.max("set_rank").alias("_end")), key)
+    asked = queries.select("query").distinct().withColumn("_qw", query_words(F.col("query")))
+    terms = asked.select("query", "_qw", F.explode("_qw").alias("token")).join(ends, "token")
+    search_of = ["query", "source", "clash"]
+    shared = F.size(F.array_intersect("_qw", "words")).alias("_n")
+    best = Window.partitionBy(*search_of).orderBy(F.col("_n").desc(), "set_rank")
+
+    def first_k(found: DataFrame) -> DataFrame:
+        met = found.groupBy(*search_of, "set_rank").agg(F.first("_n").alias("_n"))
+        return met.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+
+    met = first_k(terms.join(heads.select(*key, "set_rank", "words"), key).select(*search_of, "set_rank", shared))
+    last = met.groupBy(*search_of).agg(F.max_by(F.struct("_n", "set_rank"), "_r").alias("_last"), F.count(F.lit(1)).alias("_found"))
+    # lists that go on behind the head, rarest first; a list's place by where its head ends tells from which rank on
+    # a set can have how many words
+    longer = terms.where(F.col("_df") > head).withColumns({
+        "_rarity": F.row_number().over(Window.partitionBy(*search_of).orderBy("_df", "token")),
+        "_open": F.count(F.lit(1)).over(Window.partitionBy(*search_of)),
+        "_ends": F.array_sort(F.collect_list("_end").over(Window.partitionBy(*search_of))),
+    }).join(last, search_of)
+    n = F.col("_last._n")
+    ties = (F.col("_open") >= n) & (F.try_element_at("_ends", n) < F.col("_last.set_rank"))
+    need = F.when(F.col("_found") < k, F.lit(1)).when(ties, n).otherwise(n + 1)
+    left = longer.withColumn("_need", need).where(
+        (F.col("_need") <= F.col("_open")) & (F.col("_rarity") <= F.col("_open") - F.col("_need") + 1))
+    more = left.join(lists.select(*key, "set_rank", "words"), key).select(*search_of, "set_rank", shared, "_need").where(
+        F.col("_n") >= F.col("_need")).drop("_need")
+    found = first_k(met.drop("_r").unionByName(more))
+    conflict = F.arrays_overlap(query_words(F.col("query")), persons) & F.col("clash")
+    rated = found.withColumn("conflict", conflict).withColumn(
+        "rel", F.lit(3.0) * F.col("_n") - F.when(F.col("conflict"), F.lit(8.0)).otherwise(F.lit(0.0)))
+    both = Window.partitionBy("query", "source").orderBy(F.col("rel").desc(), "set_rank")
+    return rated.withColumn("_r", F.row_number().over(both)).where(F.col("_r") <= k).select(
+        "query", "source", "set_rank", "rel", "conflict")
+
+
 def search(queries: DataFrame, catalog: DataFrame, per_query: int | None = lx.RESULTS_PER_QUERY,
            **classes) -> DataFrame:
     """A provider's answer: the ``per_query`` best clips of a source by overlap, then rank; None keeps all.
 
-    Each token set first offers only its own best-ranked clips, so a query meets at most
-    ``per_query`` clips of one token set.
+    The best clips are among those of the ``per_query`` best token sets, and of each set its
+    own best-ranked ones; see ``best_overlaps``. With None all pairs are made.
     """
     keyed = catalog.select(*CLIP, F.array_sort(desc_words(F.col("desc"))).alias("words"))
-    same = Window.partitionBy("source", "words").orderBy("source_rank")
-    heads = keyed if per_query is None else (
-        keyed.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= per_query).drop("_r"))
-    overlap = token_overlap(queries, catalog, **classes)
     best = Window.partitionBy("query", "source").orderBy(F.col("rel").desc(), "source_rank")
-    found = overlap.join(heads, ["source", "words"]).drop("words").withColumn(
-        "result_no", F.row_number().over(best).cast("bigint"))
-    return found if per_query is None else found.where(F.col("result_no") <= per_query)
+    number = F.row_number().over(best).cast("bigint")
+    if per_query is None:
+        overlap = token_overlap(queries, catalog, **classes)
+        return overlap.join(keyed, ["source", "words"]).drop("words").withColumn("result_no", number)
+    same = Window.partitionBy("source", "words").orderBy("source_rank")
+    heads = keyed.withColumn("set_rank", F.min("source_rank").over(same)).withColumn(
+        "_r", F.row_number().over(same)).where(F.col("_r") <= per_query).drop("_r", "words")
+    found = best_overlaps(queries, catalog, per_query, **classes).join(heads, ["source", "set_rank"]).drop("set_rank")
+    return found.withColumn("result_no", number).where(F.col("result_no") <= per_query)
 
 
 def score_results(requests: DataFrame, results: DataFrame) -> DataFrame:

@@ -7,23 +7,23 @@ Two shapes are used, chosen by what bounds a group:
 * A group that is a log key (provider, query, recording) has no bound. ``running_sum``
   and ``carry`` cut such a group into blocks by a column expression, aggregate each
   block map-side, combine the small block table, and finish inside the blocks, so no
-  task ever holds more than one block. ``spaced_accepts`` measures the groups first and
-  sends the large ones through pointer doubling.
+  task ever holds more than one block. ``spaced_accepts`` sends only the times of its
+  blocks along a key.
 """
 
 from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Sequence
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-GROUP_LIMIT = 1_000_000
-
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the session's shared folder; survives lost executors."""
@@ -174,72 +174,60 @@ def spaced_scan(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str
     return ordered_scan(df, keys, order, [at], adds, step)
 
 
-def spaced_accepts(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], gap: int,
-                   strict: bool, name: str, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """``spaced_scan`` for groups of any size.
+def _kept_moments(moments: DataFrame, keys: list[str], gap: int, strict: bool) -> DataFrame:
+    """(keys, _at) kept of (keys, _blk, _times), blocks of sorted times read in order of a key.
 
-    ``at`` is an integer column and the first entry of ``order``. Groups of up to
-    ``group_limit`` rows are scanned; larger ones are solved by pointer doubling on their
-    distinct ``at`` values, which shuffles on (key, at) and so has no hot partition. For log
-    keys, which nothing bounds; a key that is one script needs only ``spaced_scan``.
+    A block is entered with the last kept time and left with a later one or the same, which
+    takes one binary search for each kept time in it; blocks compose in this way along a
+    key, with nothing held but the present block.
     """
-    keys, order = list(keys), list(order)
+    fields = [f for f in moments.schema.fields if f.name in keys]
+    schema = T.StructType([*fields, T.StructField("_at", T.LongType())])
 
-    def scan(part):
-        return spaced_scan(part, keys, at, order, gap, strict, name)
+    def run(batches):
+        current, last = object(), None
+        for batch in batches:
+            idents = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            found, kept = [], []
+            for i, key in enumerate(idents):
+                times = batch.column("_times")[i].values.to_numpy()
+                if key != current:
+                    current, last = key, None
+                at = 0 if last is None else int(np.searchsorted(times, last + gap, "right" if strict else "left"))
+                while at < len(times):
+                    last = int(times[at])
+                    found.append(i)
+                    kept.append(last)
+                    at = int(np.searchsorted(times, last + gap, "right" if strict else "left"))
+            rows = pa.array(found, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(f.name).take(rows) for f in fields), pa.array(kept, pa.int64())], names=schema.names)
 
-    large = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > group_limit).select(*keys)
-    )
-    if large.isEmpty():
-        return scan(df)
-    large = cut_lineage(large)
-    small_part = scan(df.join(large, keys, "left_anti"))
-    return small_part.unionByName(
-        _doubling_accepts(df.join(large, keys, "left_semi"), keys, at, order, gap, strict, name)
-    )
+    return moments.repartition(*keys).sortWithinPartitions(*keys, "_blk").mapInArrow(run, schema)
 
 
-def _doubling_accepts(df, keys, at, order, gap, strict, name):
-    nodes = df.select(*keys, F.col(at).alias("_at")).distinct()
-    probes = nodes.select(*keys, F.col("_at").alias("_from"), (F.col("_at") + gap).alias("_pos"))
-    side = F.lit(1) if strict else F.lit(-1)
-    line = probes.select(*keys, "_pos", side.alias("_side"), "_from").unionByName(
-        nodes.select(*keys, F.col("_at").alias("_pos"), F.lit(0).alias("_side"),
-                     F.lit(None).cast("bigint").alias("_from"))
-    )
-    target = F.when(F.col("_side") == 0, F.col("_pos"))
-    # far narrower than the gap, so that no block holds a whole gap of the hottest key
-    block = F.floor(F.col("_pos") / F.lit(max(gap // 1024, 1)))
-    jump = (
-        carry(line, keys, ["_pos", "_side"], block, target, "_next", backward=True)
-        .where(F.col("_from").isNotNull() & F.col("_next").isNotNull())
-        .select(*keys, F.col("_from").alias("_at"), "_next")
-    )
-    levels = []
-    jump = cut_lineage(jump)
-    while not jump.isEmpty():
-        levels.append(jump)
-        far = jump.select(*keys, F.col("_at").alias("_next"), F.col("_next").alias("_far"))
-        jump = cut_lineage(
-            jump.join(far, [*keys, "_next"]).select(*keys, "_at", F.col("_far").alias("_next"))
-        )
-    kept = nodes.groupBy(*keys).agg(F.min("_at").alias("_at"))
-    for level in reversed(levels):
-        kept = cut_lineage(
-            kept.unionByName(
-                kept.join(level, [*keys, "_at"]).select(*keys, F.col("_next").alias("_at"))
-            )
-        )
+def spaced_accepts(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], gap: int,
+                   strict: bool, name: str) -> DataFrame:
+    """``spaced_scan`` for log keys, which nothing bounds; one way for all sizes, without a job beforehand.
+
+    ``at`` is an integer column and the first entry of ``order``. Rows are cut into blocks of a
+    thousandth of the gap, and only the distinct times of a block, 8 bytes each, go on, in one
+    array a block. A key's arrays are read in order by one task, which looks into a block only
+    where the next kept time can be. Rows get their mark by a join on (key, time), so the
+    rows of a hot key stay spread.
+    """
+    keys, order = list(keys), list(order)
+    width = F.lit(max(gap // 1024, 1))
+    moments = df.select(*keys, F.col(at).cast("bigint").alias("_at")).groupBy(
+        *keys, F.floor(F.col("_at") / width).alias("_blk")).agg(F.array_sort(F.collect_set("_at")).alias("_times"))
+    kept = _kept_moments(moments, keys, gap, strict)
+    same = [df[k].eqNullSafe(kept[k]) for k in keys] + [df[at] == kept["_at"]]
+    found = df.join(kept, reduce(lambda x, y: x & y, same), "left_semi")
     # of several rows at one moment only the first in order is kept
-    kept = kept.select(*keys, F.col("_at").alias(at), F.lit(True).alias("_chosen"))
-    first = (
-        df.groupBy(*keys, at)
-        .agg(F.min(F.struct(*order)).alias("_first"))
-        .join(kept, [*keys, at])
-        .select(*keys, *[F.col(f"_first.{c}").alias(c) for c in order], "_chosen")
-    )
-    return df.join(first, list(dict.fromkeys([*keys, *order])), "left").withColumn(
-        name, F.coalesce("_chosen", F.lit(False))
-    ).drop("_chosen")
+    first = found.groupBy(*keys, at).agg(F.min(F.struct(*order)).alias("_first")).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        *[F.col(f"_first.{c}").alias(f"_o{i}") for i, c in enumerate(order)], F.lit(True).alias("_chosen"))
+    match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [
+        F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(order)]
+    marked = df.join(first, reduce(lambda x, y: x & y, match), "left")
+    return marked.select(*df.columns, F.coalesce("_chosen", F.lit(False)).alias(name))

@@ -138,6 +138,11 @@ def nearby_pauses(bounds: DataFrame, silences: DataFrame, window_ms: int = lx.SN
     return joined.groupBy(*names).agg(F.array_sort(F.collect_list("_near")).alias("pauses"))
 
 
+def _read_out(df: DataFrame) -> list[str]:
+    """What a bound belongs to: a recording, or a script where several are read out over one."""
+    return [c for c in ("rec_id", "script_id") if c in df.columns]
+
+
 def clamp_bounds(bounds: DataFrame) -> DataFrame:
     """Add bound_us: snap to the nearest usable pause, then at least 0.3 s after the last bound.
 
@@ -154,16 +159,17 @@ def clamp_bounds(bounds: DataFrame) -> DataFrame:
 
     with_mids = bounds.withColumn("_mids", F.transform("pauses", lambda p: p["mid2"])).drop("pauses")
     return ordered_scan(
-        with_mids, ["rec_id"], ["bound_idx"], ["wall_ms", "_mids"], adds, step
+        with_mids, _read_out(bounds), ["bound_idx"], ["wall_ms", "_mids"], adds, step
     ).drop("_mids")
 
 
 def bound_targets(sentences: DataFrame, totals: DataFrame) -> DataFrame:
     """(rec_id, sent_idx, n_words) to inner bounds with their place in speech time.
 
-    Bound k closes sentence k; the last sentence closes with the recording.
+    Bound k closes sentence k; the last sentence closes with the recording. With a
+    script_id beside rec_id any number of scripts may have the same recording.
     """
-    script = Window.partitionBy("rec_id")
+    script = Window.partitionBy(*_read_out(sentences))
     upto = script.orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, 0)
     return (
         sentences.withColumn("_words", F.sum("n_words").over(upto))
@@ -172,7 +178,7 @@ def bound_targets(sentences: DataFrame, totals: DataFrame) -> DataFrame:
         .where(F.col("sent_idx") < F.col("_last"))
         .join(totals, "rec_id")
         .select(
-            "rec_id", F.col("sent_idx").alias("bound_idx"),
+            *_read_out(sentences), F.col("sent_idx").alias("bound_idx"),
             # speech share rounded half up, in whole numbers
             F.expr("(2 * _words * speech_ms + _all) div (2 * _all)").alias("target_ms"),
         )
@@ -180,17 +186,18 @@ def bound_targets(sentences: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def pause_aligned_spans(sentences: DataFrame, silences: DataFrame, recs: DataFrame) -> DataFrame:
-    """(rec_id, sent_idx, start_us, end_us): sentences tile the recording at its pauses."""
+    """(rec_id, sent_idx, start_us, end_us), with script_id if given: sentences tile the recording at its pauses."""
+    own = _read_out(sentences)
     targets = bound_targets(sentences, speech_totals(recs, silences))
-    walls = speech_to_wall(targets, silences, recs).select("rec_id", "bound_idx", "wall_ms")
+    walls = speech_to_wall(targets, silences, recs).select(*own, "bound_idx", "wall_ms")
     bounds = clamp_bounds(nearby_pauses(walls, silences))
-    ends = bounds.select("rec_id", F.col("bound_idx").alias("sent_idx"), "bound_us")
-    w = Window.partitionBy("rec_id").orderBy("sent_idx")
+    ends = bounds.select(*own, F.col("bound_idx").alias("sent_idx"), "bound_us")
+    w = Window.partitionBy(*own).orderBy("sent_idx")
     return (
-        sentences.select("rec_id", "sent_idx").join(ends, ["rec_id", "sent_idx"], "left")
+        sentences.select(*own, "sent_idx").join(ends, [*own, "sent_idx"], "left")
         .join(recs, "rec_id")
         .select(
-            "rec_id",
+            *own,
             "sent_idx",
             F.coalesce(F.lag("bound_us").over(w), F.lit(0)).cast("bigint").alias("start_us"),
             F.coalesce("bound_us", F.col("duration_ms") * 1000).alias("end_us"),

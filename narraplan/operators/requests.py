@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from .ordered import GROUP_LIMIT, row_positions, running_sum, spaced_accepts
+from .ordered import row_positions, running_sum, spaced_accepts
 
 US = 1_000_000
 TIME_BLOCK_S = 10  # of the busiest provider one task sorts this much
@@ -69,17 +69,14 @@ def monthly_usage(requests: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def cache_lookups(lookups: DataFrame, tiebreak: str, ttl_s: int = lx.CACHE_TTL_S,
-                  group_limit: int = GROUP_LIMIT) -> DataFrame:
+def cache_lookups(lookups: DataFrame, tiebreak: str, ttl_s: int = lx.CACHE_TTL_S) -> DataFrame:
     """Add hit: the last miss of the same (provider, query) is at most ``ttl_s`` old.
 
     Hits do not refresh an entry, so misses follow each other by more than the TTL.
     """
     timed = lookups.withColumn("_us", micros(F.col("ts")))
     marked = spaced_accepts(
-        timed, ["provider", "query"], "_us", ["_us", tiebreak], ttl_s * US, strict=True,
-        name="_miss", group_limit=group_limit,
-    )
+        timed, ["provider", "query"], "_us", ["_us", tiebreak], ttl_s * US, strict=True, name="_miss")
     return marked.withColumn("hit", ~F.col("_miss")).drop("_us", "_miss")
 
 

@@ -16,10 +16,10 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 
 
-def split_sentences(scripts: DataFrame) -> DataFrame:
-    """(script_id, text) to (script_id, sent_idx, text, n_words)."""
+def split_sentences(scripts: DataFrame, breaks: tx.Breaks | None = None) -> DataFrame:
+    """(script_id, text) to (script_id, sent_idx, text, n_words). ``breaks``: see ``abbreviations.learn_breaks``."""
     return scripts.select(
-        "script_id", F.posexplode_outer(tx.sentences(F.col("text"))).alias("sent_idx", "text")
+        "script_id", F.posexplode_outer(tx.sentences(F.col("text"), breaks)).alias("sent_idx", "text")
     ).where(F.col("text").isNotNull()).select(
         "script_id",
         F.col("sent_idx").cast("bigint").alias("sent_idx"),
@@ -28,10 +28,10 @@ def split_sentences(scripts: DataFrame) -> DataFrame:
     )
 
 
-def script_words(scripts: DataFrame) -> DataFrame:
+def script_words(scripts: DataFrame, breaks: tx.Breaks | None = None) -> DataFrame:
     """(script_id, text) to (script_id, word_idx, sent_idx, token); indexes from 0."""
     per_sentence = F.transform(
-        tx.sentences(F.col("text")),
+        tx.sentences(F.col("text"), breaks),
         lambda s, i: F.transform(tx.tokens(s), lambda t: F.struct(i.alias("s"), t.alias("t"))),
     )
     return scripts.select(
@@ -46,14 +46,14 @@ def script_words(scripts: DataFrame) -> DataFrame:
 
 def bucket_scenes(scripts: DataFrame, target_ms: int = lx.TARGET_SCENE_MS,
                   words_per_second: float = lx.WORDS_PER_SECOND,
-                  keep: Sequence[str] = ()) -> DataFrame:
+                  keep: Sequence[str] = (), breaks: tx.Breaks | None = None) -> DataFrame:
     """Scenes of about ``target_ms`` at a speaking pace, timed end to end.
 
     ``keep`` names script columns to copy to every scene.
     """
     limit = target_ms / 1000.0 * words_per_second
     with_spans = scripts.select(
-        "script_id", *keep, tx.sentences(F.col("text")).alias("_s")
+        "script_id", *keep, tx.sentences(F.col("text"), breaks).alias("_s")
     ).withColumn(
         "_span", folds.scene_spans(F.transform("_s", lambda s: tx.word_count(s)), limit)
     )

@@ -45,6 +45,50 @@ DOCS = """docs AS MATERIALIZED (
   SELECT doc_id AS script_id, text, list_filter(string_split(regexp_replace(
     regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([.!?]["'')]*)\\s+', '\\1' || chr(1), 'g'), chr(1)),
     lambda s: s <> '') AS s FROM documents)"""
+OPENING = """^["''(\\[]*"""
+
+
+def _bare(x: str) -> str:
+    return f"""regexp_replace({x}, '^["''(\\[]+|["'')\\]]+$', '', 'g')"""
+
+
+def _times(n: str, p: str) -> str:
+    return f"(CASE WHEN {n} > 0 THEN {n} * ln({p}) ELSE 0 END)"
+
+
+LETTERS = "^[\\p{L}.]*\\p{L}[\\p{L}.]*$"
+INITIALS = "^\\p{L}(\\.\\p{L})*$"
+#: The unsupervised sentence model: abbreviations and starters by log likelihood ratios, then pieces glued where a stop belongs to a word.
+LEARNED = f""", tokens AS MATERIALIZED (
+  SELECT {_bare('t[k]')} AS core, CASE WHEN k > 1 THEN {_bare('t[k - 1]')} END AS before
+  FROM (SELECT t, unnest(range(1, len(t) + 1)) AS k FROM (SELECT {_tokens('text')} AS t FROM docs)))
+, tokened AS MATERIALIZED (
+  SELECT ends_with(core, '.') AS stop, lower(CASE WHEN ends_with(core, '.') THEN substr(core, 1, length(core) - 1) ELSE regexp_replace(core, '[,;:!?]+$', '') END) AS word,
+    regexp_matches(before, '[.!?]$') AS ended, ends_with(before, '.') AS stop_before, lower(substr(before, 1, length(before) - 1)) AS word_before FROM tokens)
+, word_counts AS MATERIALIZED (SELECT word, count(*)::DOUBLE AS n, count_if(stop)::DOUBLE AS n_stop FROM tokened GROUP BY word)
+, totals AS (SELECT sum(n) AS n_all, sum(n_stop) AS stops FROM word_counts)
+, abbreviation_scores AS (
+  SELECT word, round(-2 * ({_times('n_stop', 'stops / n_all')} + {_times('(n - n_stop)', '1 - stops / n_all')} - {_times('n_stop', '0.99::DOUBLE')} - {_times('(n - n_stop)', '1 - 0.99::DOUBLE')})
+      * exp(-letters) * (inner_stops + 1) * pow(letters, -(n - n_stop)), 6) AS score
+  FROM (SELECT *, (length(word) - inner_stops + 1)::DOUBLE AS letters FROM (
+    SELECT *, length(word) - length(replace(word, '.', '')) AS inner_stops FROM word_counts, totals WHERE n_stop > 0 AND regexp_matches(word, '{LETTERS}'))))
+, short_words AS (SELECT coalesce(list(word), []) AS short FROM abbreviation_scores WHERE score >= 0.3)
+, starts AS MATERIALIZED (
+  SELECT word, count(*)::DOUBLE AS n_start FROM tokened, short_words
+  WHERE ended AND NOT (stop_before AND (regexp_matches(word_before, '{INITIALS}') OR list_contains(short, word_before))) GROUP BY word)
+, starter_scores AS (
+  SELECT word, n_start * n_all > n * a AS often, round(-2 * (
+      {_times('n_start', 'n / n_all')} + {_times('(a - n_start)', '1 - n / n_all')} + {_times('(n - n_start)', 'n / n_all')} + {_times('(n_all - a - n + n_start)', '1 - n / n_all')}
+      - {_times('n_start', 'n_start / a')} - {_times('(a - n_start)', '1 - n_start / a')}
+      - {_times('(n - n_start)', '(n - n_start) / (n_all - a)')} - {_times('(n_all - a - n + n_start)', '1 - (n - n_start) / (n_all - a)')}), 6) AS score
+  FROM word_counts JOIN starts USING (word), totals, (SELECT sum(n_start) AS a FROM starts) WHERE regexp_matches(word, '\\p{{L}}'))
+, starter_words AS (SELECT coalesce(list(word), []) AS opens FROM starter_scores WHERE score >= 30 AND often)
+, glued AS MATERIALIZED (
+  SELECT script_id, list_filter(string_split(array_to_string(list_transform(range(1, len(s) + 1), lambda i: s[i] || CASE
+      WHEN i = len(s) THEN '' WHEN ends_with(lasts[i], '.') AND (regexp_matches(regexp_replace(lasts[i], '\\.$', ''), '{INITIALS}') OR list_contains(short, regexp_replace(lasts[i], '\\.$', '')))
+        AND NOT (regexp_matches(s[i + 1], '{OPENING}\\p{{Lu}}') AND list_contains(opens, firsts[i + 1])) THEN ' ' ELSE chr(1) END), ''), chr(1)), lambda x: x <> '') AS g
+  FROM (SELECT *, list_transform(s, lambda x: lower({_bare("regexp_extract(x, '(\\S+)$', 1)")})) AS lasts,
+      list_transform(s, lambda x: lower(regexp_extract(x, '{OPENING}([\\p{{L}}\\p{{N}}_''-]+)', 1))) AS firsts FROM docs), short_words, starter_words)"""
 SENTS = DOCS + f""", sents AS MATERIALIZED (
   SELECT script_id, i - 1 AS sent_idx, s[i] AS text, len({_tokens('s[i]')}) AS n_words
   FROM (SELECT script_id, s, unnest(range(1, len(s) + 1)) AS i FROM docs))"""
@@ -461,24 +505,29 @@ FRAMES = """frames AS MATERIALIZED (
 , speech AS MATERIALIZED (
   SELECT *, (start_ms - coalesce(sum(end_ms - start_ms) OVER (PARTITION BY rec_id ORDER BY start_ms
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS speech_ms FROM silences)"""
-WALLS = FRAMES + ", " + SENTS + """, targets AS MATERIALIZED (
-  SELECT s.rec_id, s.sent_idx AS bound_idx, ((2 * w * speech_ms + a) // (2 * a))::BIGINT AS target_ms, duration_ms FROM (
-    SELECT script_id AS rec_id, sent_idx, sum(n_words) OVER (PARTITION BY script_id ORDER BY sent_idx) AS w,
-      sum(n_words) OVER (PARTITION BY script_id) AS a, max(sent_idx) OVER (PARTITION BY script_id) AS last FROM sents) s
+WALLS = FRAMES + ", " + SENTS + """, read_out AS MATERIALIZED (SELECT *, script_id % (SELECT count(DISTINCT user_id) FROM events) AS rec_id FROM sents)
+, targets AS MATERIALIZED (
+  SELECT s.rec_id, s.script_id, s.sent_idx AS bound_idx, ((2 * w * speech_ms + a) // (2 * a))::BIGINT AS target_ms, duration_ms FROM (
+    SELECT rec_id, script_id, sent_idx, sum(n_words) OVER (PARTITION BY script_id ORDER BY sent_idx) AS w,
+      sum(n_words) OVER (PARTITION BY script_id) AS a, max(sent_idx) OVER (PARTITION BY script_id) AS last FROM read_out) s
   JOIN totals USING (rec_id) WHERE sent_idx < last)
+, skipped AS MATERIALIZED (
+  SELECT rec_id, script_id, bound_idx, sum(len) OVER (PARTITION BY rec_id ORDER BY pos, side) AS gone, side FROM (
+    SELECT rec_id, script_id, bound_idx, target_ms AS pos, 0 AS side, 0 AS len FROM targets
+    UNION ALL SELECT rec_id, NULL, NULL, speech_ms, 1, end_ms - start_ms FROM speech))
 , walls AS MATERIALIZED (
-  SELECT t.rec_id, t.bound_idx, t.target_ms, least(t.target_ms + coalesce((SELECT sum(end_ms - start_ms) FROM speech s
-    WHERE s.rec_id = t.rec_id AND s.speech_ms < t.target_ms), 0), t.duration_ms)::BIGINT AS wall_ms FROM targets t)
+  SELECT t.rec_id, t.script_id, t.bound_idx, t.target_ms, least(t.target_ms + gone, t.duration_ms)::BIGINT AS wall_ms
+  FROM targets t JOIN skipped USING (script_id, bound_idx))
 , near AS MATERIALIZED (
-  SELECT w.rec_id, w.bound_idx, w.wall_ms, list(s.start_ms + s.end_ms ORDER BY abs(s.start_ms + s.end_ms - 2 * w.wall_ms), s.start_ms + s.end_ms)
+  SELECT w.rec_id, w.script_id, w.bound_idx, w.wall_ms, list(s.start_ms + s.end_ms ORDER BY abs(s.start_ms + s.end_ms - 2 * w.wall_ms), s.start_ms + s.end_ms)
     FILTER (s.start_ms IS NOT NULL) AS mids
   FROM walls w LEFT JOIN silences s ON s.rec_id = w.rec_id AND abs(s.start_ms + s.end_ms - 2 * w.wall_ms) < 2200 GROUP BY ALL)
 , clamping AS (
-  SELECT rec_id, -1::BIGINT AS bound_idx, 0::BIGINT AS bound_us FROM (SELECT DISTINCT rec_id FROM near)
+  SELECT rec_id, script_id, -1::BIGINT AS bound_idx, 0::BIGINT AS bound_us FROM (SELECT DISTINCT rec_id, script_id FROM near)
   UNION ALL
-  SELECT n.rec_id, n.bound_idx, greatest(coalesce(list_filter(n.mids, lambda m: m * 500 > c.bound_us + 400000)[1] * 500,
+  SELECT n.rec_id, n.script_id, n.bound_idx, greatest(coalesce(list_filter(n.mids, lambda m: m * 500 > c.bound_us + 400000)[1] * 500,
     n.wall_ms * 1000), c.bound_us + 300000)::BIGINT
-  FROM clamping c JOIN near n ON n.rec_id = c.rec_id AND n.bound_idx = c.bound_idx + 1)
+  FROM clamping c JOIN near n ON n.script_id = c.script_id AND n.bound_idx = c.bound_idx + 1)
 , bounds AS MATERIALIZED (SELECT * FROM clamping WHERE bound_idx >= 0)"""
 
 # -- alignment -------------------------------------------------------------------
@@ -559,10 +608,11 @@ TIMED_FOLD = """, bucketing AS (
       arg_max(s.end_ms, b.sent_idx) AS end_ms, count(*) AS n_sents
     FROM bucketing b JOIN spans s USING (script_id, sent_idx) JOIN sents t USING (script_id, sent_idx) GROUP BY b.script_id, b.scene_idx))"""
 PRINTS = f""", prints AS MATERIALIZED (
-  SELECT script_id, n_scenes, substr(sha256(text || '|' || n_scenes || '|' || {_quote(SETTINGS)}), 1, 16) AS fingerprint
-  FROM docs JOIN (SELECT script_id, count(*) AS n_scenes FROM scenes GROUP BY script_id) USING (script_id))
+  SELECT script_id, n_scenes, substr(sha256(text || '|' || n_scenes || '|' || {_quote(SETTINGS)} || '|kw=' || substr(sha256(ladders), 1, 12)), 1, 16) AS fingerprint
+  FROM docs JOIN (SELECT script_id, count(*) AS n_scenes, string_agg(array_to_string(keywords, ','), '|' ORDER BY scene_idx) AS ladders
+    FROM planned GROUP BY script_id) USING (script_id))
 , completed AS MATERIALIZED (
-  SELECT CASE WHEN quality = 1 THEN fingerprint ELSE substr(sha256(fingerprint), 1, 16) END AS fingerprint, scene_idx
+  SELECT script_id, CASE WHEN quality = 1 THEN fingerprint ELSE substr(sha256(fingerprint), 1, 16) END AS fingerprint, scene_idx
   FROM scenes JOIN prints USING (script_id) JOIN labels ON doc_id = script_id)"""
 
 _K = "array_to_string(keywords, '|')"
@@ -610,8 +660,9 @@ ORACLE: dict[str, str] = {
     "src6_plan_reader": _with(PLANNED, f"SELECT p.*, scene - 1 AS plan_pos FROM ({_PLAN}) p"),
     "snk1_plan_export": _with(PLANNED, _PLAN),
     "snk2_audit_report": _with(AUDIT, "SELECT * FROM audit"),
-    "snk3_progress_sink": _with(SCENES + PRINTS, """SELECT DISTINCT fingerprint, scene_idx, CASE WHEN scene_idx % 2 = 0 THEN 'scene_' ELSE 'zz_' END || scene_idx AS output FROM completed"""),
-    "p1_sentence_split": _with(SENTS, "SELECT * FROM sents"),
+    "snk3_progress_sink": _with(PLANNED + PRINTS, """SELECT DISTINCT script_id, fingerprint, scene_idx, CASE WHEN scene_idx % 2 = 0 OR scene_idx % 3 = 0 THEN 'scene_' ELSE 'zz_' END || scene_idx AS output FROM completed"""),
+    "p1_sentence_split": _with(DOCS + LEARNED, f"""SELECT script_id, i - 1 AS sent_idx, g[i] AS text, len({_tokens('g[i]')}) AS n_words
+      FROM (SELECT script_id, g, unnest(range(1, len(g) + 1)) AS i FROM glued)"""),
     "p2_word_tokens": _with(SENTS + WORDS, "SELECT script_id, word_idx, sent_idx, token FROM words"),
     "p3_token_norm": _with(SENTS + WORDS, f"""SELECT token, n, {_norm('token')} AS norm,
       regexp_replace(lower(token), '[^\\p{{L}}\\p{{N}}_''-]', '', 'g') AS caption, regexp_replace(lower(token), '[^a-z]', '', 'g') AS letters
@@ -647,7 +698,7 @@ ORACLE: dict[str, str] = {
         GROUP BY ALL) a USING (script_id, scene_idx)"""),
     "p15_type_schedule": _with(SCENES + TERMS + TYPED, "SELECT * FROM typed"),
     "p16_card_eligible": _with(SCENES, f"SELECT script_id, scene_idx, n_words, {ELIGIBLE} AS eligible FROM scenes"),
-    "p17_fingerprint": _with(SCENES + PRINTS, "SELECT * FROM prints"),
+    "p17_fingerprint": _with(PLANNED + PRINTS, "SELECT * FROM prints"),
     "j1_token_overlap": _with(CATALOG, "SELECT query, source, array_to_string(words, '|') AS words, rel FROM overlap"),
     "j2_class_conflict": _with(CATALOG, "SELECT query, source, count(*) AS n_sets, min(rel) AS lowest FROM overlap WHERE conflict GROUP BY ALL"),
     "j3_concept_tags": _with(SCENES + TAGS, "SELECT script_id, scene_idx, visual, anchor, second_visual FROM tags"),
@@ -659,11 +710,11 @@ ORACLE: dict[str, str] = {
     "j8_sentence_spans": _with(SENTS + WORDS + SPANS, "SELECT * FROM spans"),
     "j9_scene_word_times": _with(SCENES + WORDS + RELATIVE, "SELECT script_id, scene_idx, token_idx, start_ms, end_ms FROM relative"),
     "j10_alignment": _with(MATCHED, "SELECT script_id, word_idx, asr_idx FROM matches"),
-    "j11_speech_to_wall": _with(WALLS, "SELECT * FROM walls"),
-    "j12_nearest_pause": _with(WALLS, "SELECT rec_id, bound_idx, coalesce(len(mids), 0) AS n_near, mids[1] AS nearest_mid2 FROM near"),
+    "j11_speech_to_wall": _with(WALLS, "SELECT rec_id, script_id, bound_idx, target_ms, wall_ms FROM walls"),
+    "j12_nearest_pause": _with(WALLS, "SELECT rec_id, script_id, bound_idx, coalesce(len(mids), 0) AS n_near, mids[1] AS nearest_mid2 FROM near"),
     "j13_similarity": _with(CATALOG + SIMS, "SELECT * FROM sims"),
-    "j14_pending_work": _with(SCENES + PRINTS, """SELECT script_id, scene_idx, fingerprint FROM scenes JOIN prints USING (script_id)
-      WHERE NOT EXISTS (SELECT 1 FROM completed c WHERE c.fingerprint = prints.fingerprint AND c.scene_idx = scenes.scene_idx)"""),
+    "j14_pending_work": _with(PLANNED + PRINTS, """SELECT script_id, scene_idx, fingerprint FROM scenes JOIN prints USING (script_id)
+      WHERE NOT EXISTS (SELECT 1 FROM completed c WHERE c.script_id = scenes.script_id AND c.fingerprint = prints.fingerprint AND c.scene_idx = scenes.scene_idx)"""),
     "j15_no_repeat": _with(CATALOG + WEAK + TEXT_PREFS + _assign("SELECT * FROM requests"), "SELECT * FROM picks"),
     "j16_cache_hits": _with(LOG[2:] + _spaced("log", "provider, query", "us", "event_id", str(fx.TTL_S * 1_000_000), ">"),
                             "SELECT provider, query, event_id, NOT kept AS hit FROM spaced"),
@@ -754,13 +805,14 @@ ORACLE: dict[str, str] = {
       SELECT script_id, kind, at_ms FROM spaced WHERE kept UNION ALL SELECT script_id, kind, at_ms FROM cues WHERE kind = 'key')"""),
     "c4_caption_schedule": _with(SCENES + WORDS + RELATIVE + CAPTION_TOKENS + TIMED,
                                  "SELECT * REPLACE (start_ms::DOUBLE AS start_ms, end_ms::DOUBLE AS end_ms) FROM timed"),
-    "c5_pause_timing": _with(WALLS, """SELECT s.script_id AS rec_id, s.sent_idx, coalesce(lag(bound_us) OVER w, 0) AS start_us,
-      coalesce(bound_us, duration_ms * 1000) AS end_us FROM sents s JOIN recs ON rec_id = script_id
-      LEFT JOIN bounds b ON b.rec_id = s.script_id AND b.bound_idx = s.sent_idx
+    "c5_pause_timing": _with(WALLS, """SELECT s.rec_id, s.script_id, s.sent_idx, coalesce(lag(bound_us) OVER w, 0) AS start_us,
+      coalesce(bound_us, duration_ms * 1000) AS end_us FROM read_out s JOIN recs USING (rec_id)
+      LEFT JOIN bounds b ON b.script_id = s.script_id AND b.bound_idx = s.sent_idx
       WINDOW w AS (PARTITION BY s.script_id ORDER BY s.sent_idx)"""),
     "c6_request_report": _with(LOG[2:] + _spaced("log", "provider, query", "us", "event_id", str(fx.TTL_S * 1_000_000), ">"), f"""
       SELECT * FROM (SELECT provider, count(*) AS requests, max(n) AS peak, count_if(n > {fx.RATE_MAX}) AS throttled FROM (
-        SELECT *, count(*) OVER (PARTITION BY provider ORDER BY us RANGE BETWEEN {fx.RATE_WINDOW_S * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS n FROM log)
+        SELECT *, count(*) OVER (PARTITION BY provider ORDER BY us RANGE BETWEEN {fx.RATE_WINDOW_S * 1_000_000 - 1} PRECEDING AND CURRENT ROW)
+          - count(*) OVER (PARTITION BY provider, us) + row_number() OVER (PARTITION BY provider, us ORDER BY event_id) AS n FROM log)
         GROUP BY provider)
       JOIN (SELECT provider, sum(greatest(n - {fx.MONTH_LIMIT}, 0))::BIGINT AS refused FROM (
         SELECT provider, strftime(ts, '%Y-%m') AS month, count(*) AS n FROM log GROUP BY ALL) GROUP BY provider) USING (provider)
@@ -768,16 +820,16 @@ ORACLE: dict[str, str] = {
     "st1_request_rate": f"""SELECT provider, w AS window_start_s, count(*) AS n, count(*) > {fx.RATE_MAX} AS alert FROM (
       SELECT event_type AS provider, epoch_us(ts) AS us, unnest([epoch_us(ts) // 1800000000 * 1800 - 1800, epoch_us(ts) // 1800000000 * 1800]) AS w FROM events) GROUP BY ALL""",
     "st3_ttl_suppression": _with(
-        "items AS MATERIALIZED (SELECT event_type || '|' || user_id AS stream_key, epoch_us(ts) // 1000 AS at_ms, event_id AS seq FROM events)"
-        + _spaced("items", "stream_key", "at_ms", "seq", str(fx.TTL_S * 1000), ">"),
+        "items AS MATERIALIZED (SELECT event_type || '|' || user_id AS stream_key, epoch_us(ts) AS us, epoch_us(ts) // 1000 AS at_ms, event_id AS seq FROM events)"
+        + _spaced("items", "stream_key", "us", "seq", str(fx.TTL_S * 1_000_000), ">"),
         "SELECT stream_key, at_ms, seq, kept FROM spaced"),
     "st4_cool_down": _with(
         """items AS MATERIALIZED (SELECT user_id::VARCHAR AS stream_key, epoch_us(ts) // 1000 AS at_ms, event_id AS seq
           FROM events WHERE event_type IN ('click', 'signup', 'purchase'))"""
         + _spaced("items", "stream_key", "at_ms", "seq", str(fx.CUE_GAP_MS), ">="),
-        "SELECT stream_key, at_ms, seq, kept FROM spaced"),
-    "st5_incremental_plan": _with(SCENES + PRINTS.replace(SETTINGS, "4.0|2.5"), """SELECT fingerprint, scene_idx, max(md5(s.text)) AS output
-      FROM scenes s JOIN prints USING (script_id) GROUP BY ALL"""),
+        """SELECT stream_key, at_ms, seq, kept FROM spaced UNION ALL
+      SELECT user_id::VARCHAR, epoch_us(ts) // 1000, event_id, true FROM events WHERE event_type = 'view'"""),
+    "st5_incremental_plan": _with(PLANNED, _PLAN),
     "st6_silence_sessions": _with(FRAMES, """, quiet AS (SELECT rec_id, epoch_us(ts) AS us FROM events JOIN thresholds ON rec_id = user_id
         WHERE round(20 * log10(value / 500.0 + 1e-12), 9) < threshold_db)
       , marked AS (SELECT *, sum(CASE WHEN us - prev < 21600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY rec_id ORDER BY us) AS session
@@ -786,3 +838,5 @@ ORACLE: dict[str, str] = {
       HAVING count(*) >= 2"""),
     "st2_budget_count": "SELECT event_type AS provider, strftime(ts, '%Y-%m') AS month, count(*) AS n FROM events GROUP BY ALL",
 }
+for _stream, _batch in (("st1_trailing_rate", "w9_trailing_rate"), ("st2_admission", "a9_monthly_budget"), ("st6_silence_runs", "w5_silences")):
+    ORACLE[_stream] = ORACLE[_batch]

@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from ..operators import alignment, captions, catalog, concepts, cues, pauses, requests, scripts
+from ..operators import alignment, captions, catalog, concepts, cues, pauses, planedits, requests, scripts
 from ..operators.ordered import cut_lineage
 from ..sources import sinks
 
 
 def planned_scenes(corpus: DataFrame, table: Sequence[concepts.Concept],
                    alternates: Mapping[str, Sequence[str]],
-                   target_ms: int = lx.TARGET_SCENE_MS) -> DataFrame:
+                   target_ms: int = lx.TARGET_SCENE_MS, breaks: tx.Breaks | None = None) -> DataFrame:
     """Scripts to timed scenes with keyword ladders; one shuffle, by script."""
     topics = concepts.script_topics(corpus, table)
-    scenes = scripts.bucket_scenes(topics, target_ms, keep=["topic_visual", "topic_anchor"])
+    scenes = scripts.bucket_scenes(topics, target_ms, keep=["topic_visual", "topic_anchor"], breaks=breaks)
     return concepts.scene_queries(scenes, table, alternates)
 
 
-def script_plan(corpus: DataFrame, table, alternates) -> DataFrame:
-    return sinks.plan_export(planned_scenes(corpus, table, alternates))
+def script_plan(corpus: DataFrame, table, alternates, breaks: tx.Breaks | None = None) -> DataFrame:
+    return sinks.plan_export(planned_scenes(corpus, table, alternates, breaks=breaks))
 
 
 def transcript_plan(corpus: DataFrame, asr: DataFrame, paused: DataFrame | None = None,
@@ -107,6 +107,26 @@ def unrepeated_picks(scenes: DataFrame, shots: DataFrame, clips: DataFrame, quer
     return catalog.assign_by_similarity(passing, _weak_choices(ladder, scored), scenes, shots, seeded)
 
 
+def resumed_picks(scenes: DataFrame, shots: DataFrame, clips: DataFrame, query_emb, frame_emb, runs: DataFrame,
+                  progress: DataFrame, **classes) -> DataFrame:
+    """The clips of scenes that are still to do under their run (script_id, fingerprint), none that the run has used.
+
+    ``progress``: rows of ``sinks.read_progress``. Clips of scenes done under another identity don't count.
+    """
+    own = ["script_id", "fingerprint"]
+    keyed = scenes.join(runs.select(*own), "script_id")
+    pending = cut_lineage(planedits.pending_scenes(keyed, progress).drop("fingerprint"))
+    seeded = sinks.used_clips(progress).join(runs.select(*own), own, "left_semi").drop("fingerprint")
+    left = shots.join(pending.select("script_id", "scene_idx"), ["script_id", "scene_idx"], "left_semi")
+    return unrepeated_picks(pending, left, clips, query_emb, frame_emb, seeded, **classes)
+
+
+def picked_clips(picks: DataFrame) -> DataFrame:
+    """(script_id, scene_idx, used_clips) of picks, for a progress table."""
+    clip = F.when(F.col("video_id").isNotNull(), F.concat_ws(":", "source", "video_id"))
+    return picks.groupBy("script_id", "scene_idx").agg(F.collect_set(clip).alias("used_clips"))
+
+
 def clip_audit(scenes: DataFrame, clips: DataFrame, query_emb, frame_emb, max_shot_ms: int,
                cues_: Sequence[str] = lx.CARD_CUES, **classes) -> DataFrame:
     """Scenes to picked clips to audit lines; cards take no clip, and a clip listed twice makes one line."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import (
-    alignment, captions, catalog, concepts, cues, ordered, pauses, planedits, requests, scripts,
+    abbreviations, alignment, captions, catalog, concepts, cues, ordered, pauses, planedits, requests, scripts,
 )
 from ..sources import readers, sinks
 from ..streaming import jobs
@@ -154,22 +154,25 @@ def snk2_audit_report(spark, sf):
 
 
 def snk3_progress_sink(spark, sf):
-    """A first batch, the same retried, and a batch with changed outputs; the newest are read back."""
+    """A first batch, the same retried, changed outputs before and after the batches are gathered; the newest are read back."""
     path = jobs.scratch_folder(spark, "progress")
-    done = _completed(spark, sf).withColumn("output", F.concat_ws("_", F.lit("scene"), "scene_idx"))
-    done = done.select("fingerprint", "scene_idx", "output")
+    done = ordered.cut_lineage(_completed(spark, sf).withColumn("output", F.concat_ws("_", F.lit("scene"), "scene_idx")))
     first = done.withColumn("output", F.concat_ws("_", F.lit("zz"), "scene_idx"))
     sinks.write_progress(first, path, 0)
     sinks.write_progress(first, path, 0)
-    sinks.write_progress(done.where(F.col("scene_idx") % 2 == 0), path, 1)
-    return sinks.read_progress(spark, path)
+    sinks.write_progress(done.where(F.col("scene_idx") % 3 == 0), path, 1)
+    sinks.compact_progress(spark, path, 1)
+    sinks.write_progress(done.where(F.col("scene_idx") % 2 == 0), path, 2)
+    return sinks.read_progress(spark, path).drop("used_clips")
 
 
 # -- projections -----------------------------------------------------------------
 
 
 def p1_sentence_split(spark, sf):
-    return scripts.split_sentences(fx.corpus(spark, sf))
+    """With abbreviations and sentence starters learned from the whole corpus."""
+    corpus = fx.corpus(spark, sf)
+    return scripts.split_sentences(corpus, abbreviations.learn_breaks(corpus))
 
 
 def p2_word_tokens(spark, sf):
@@ -268,10 +271,9 @@ def p16_card_eligible(spark, sf):
 
 
 def _fingerprints(spark, sf):
-    """One fingerprint a script, made in the script's row."""
-    return scripts.scene_counts(fx.corpus(spark, sf)).select(
-        "script_id", "n_scenes",
-        tx.run_fingerprint(F.col("text"), F.col("n_scenes"), F.lit(SETTINGS)).alias("fingerprint"))
+    """One fingerprint a script, with its planned keywords."""
+    corpus = fx.corpus(spark, sf)
+    return planedits.run_identity(corpus, pipelines.planned_scenes(corpus, fx.CONCEPTS, fx.ALTERNATES), SETTINGS)
 
 
 def p17_fingerprint(spark, sf):
@@ -355,9 +357,10 @@ def _silences(spark, sf, frames):
 
 
 def _rec_sentences(spark, sf):
-    """The documents whose ids are also users: the scripts read out in the recordings."""
-    return scripts.split_sentences(fx.corpus(spark, sf)).select(
-        F.col("script_id").alias("rec_id"), "sent_idx", "n_words")
+    """Every document is read out over a recording, in turn by its id."""
+    users = fx.table(spark, sf, "events").agg(F.count_distinct("user_id").alias("_users"))
+    return scripts.split_sentences(fx.corpus(spark, sf)).crossJoin(F.broadcast(users)).select(
+        F.pmod("script_id", "_users").alias("rec_id"), "script_id", "sent_idx", "n_words")
 
 
 def _walls(spark, sf):
@@ -369,14 +372,14 @@ def _walls(spark, sf):
 
 
 def j11_speech_to_wall(spark, sf):
-    return _walls(spark, sf)[0].select("rec_id", "bound_idx", "target_ms", "wall_ms")
+    return _walls(spark, sf)[0].select("rec_id", "script_id", "bound_idx", "target_ms", "wall_ms")
 
 
 def j12_nearest_pause(spark, sf):
     walls, silences = _walls(spark, sf)
-    near = pauses.nearby_pauses(walls.select("rec_id", "bound_idx", "wall_ms"), silences)
+    near = pauses.nearby_pauses(walls.select("rec_id", "script_id", "bound_idx", "wall_ms"), silences)
     return near.select(
-        "rec_id", "bound_idx", F.size("pauses").cast("bigint").alias("n_near"),
+        "rec_id", "script_id", "bound_idx", F.size("pauses").cast("bigint").alias("n_near"),
         F.try_element_at("pauses", F.lit(1))["mid2"].alias("nearest_mid2"))
 
 
@@ -403,7 +406,7 @@ def _completed(spark, sf):
     return (
         fx.scenes(spark, sf).select("script_id", "scene_idx")
         .join(_fingerprints(spark, sf), "script_id").join(labels, "script_id")
-        .select(F.when(F.col("quality") == 1, F.col("fingerprint")).otherwise(old).alias("fingerprint"),
+        .select("script_id", F.when(F.col("quality") == 1, F.col("fingerprint")).otherwise(old).alias("fingerprint"),
                 "scene_idx")
     )
 
@@ -665,8 +668,8 @@ def g6_labels(spark, sf):
 
 def g7_bound_clamp(spark, sf):
     walls, silences = _walls(spark, sf)
-    near = pauses.nearby_pauses(walls.select("rec_id", "bound_idx", "wall_ms"), silences)
-    return pauses.clamp_bounds(near).select("rec_id", "bound_idx", "bound_us")
+    near = pauses.nearby_pauses(walls.select("rec_id", "script_id", "bound_idx", "wall_ms"), silences)
+    return pauses.clamp_bounds(near).select("rec_id", "script_id", "bound_idx", "bound_us")
 
 
 # -- streams ---------------------------------------------------------------------
@@ -677,6 +680,22 @@ def st1_request_rate(spark, sf):
     return rates.select("provider", F.unix_seconds("window_start").alias("window_start_s"), "n", "alert")
 
 
+def st1_trailing_rate(spark, sf):
+    """The exact rate of w9, request by request, as a stream."""
+    return jobs.run_trailing_rate(spark, sf, fx.RATE_WINDOW_S, fx.RATE_MAX).withColumnRenamed("seq", "event_id")
+
+
+def st2_admission(spark, sf):
+    """The decisions of a9, request by request, as a stream."""
+    return jobs.run_monthly_admission(spark, sf, fx.MONTH_LIMIT).withColumnRenamed("seq", "event_id")
+
+
+def st6_silence_runs(spark, sf):
+    """The silences of w5 as a stream: strictly adjacent frames."""
+    levels = ordered.cut_lineage(pauses.silence_thresholds(fx.event_frames(spark, sf)))
+    return jobs.run_quiet_runs(spark, sf, levels, fx.FRAME_MS, 2 * fx.FRAME_MS)
+
+
 def st2_budget_count(spark, sf):
     return jobs.run_budget_count(spark, sf)
 
@@ -690,7 +709,7 @@ def st4_cool_down(spark, sf):
 
 
 def st5_incremental_plan(spark, sf):
-    return jobs.run_incremental_plan(spark, sf)
+    return _flat_plan(jobs.run_incremental_plan(spark, sf, fx.CONCEPTS, fx.ALTERNATES))
 
 
 def st6_silence_sessions(spark, sf):
