@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from narraplan.llm import language, ngram_join, toxicity
+from narraplan.llm import language, mixing, ngram_join, toxicity
 from narraplan.llm.common import free_name
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +65,48 @@ def test_kept_rows_are_exact_with_full_filters(docs_of, odd, monkeypatch):
     monkeypatch.setattr(line_dedup, "MOST_BITS", 64)
     assert sorted(str(x.doc_id) for x in ngram_join.deduplicated(docs_of(rows)).collect()) == want
     assert len(want) == len(set(want))
+
+
+def plain_mix(rows, weights=(1, 2, 3), most=3):
+    """Targets by water filling in plain Python, from (doc_id, text, source)."""
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + len((text or "").split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    total, target, free = sum(sizes.values()), {}, set(order)
+    while True:
+        left = total - sum(target.values())
+        share = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > most * sizes[s]}
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = most * sizes[s]
+        free -= over
+        if not free:
+            return target
+
+
+@pytest.mark.parametrize("ids", ["one id", "null ids", "one id and texts", "two of each"])
+def test_mix_with_repeated_ids(spark, ids, monkeypatch):
+    """1,500 rows of ten words, most under one id: targets are met within a document, no row is taken more than three times."""
+    monkeypatch.setattr(mixing, "NUMBERED", 100)
+    rows = []
+    for k in range(1500):
+        hot = k % 5 != 0
+        i = {"one id": 7, "null ids": None, "one id and texts": 7, "two of each": 10_000 + k // 2}[ids] if hot else k
+        text = " ".join(f"w{0 if ids == 'one id and texts' and hot else k // 2 if ids == 'two of each' else k}" for _ in range(10))
+        rows.append((i, text, f"s{(k // 2) % 3}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = plain_mix(rows)
+    report = mixing.mix_report(docs).collect()
+    assert len(report) == 1500 and all(x.taken <= 3 * x.size for x in report)
+    taken = {}
+    for x in report:
+        taken[x.target] = taken.get(x.target, 0) + x.taken
+    assert sorted(taken) == sorted(want.values()) and all(abs(t - n) <= 10 for t, n in taken.items())
+    again = mixing.mix_report(docs.repartition(7)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, report))
+    mix = mixing.mixed_documents(docs.withColumn("row", F.lit(1)))
+    assert mix.columns == ["doc_id", "text", "source", "row"] and mix.count() * 10 == sum(x.taken for x in report)
