@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
+PART_ROWS = 20_000
 
 
 def free_name(columns: list[str], name: str) -> str:
@@ -66,8 +67,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph (a, b): the smallest node reachable. Large and small stars in turn.
 
     A node's neighbours are never gathered: minima are partial aggregates joined back. Nodes without a link to
-    another node get no row; null ends are left out.
+    another node get no row; null ends are left out. Links too few to fill the session's shuffle partitions are
+    dealt to as many as they fill, so that a round doesn't write thousands of empty blocks.
     """
+    most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stars = cut(
         edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .where("a is not null and b is not null and hi > lo").distinct()
@@ -78,14 +81,18 @@ def components(edges: DataFrame) -> DataFrame:
         if now[0] == 0 or now == mark:
             break
         mark = now
+        parts = now[0] // PART_ROWS + 1
+
+        def dealt(df: DataFrame, key: str, parts: int = parts) -> DataFrame:
+            return df.repartition(parts, key) if parts < most else df
+
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(stars.select("lo", "hi"))
+        both = dealt(both, "u")
         least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = dealt(both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")), "hi").distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        stars = cut(
-            large.join(low, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-            .union(low.select("hi", "m")).distinct()
-        )
+        small = large.join(low, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(low.select("hi", "m"))
+        stars = cut(dealt(small, "hi").distinct())
     roots = stars.select(F.col("lo").alias("node")).distinct()
     return stars.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
         roots.select("node", F.col("node").alias("component")))

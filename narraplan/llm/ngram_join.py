@@ -357,8 +357,8 @@ def deduplicated(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100)
     keep = cut(first.select("first.doc_id", "first.text_hash"))
     rows = classes.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
     same = rows["doc_id"].eqNullSafe(keep["doc_id"]) & (rows["text_hash"] == keep["text_hash"])
-    single = rows.where("n = 1").join(keep, same, "left_semi")
-    others = cut(rows.select("doc_id", "text_hash").exceptAll(single.select("doc_id", "text_hash")))
+    others = cut(rows.join(keep.withColumn("kept", F.lit(True)), same, "left").where("kept is null or n > 1").select(
+        rows["doc_id"], rows["text_hash"]))
     (keep_bits, kept), (other_bits, other) = _known(keep), _known(others)
 
     @F.arrow_udf("int")
