@@ -82,13 +82,13 @@ class Lines(Spans):
 class Filter:
     """A Bloom filter of 2^k bits, one word of a uint64 array holding 64 of them."""
 
-    def __init__(self, bits: int, words: np.ndarray | None = None):
-        self.bits = bits
+    def __init__(self, bits: int, words: np.ndarray | None = None, probes: int = PROBES):
+        self.bits, self.probes = bits, probes
         self.words = np.zeros(bits // 64, np.uint64) if words is None else words
 
     def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         step = mixed(hashes) | np.uint64(1)
-        at = (hashes[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) & np.uint64(self.bits - 1)
+        at = (hashes[:, None] + step[:, None] * np.arange(self.probes, dtype=np.uint64)) & np.uint64(self.bits - 1)
         return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
 
     def add(self, hashes: np.ndarray) -> None:
@@ -100,7 +100,14 @@ class Filter:
         return ((self.words[word] & bit) != 0).all(1)
 
 
-def _segments(once: Filter, twice: Filter) -> Iterator[pa.RecordBatch]:
+def tell_twice(once: Filter, twice: Filter, hashes: np.ndarray) -> None:
+    """Note a run's hashes, one of each row that has it: those seen before, here or earlier, go into the second filter."""
+    keys, rows = np.unique(hashes, return_counts=True)
+    twice.add(keys[(rows > 1) | once.has(keys)])
+    once.add(keys)
+
+
+def segments(once: Filter, twice: Filter) -> Iterator[pa.RecordBatch]:
     size = min(SEGMENT, once.bits) // 64
     for k in range(0, len(once.words), size):
         a, b = once.words[k:k + size], twice.words[k:k + size]
@@ -130,8 +137,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def filter_bits(lines: int) -> int:
-    return max(LEAST_BITS, min(MOST_BITS, 1 << max(1, int(lines * BITS_A_LINE) - 1).bit_length()))
+def filter_bits(lines: int, most: int | None = None) -> int:
+    return max(LEAST_BITS, min(most or MOST_BITS, 1 << max(1, int(lines * BITS_A_LINE) - 1).bit_length()))
 
 
 def _long(lines: Lines, shortest: int) -> np.ndarray:
@@ -156,7 +163,7 @@ def own_words(marks: DataFrame, bits: int) -> DataFrame:
         known = Filter(bits)
         for batch in batches:
             known.add(batch.column(0).to_numpy().view(np.uint64))
-        yield from _segments(known, known)
+        yield from segments(known, known)
 
     return marks.mapInArrow(note, SEGMENTS)
 
@@ -177,7 +184,7 @@ def twice_seen(docs: DataFrame, bits: int, shortest: int) -> np.ndarray:
             twice.add(h[again])
             twice.add(keys[once.has(keys)])
             once.add(keys)
-        yield from _segments(once, twice)
+        yield from segments(once, twice)
 
     return merged_words(docs.select("text").mapInArrow(seen, SEGMENTS), bits)
 

@@ -7,6 +7,9 @@ join is exact but for equal 64-bit hashes. Its steps:
 2. A set of n shingles can only reach the similarity with a set that shares one of its n - ceil(t n) + 1 rarest
    shingles. "Rare" is any common order; here by counts in a table of 2^18 hashed counters over all texts, so
    passages that many texts share come last. The table's size is fixed, so it is collected and broadcast.
+   A pair of Bloom filters (once-seen and twice-seen, merged over tasks, at most SHARED_BITS each) finds the shingles
+   that may be among the rarest of two nodes; the others, most of them, are not sent. Once the filter is full
+   (from about 50 million shingles on) it lets more and more pass: links stay the same, the shuffle grows.
 3. Nodes that share such a shingle form a group. Groups are cut into tiles of bounded size; in a tile nodes are
    in bands of size, and a pair is compared only within num / den of its sizes. Bitmaps of hashed shingles (at
    least two bits a shingle, folded to a common length) bound the overlap from above:
@@ -33,11 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narraplan.llm.common import Words, blocks, by_tile, components, cut, mixed, written
-from narraplan.llm.line_dedup import Filter, filter_bits, merged_words, own_words
+from narraplan.llm.line_dedup import SEGMENTS, Filter, filter_bits, merged_words, own_words, segments, tell_twice
 
 COUNTERS = 1 << 18
 MARKS = 1 << 24
 MET = 1 << 18
+#: Most bits of the filter of shared shingles.
+SHARED_BITS = 1 << 27
+SHARED_PROBES = 2
 GROUP_TILE = 256
 BLOCK_TILE = 1 << 20
 LONGEST_BITMAP = 1 << 17
@@ -84,31 +90,66 @@ def _bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(out, bitorder="little").view(np.uint64)
 
 
-def features(docs: DataFrame, counts: np.ndarray, size: int, num: int, den: int) -> DataFrame:
-    """Per row: doc_id, text_hash, n, node (hash of the set, null without shingles); bitmap and rarest shingles at a node's first rows.
+def _node(shingles: np.ndarray) -> int:
+    """A set's hash."""
+    return int(_signed(mixed(mixed(shingles).sum(keepdims=True) + np.uint64(len(shingles))))[0])
 
-    A task knows the nodes that it has met of late, so copies in its part have neither.
-    """
+
+def _rarest(shingles: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The n - ceil(t n) + 1 rarest shingles of a set, by counters, then by value."""
     shift = np.uint64(64 - int(COUNTERS).bit_length() + 1)
-    held = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 20) - 1).astype(np.uint64))
+    order = np.argsort((rank[shingles >> shift] << np.uint64(44)) | (shingles >> np.uint64(20)), kind="stable")
+    return shingles[order[:len(shingles) - int(_needed(len(shingles), num, den)) + 1]]
+
+
+class _Met(set):
+    """Nodes that a task has met of late, at most MET: copies in its part are treated once."""
+
+    def first(self, node: int) -> bool:
+        if node in self:
+            return False
+        if len(self) >= MET:
+            self.clear()
+        self.add(node)
+        return True
+
+
+def shared_words(docs: DataFrame, rank, bits: int, size: int, num: int, den: int) -> np.ndarray:
+    """Words of a Bloom filter that has every shingle which is among the rarest of two or more nodes."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice, met = Filter(bits, probes=SHARED_PROBES), Filter(bits, probes=SHARED_PROBES), _Met()
+        for block in blocks(batches, "text"):
+            sets = [s for s in Words(block.column("text")).shingles(size) if len(s) and met.first(_node(s))]
+            if sets:
+                tell_twice(once, twice, np.concatenate([_rarest(s, rank.value, num, den) for s in sets]))
+        yield from segments(once, twice)
+
+    return merged_words(docs.select("text").mapInArrow(seen, SEGMENTS), bits)
+
+
+def features(docs: DataFrame, counts: np.ndarray, size: int, num: int, den: int) -> DataFrame:
+    """Per row: doc_id, text_hash, n, node (hash of the set, null without shingles). Where a task first meets a node that may share
+    one of its rarest shingles with another, also its bitmap and these shingles.
+    """
+    context = docs.sparkSession.sparkContext
+    rank = context.broadcast(np.minimum(counts, (1 << 20) - 1).astype(np.uint64))
+    bits = filter_bits(int(counts.sum()) * (den - num) // den + 1, SHARED_BITS)
+    shared = context.broadcast(shared_words(docs, rank, bits, size, num, den))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = held.value
-        met: set[int] = set()
+        known, met = Filter(bits, shared.value, SHARED_PROBES), _Met()
         for block in blocks(batches, "text"):
             n, node, sign, first = [], [], [], []
             for s in Words(block.column("text")).shingles(size):
                 n.append(len(s))
-                node.append(int(_signed(mixed(mixed(s).sum(keepdims=True) + np.uint64(len(s))))[0]) if len(s) else None)
-                if not len(s) or node[-1] in met:
-                    sign.append(None), first.append(None)
-                    continue
-                if len(met) >= MET:
-                    met.clear()
-                met.add(node[-1])
-                sign.append(_bitmap(s).tobytes())
-                order = np.argsort((rank[s >> shift] << np.uint64(44)) | (s >> np.uint64(20)), kind="stable")
-                first.append(_signed(s[order[:len(s) - int(_needed(len(s), num, den)) + 1]]))
+                node.append(_node(s) if len(s) else None)
+                sign.append(None), first.append(None)
+                if len(s) and met.first(node[-1]):
+                    rarest = _rarest(s, rank.value, num, den)
+                    rarest = rarest[known.has(rarest)]
+                    if len(rarest):
+                        sign[-1], first[-1] = _bitmap(s).tobytes(), _signed(rarest)
             yield pa.record_batch([
                 block.column("doc_id"), block.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
                 pa.array(sign, pa.binary()), pa.array(first, pa.list_(pa.int64())),

@@ -99,7 +99,7 @@ def test_filters_miss_nothing():
     h = r.integers(0, 2**63, 5000).astype(np.uint64)
     one, two = line_dedup.Filter(1 << 16), line_dedup.Filter(1 << 16)
     one.add(h[:3000]), two.add(h[2500:])
-    parts = [b for f in (one, two) for b in line_dedup._segments(f, line_dedup.Filter(1 << 16))]
+    parts = [b for f in (one, two) for b in line_dedup.segments(f, line_dedup.Filter(1 << 16))]
     (merged,) = line_dedup._merge(iter(sorted(parts, key=lambda b: b.column(0)[0].as_py())))
     both = line_dedup.Filter(1 << 16, np.frombuffer(merged.column(1)[0].as_py(), np.uint64))
     assert both.has(h[2500:3000]).all() and both.has(h[:2500]).mean() < 0.05
