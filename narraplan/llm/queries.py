@@ -26,7 +26,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = sharding.new_folder(spark)
     sharding.write_shards(docs, folder)
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return sharding.read_shards(spark, folder, docs.schema, n_bytes).select("doc_id", n_bytes.alias("n_bytes"), "depth", "prefix", "part", "shard_bytes")
+    return sharding.read_shards(spark, folder, docs.schema, n_bytes).select("doc_id", n_bytes.alias("n_bytes"), "shard.*")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

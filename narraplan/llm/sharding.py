@@ -7,7 +7,8 @@ the shortest prefix that fits. Prefixes still too large in the histogram go on,
 
 Bits cannot part rows of one key. A bucket with a single row that is larger than the limit stays as it is. Where all
 60 bits are used up, rows of the same hash are dealt into buckets and chained in numbered parts that fit, by size in a bucket. Null keys hash
-as the text 'null'; null texts have 0 bytes. Extra columns are kept. An empty table gives no shard.
+as the text 'null'; null texts have 0 bytes. Extra columns are kept, whatever their names; a row's shard comes in one struct
+column, whose name the caller gives. An empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narraplan.llm.common import cut, shared_folder, sized
+from narraplan.llm.common import cut, free_name, refuse, shared_folder, sized
 
 BITS = 60
 CHAIN_SHARDS = 64
@@ -60,9 +61,11 @@ def directory(rows: DataFrame, limit: int, finer: int = 4) -> DataFrame:
         low, high = high, min(BITS, high + 2 * finer)
 
 
-def assign(docs: DataFrame, key: str = "doc_id", size: Column | None = None, limit: int = 1 << 20) -> DataFrame:
-    """docs with depth, prefix, part and shard_bytes; (depth, prefix, part) is the shard. size: bytes of a row, by default of its text."""
+def assign(docs: DataFrame, key: str = "doc_id", size: Column | None = None, limit: int = 1 << 20, result: str = "shard") -> DataFrame:
+    """docs with a struct column `result`: depth, prefix and part name the shard, shard_bytes is its size. size: bytes of a row, by default of its text."""
     columns = docs.columns
+    refuse(columns, result)
+    shard = F.struct("depth", "prefix", "part", "shard_bytes").alias(result)
     size = F.octet_length("text") if size is None else size
     rows = docs.select(F.struct(*columns).alias("doc"), key_hash(key).alias("hash"), F.coalesce(size, F.lit(0)).cast("long").alias("bytes"))
     # One row a shard, not a cell: it stays small enough to broadcast for longer, as texts go through this join.
@@ -70,14 +73,15 @@ def assign(docs: DataFrame, key: str = "doc_id", size: Column | None = None, lim
     levels = [r[0] for r in shards.select("depth").distinct().collect()]  # at most BITS + 1 values
     choices = F.array(*[F.struct(F.lit(b).alias("depth"), _prefix(b).alias("prefix")) for b in sorted(levels)]) if levels else F.array()
     if not levels:
-        return rows.select("doc.*", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("shard_bytes"))
+        none = rows.withColumns({"depth": F.lit(0), **{c: F.lit(0).cast("long") for c in ("prefix", "part", "shard_bytes")}})
+        return none.select("doc.*", shard)
     placed = rows.withColumn("at", F.explode(choices)).select("doc", "hash", "bytes", "at.*").join(shards, ["depth", "prefix"])
     full = (F.col("depth") == BITS) & (F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)
     open_ = placed.where(~full).withColumn("part", F.lit(0).cast("long"))
     if shards.where(full).isEmpty():
-        return open_.select("doc.*", "depth", "prefix", "part", "shard_bytes")
+        return open_.select("doc.*", shard)
     chained = _chained(placed.where(full), limit)
-    return open_.unionByName(chained).select("doc.*", "depth", "prefix", "part", "shard_bytes")
+    return open_.unionByName(chained).select("doc.*", shard)
 
 
 def _chained(rows: DataFrame, limit: int) -> DataFrame:
@@ -101,19 +105,22 @@ def _chained(rows: DataFrame, limit: int) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, **how) -> None:
     """Write documents into one folder a shard."""
-    rows = assign(docs, **how).withColumn("shard", F.concat_ws("-", "depth", "prefix", "part"))
-    rows.drop("depth", "prefix", "part", "shard_bytes").repartition("shard").write.partitionBy("shard").parquet(path)
+    own = free_name(docs.columns, "shard")
+    rows = assign(docs, result=own, **how).withColumn(own, F.concat_ws("-", f"{own}.depth", f"{own}.prefix", f"{own}.part"))
+    rows.repartition(own).write.partitionBy(own).parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, schema: T.StructType, size: Column) -> DataFrame:
-    """Rows of written shards, of this schema, with depth, prefix, part and shard_bytes; bytes are summed from the rows read."""
+    """Rows of written shards, of this schema, with a struct column like that of `assign`, named shard or, if taken, with signs behind;
+    bytes are summed from the rows read."""
     names = schema.fieldNames()
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("shard", T.StringType())])).parquet(path)
-    rows = rows.withColumn("_bytes", F.coalesce(size, F.lit(0)).cast("long"))
-    sums = rows.groupBy("shard").agg(F.sum("_bytes").alias("shard_bytes"))
-    name = F.split("shard", "-")
-    return rows.join(sums, "shard").select(
-        *names, name[0].cast("int").alias("depth"), name[1].cast("long").alias("prefix"), name[2].cast("long").alias("part"), "shard_bytes")
+    own, n_bytes, total = (free_name(names, n) for n in ("shard", "row_bytes", "shard_bytes"))
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(own, T.StringType())])).parquet(path)
+    rows = rows.withColumn(n_bytes, F.coalesce(size, F.lit(0)).cast("long"))
+    sums = rows.groupBy(own).agg(F.sum(n_bytes).alias(total))
+    name = F.split(own, "-")
+    return rows.join(sums, own).select(*[F.col(f"`{c}`") for c in names], F.struct(
+        name[0].cast("int").alias("depth"), name[1].cast("long").alias("prefix"), name[2].cast("long").alias("part"), F.col(total).alias("shard_bytes")).alias(own))
 
 
 def new_folder(spark: SparkSession) -> str:

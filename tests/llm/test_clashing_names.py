@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from narraplan.llm import language, mixing, ngram_join, toxicity
+from narraplan.llm import language, mixing, ngram_join, sharding, toxicity
 from narraplan.llm.common import free_name
 
 SF = "/root/testdata/sf0.001"
@@ -67,6 +67,19 @@ def test_kept_rows_are_exact_with_full_filters(docs_of, odd, monkeypatch):
     assert len(want) == len(set(want))
 
 
+def test_shards_keep_every_column(spark, crowded, tmp_path):
+    """A user's columns named as the shard's own come back as they were."""
+    docs = crowded.select("doc_id", "text", *[F.col("doc_id").cast("string").alias(n) for n in ("shard", "depth", "prefix", "part", "shard_bytes", "row_bytes")])
+    sharding.write_shards(docs, str(tmp_path / "shards"), limit=100_000)
+    got = sharding.read_shards(spark, str(tmp_path / "shards"), docs.schema, F.octet_length("text"))
+    assert got.columns == [*docs.columns, "shard_"]
+    rows = got.collect()
+    assert len(rows) == docs.count() and all(x[n] == str(x.doc_id) for x in rows for n in docs.columns[2:])
+    assert len({x.shard_ for x in rows}) > 1
+    with pytest.raises(ValueError, match="shard"):
+        sharding.assign(docs)
+
+
 def plain_mix(rows, weights=(1, 2, 3), most=3):
     """Targets by water filling in plain Python, from (doc_id, text, source)."""
     sizes = {}

@@ -99,7 +99,7 @@ def test_groups_of_many_copies(spark):
 
 def test_sharding(spark, docs_of, odd):
     texts = [(k, "x" * (k * 37 % 900)) for k in range(300)] + [(777, "y" * 400)] * 20 + [(None, "z" * 5000)]
-    rows = sharding.assign(docs_of(texts), limit=3000).collect()
+    rows = sharding.assign(docs_of(texts), limit=3000).select("*", "shard.*").collect()
     assert len(rows) == len(texts) and "extra" in rows[0].asDict()
     sums = {}
     for x in rows:
@@ -132,7 +132,7 @@ def test_hot_key_is_dealt(docs_of, monkeypatch):
     plan = sharding.assign(docs, limit=3000)._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(hash" in plan and not re.search(r"windowspecdefinition\(hash#\d+L, bytes#", plan)
     monkeypatch.setattr(sharding, "CHAIN_ROWS", 100)
-    rows = sharding.assign(docs, limit=3000).collect()
+    rows = sharding.assign(docs, limit=3000).select("*", "shard.*").collect()
     parts = {}
     for x in rows:
         parts.setdefault(x.part, []).append((len(x.text or ""), x.shard_bytes))
