@@ -20,6 +20,30 @@ HEADLINE = [
 ]
 
 
+SOUNDS = ["er", "wh", "att", "ion", "on", "re", "es", "an", "en", "th", "st", "ly", "ou", "ing", "ed", "at", "or"]
+
+
+def invented_patterns(n: int = 134) -> list[str]:
+    """As many patterns as a large dictionary has, by a rule: plain, word ends, groups, classes, gaps, alternatives."""
+    made = []
+    for k in range(n):
+        a, b, c = (SOUNDS[(k * step + k // len(SOUNDS)) % len(SOUNDS)] for step in (1, 5, 7))
+        made.append([f"{a}{b}{c}", f"{a}{b}\\b", f"(?:{a}|{b}){c}{a}", f"\\b{a}[{b[0]}{c[0]}]{b}", f"{a}{b}{c}.*{c}{b}", f"{a}{b}{b}|{c}{a}{a}"][k % 6])
+    return made
+
+
+def dictionary_queries() -> dict:
+    """Tags of all scenes and topics of all scripts by 134 patterns."""
+    from narraplan.operators import concepts
+    from narraplan.plans import fixtures as fx
+
+    table = [concepts.Concept(p, f"visual {k}", f"anchor{k}") for k, p in enumerate(invented_patterns())]
+    return {
+        "j3_with_134_patterns": lambda spark, sf: concepts.tag_concepts(fx.scenes(spark, sf), table),
+        "a1_with_134_patterns": lambda spark, sf: concepts.script_topics(fx.corpus(spark, sf), table),
+    }
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -35,12 +59,13 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from narraplan.plans.queries import QUERIES
 
-    names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
+    timed = QUERIES | dictionary_queries()
+    names = os.environ.get("BENCH_QUERIES", ",".join([*HEADLINE, *dictionary_queries()])).split(",")
     times = {}
     for name in names:
         for _ in range(2):
             start = time.perf_counter()
-            QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+            timed[name](spark, sf).write.format("noop").mode("overwrite").save()
             times[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",

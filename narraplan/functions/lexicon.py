@@ -44,12 +44,6 @@ BOUNDARY_WEIGHTS = [("cut", 6), ("punch", 5), ("black", 3), ("white", 2), ("zoom
 MOTION_LABELS = ["zoom-in", "zoom-out", "pan-left", "pan-right", "pan-up"]
 
 # --- fixed values: word lists -------------------------------------------------
-CARD_CUES = [
-    "the solution", "the basic strategy", "the important principle",
-    "start with", "think of", "remember", "the better question",
-    "there is another", "the goal is", "those are not always",
-    "a self-reinforcing",
-]
 CAPTION_FILLER = [
     "the", "and", "with", "from", "for", "into", "over", "out", "his", "her",
     "their", "a", "an", "of", "at", "in", "on", "to", "up", "by", "or", "man",
@@ -72,15 +66,6 @@ ANIMAL_WORDS = [
     "pony", "donkey", "elephant", "lion", "tiger", "bear", "wolf", "turtle",
     "frog",
 ]
-KEY_TERMS = [
-    "melatonin", "magnesium", "tryptophan", "serotonin", "glycine", "calcium",
-    "apigenin", "anthocyanins", "chamomile", "nutmeg", "kiwi", "montmorency",
-    "potassium", "vitamin", "inflammation", "insomnia", "vasopressin",
-    "polyuria", "gaba", "cortisol", "dopamine", "flavonoid", "citrate",
-    "glycinate", "warfarin", "apnea", "prostate", "bladder", "kidney",
-    "hormone", "nervous", "receptors", "deficiency", "placebo", "nasa",
-    "apollo", "astronaut", "capcom",
-]
 TERM_STOP = [
     "the", "this", "that", "these", "those", "then", "there", "your", "you",
     "when", "if", "for", "do", "now", "start", "after", "and", "but", "it",

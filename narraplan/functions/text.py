@@ -121,7 +121,7 @@ def phrase_words(keywords: Column) -> Column:
     return F.array_distinct(tokens(F.lower(F.array_join(keywords, " "))))
 
 
-def key_term(text: Column, terms: Sequence[str] = lx.KEY_TERMS,
+def key_term(text: Column, terms: Sequence[str],
              stop: Sequence[str] = lx.TERM_STOP) -> Column:
     """First listed term found at a word start, else the first name-like word, else null."""
     low = F.lower(text)
@@ -204,7 +204,7 @@ def callout(text: Column, **numbers) -> Column:
 
 
 def card_eligible(scene_idx: Column, text: Column, n_words: Column,
-                  cues: Sequence[str] = lx.CARD_CUES) -> Column:
+                  cues: Sequence[str]) -> Column:
     """A short line, or a line of at most ten words that opens with a cue; never scene 0."""
     low = F.lower(text)
     opens = F.lit(False)

@@ -10,13 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from .ordered import ordered_scan
+from .ordered import cut_lineage, ordered_scan
 
 CLIP = ["source", "video_id", "width", "duration_s", "desc", "source_rank"]
 
@@ -236,25 +239,44 @@ def without_used(candidates: DataFrame, used: DataFrame) -> DataFrame:
 # -- similarity ------------------------------------------------------------------
 
 
-def _unit(v: Column) -> Column:
-    d = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(d, lambda x: x / norm)
+def _rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Components of a list column end to end in doubles, each row's start and its length, -1 where it is null."""
+    length = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(column).cast(pa.float64()).to_numpy(zero_copy_only=False)
+    start = np.append(0, np.cumsum(np.maximum(length, 0)))
+    return flat, start[:-1], length
+
+
+def _cosines(one: pa.Array, other: pa.Array) -> pa.Array:
+    """Cosine of each row's two vectors, a batch as one product; null for null, empty, zero or unequal ones."""
+    (a, a_at, a_n), (b, b_at, b_n) = _rows_of(one), _rows_of(other)
+    good = np.flatnonzero((a_n == b_n) & (a_n > 0))
+    out = np.full(len(a_n), np.nan)
+    if len(good):
+        size = a_n[good]
+        start = np.append(0, np.cumsum(size))[:-1]
+        inner = np.arange(size.sum()) - np.repeat(start, size)
+        x, y = a[np.repeat(a_at[good], size) + inner], b[np.repeat(b_at[good], size) + inner]
+        dot, xx, yy = (np.add.reduceat(v, start) for v in (x * y, x * x, y * y))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[good] = dot / (np.sqrt(xx) * np.sqrt(yy))
+    return pa.array(out, mask=~np.isfinite(out))
 
 
 def frame_similarity(pairs: DataFrame, query_emb: DataFrame, frame_emb: DataFrame) -> DataFrame:
     """Mean cosine over a clip's frames for (query, source, video_id) pairs; null if no frame.
 
-    Vectors are normalised once per query and frame, before the join, not once per pair.
+    Vectors go to numpy in Arrow batches in their own type; a batch of pairs is one product.
     """
-    q = query_emb.select("query", _unit(F.col("embedding")).alias("_qv"))
-    f = frame_emb.select("source", "video_id", _unit(F.col("embedding")).alias("_fv"))
-    dot = F.aggregate(F.zip_with("_qv", "_fv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    q = query_emb.select("query", F.col("embedding").alias("_qv"))
+    f = frame_emb.select("source", "video_id", F.col("embedding").alias("_fv"))
+    cosine = F.arrow_udf(_cosines, "double")("_qv", "_fv")
     wanted = pairs.select("query", "source", "video_id").distinct()
     return (
         wanted.join(q, "query", "left").join(f, ["source", "video_id"], "left")
+        .select("query", "source", "video_id", cosine.alias("_cos"))
         .groupBy("query", "source", "video_id")
-        .agg(F.round(F.avg(dot), 4).alias("sim"))
+        .agg(F.round(F.avg("_cos"), 4).alias("sim"))
     )
 
 
@@ -359,6 +381,7 @@ def assign_unrepeated(choices: DataFrame, scenes: DataFrame, shots: DataFrame,
         "sig", "_again",
         F.when(F.size("_passing") > 0, F.col("_passing")).otherwise(F.col("_weak")).alias("_options"),
     )
+    per_sig = cut_lineage(per_sig)  # read for the scan and for its picks
     script = Window.partitionBy("script_id")
     counts = (
         shots.groupBy("script_id", "scene_idx").agg(F.count(F.lit(1)).alias("n_shots"))
@@ -378,10 +401,8 @@ def assign_unrepeated(choices: DataFrame, scenes: DataFrame, shots: DataFrame,
         .withColumn("_seed", F.when(F.row_number().over(first) == 1, F.col("_seed")))
         .join(signed(scenes).select("script_id", "scene_idx", "sig"), ["script_id", "scene_idx"])
         .join(per_sig, "sig", "left")
-        .select("script_id", "scene_idx", "n_shots", "_seed", "_again",
-                F.slice(F.coalesce("_options", F.array()), F.lit(1), F.col("_reach")).alias("_options"))
-        .withColumn("_clips", F.transform("_options", lambda o: o["clip"]))
-        .withColumn("_repeats", F.col("_again").isNotNull())
+        .select("script_id", "scene_idx", "sig", "n_shots", "_seed", F.col("_again").isNotNull().alias("_repeats"),
+                F.slice(F.transform(F.coalesce("_options", F.array()), lambda o: o["clip"]), F.lit(1), F.col("_reach")).alias("_clips"))
     )
     adds = T.StructType([T.StructField("_picks", T.ArrayType(T.IntegerType()))])
 
@@ -400,14 +421,16 @@ def assign_unrepeated(choices: DataFrame, scenes: DataFrame, shots: DataFrame,
         return used, (made,)
 
     picked = ordered_scan(
-        work, ["script_id"], ["scene_idx"], ["_clips", "n_shots", "_repeats", "_seed"], adds, step
+        work, ["script_id"], ["scene_idx"], ["_clips", "n_shots", "_repeats", "_seed"], adds, step,
+        keeps=["script_id", "scene_idx", "sig"],
     )
-    pick = F.get("_options", F.col("_at") - 1)  # null below 0
-    chosen = F.when(F.col("_at") == 0, F.col("_again")).otherwise(F.struct(*[pick[c].alias(c) for c in facts]))
+    # only picks, not options, travel with the scenes; what they stand for is joined by signature and place
+    options = per_sig.select("sig", F.posexplode("_options").alias("_p", "_x")).select(
+        "sig", (F.col("_p") + 1).alias("_at"), F.struct(*[F.col(f"_x.{c}").alias(c) for c in facts]).alias("_o"))
+    repeats = per_sig.where("_again is not null").select("sig", F.lit(0).alias("_at"), F.col("_again").alias("_o"))
     return (
-        picked.select("script_id", "scene_idx", "_options", "_again",
-                      F.posexplode("_picks").alias("shot_idx", "_at"))
-        .withColumn("_o", chosen)
+        picked.select("script_id", "scene_idx", "sig", F.posexplode("_picks").alias("shot_idx", "_at"))
+        .join(options.unionByName(repeats), ["sig", "_at"], "left")
         .select(
             "script_id",
             "scene_idx",
@@ -439,7 +462,7 @@ def assign_by_similarity(passing: DataFrame, weak: DataFrame, scenes: DataFrame,
     options = passing.groupBy("sig").agg(F.array_sort(F.collect_list(
         F.struct("group_rank", "cand_rank", clip, "score", "query", "sim"))).alias("_passing"))
     below = weak.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("pref", clip, "query"))).alias("_weak"))
-    per_sig = options.join(below, "sig", "full")
+    per_sig = cut_lineage(options.join(below, "sig", "full"))  # read for the scan and for its picks
     script = Window.partitionBy("script_id")
     counts = shots.groupBy("script_id", "scene_idx").agg(F.count(F.lit(1)).alias("n_shots")).withColumn(
         "_reach", F.sum("n_shots").over(script))
@@ -455,11 +478,11 @@ def assign_by_similarity(passing: DataFrame, weak: DataFrame, scenes: DataFrame,
         .withColumn("_seed", F.when(F.row_number().over(script.orderBy("scene_idx")) == 1, F.col("_seed")))
         .join(signed(scenes).select("script_id", "scene_idx", "sig"), ["script_id", "scene_idx"])
         .join(per_sig, "sig", "left")
-        .select("script_id", "scene_idx", "n_shots", "_seed", F.coalesce("_passing", empty).alias("_passing"),
+        .select("script_id", "scene_idx", "sig", "n_shots", "_seed", F.coalesce("_passing", empty).alias("_passing"),
                 F.slice(F.coalesce("_weak", empty), F.lit(1), F.col("_reach")).alias("_weak"))
-        .select("*", F.col("_passing.clip").alias("_clips"), F.col("_passing.group_rank").alias("_groups"),
-                F.col("_passing.sim").alias("_sims"), F.col("_passing.score").alias("_scores"),
-                F.col("_weak.clip").alias("_below"))
+        .select("script_id", "scene_idx", "sig", "n_shots", "_seed", F.col("_passing.clip").alias("_clips"),
+                F.col("_passing.group_rank").alias("_groups"), F.col("_passing.sim").alias("_sims"),
+                F.col("_passing.score").alias("_scores"), F.col("_weak.clip").alias("_below"))
     )
     adds = T.StructType([T.StructField("_picks", T.ArrayType(T.LongType()))])
 
@@ -501,22 +524,23 @@ def assign_by_similarity(passing: DataFrame, weak: DataFrame, scenes: DataFrame,
         return used, (made,)
 
     picked = ordered_scan(work, ["script_id"], ["scene_idx"],
-                          ["_clips", "_groups", "_sims", "_scores", "_below", "n_shots", "_seed"], adds, step)
-    place, way = F.floor(F.col("_at") / 3).cast("int"), F.pmod(F.col("_at"), F.lit(3))
-    none = F.col("_at") < 0
-    option, last = F.get("_passing", place), F.get("_weak", place)
-    seen = F.when(~none & (way == 0), option["sim"])
-    return (
-        picked.select("script_id", "scene_idx", "_passing", "_weak", F.posexplode("_picks").alias("shot_idx", "_at"))
-        .select(
-            "script_id", "scene_idx", F.col("shot_idx").cast("bigint").alias("shot_idx"), seen.alias("sim"),
-            F.when(~none, F.when(way == 2, last["query"]).otherwise(option["query"])).alias("query"),
-            F.when(~none, F.when(way == 2, last["clip"]).otherwise(option["clip"])).alias("_clip"),
-            F.when(none, "none").when(way == 1, "used").when(way == 2, "weak")
-            .when(seen >= lx.STRONG_SIMILARITY, "strong").when(seen >= lx.MIN_SIMILARITY, "ok").otherwise("low").alias("tier"),
-        )
-        .select("script_id", "scene_idx", "shot_idx", "query", F.substring_index("_clip", ":", 1).alias("source"),
-                F.expr("substring(_clip, instr(_clip, ':') + 1)").alias("video_id"), "tier", "sim")
+                          ["_clips", "_groups", "_sims", "_scores", "_below", "n_shots", "_seed"], adds, step,
+                          keeps=["script_id", "scene_idx", "sig"])
+    picks = picked.select("script_id", "scene_idx", "sig", F.posexplode("_picks").alias("shot_idx", "_at")).withColumns({
+        "_place": F.floor(F.col("_at") / 3).cast("int"), "_way": F.pmod(F.col("_at"), F.lit(3))}).withColumn(
+        "_list", F.when(F.col("_at") >= 0, F.when(F.col("_way") == 2, 1).otherwise(0)))
+    # only picks, not options, travel with the scenes; what they stand for is joined by signature, list and place
+    seen = per_sig.select("sig", F.lit(0).alias("_list"), F.posexplode("_passing").alias("_place", "_x")).select(
+        "sig", "_list", "_place", "_x.query", "_x.clip", "_x.sim")
+    last = per_sig.select("sig", F.lit(1).alias("_list"), F.posexplode("_weak").alias("_place", "_x")).select(
+        "sig", "_list", "_place", "_x.query", "_x.clip", F.lit(None).cast("double").alias("sim"))
+    found = F.when(F.col("_way") == 0, F.col("sim"))
+    return picks.join(seen.unionByName(last), ["sig", "_list", "_place"], "left").select(
+        "script_id", "scene_idx", F.col("shot_idx").cast("bigint").alias("shot_idx"), "query",
+        F.substring_index("clip", ":", 1).alias("source"), F.expr("substring(clip, instr(clip, ':') + 1)").alias("video_id"),
+        F.when(F.col("_at") < 0, "none").when(F.col("_way") == 1, "used").when(F.col("_way") == 2, "weak")
+        .when(found >= lx.STRONG_SIMILARITY, "strong").when(found >= lx.MIN_SIMILARITY, "ok").otherwise("low").alias("tier"),
+        F.when(F.col("_at") >= 0, found).alias("sim"),
     )
 
 

@@ -124,14 +124,17 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, b
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  reads: Sequence[str], adds: T.StructType,
-                 step: Callable[..., tuple[object, tuple]]) -> DataFrame:
+                 step: Callable[..., tuple[object, tuple]], keeps: Sequence[str] | None = None) -> DataFrame:
     """Append columns computed by ``step(state, *reads) -> (state, outputs)`` in order.
 
+    ``keeps``: columns that come back beside the new ones; all, if not given.
+
     ``state`` is None at the first row of each key. Rows arrive as sorted Arrow batches,
     so a task holds one batch and one state, never a whole group.
     """
     keys, reads = list(keys), list(reads)
-    schema = T.StructType(df.schema.fields + adds.fields)
+    kept = list(df.columns if keeps is None else keeps)
+    schema = T.StructType([df.schema[c] for c in kept] + adds.fields)
     arrow_types = [to_arrow_type(f.dataType) for f in adds.fields]
     names = [f.name for f in schema.fields]
 
@@ -149,7 +152,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                 state, made = step(state, *row)
                 out.append(made)
             made_cols = [pa.array(col, type=t) for col, t in zip(zip(*out), arrow_types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made_cols], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made_cols], names=names)
 
     return (
         df.repartition(*keys)

@@ -700,6 +700,12 @@ ORACLE: dict[str, str] = {
     "p16_card_eligible": _with(SCENES, f"SELECT script_id, scene_idx, n_words, {ELIGIBLE} AS eligible FROM scenes"),
     "p17_fingerprint": _with(PLANNED + PRINTS, "SELECT * FROM prints"),
     "j1_token_overlap": _with(CATALOG, "SELECT query, source, array_to_string(words, '|') AS words, rel FROM overlap"),
+    "j1_answer_relevance": _with(CATALOG, f"""SELECT query, source, video_id, result_no,
+      (3.0 * len(list_intersect(qw, words)) - CASE WHEN list_has_any(qw, {_list(fx.PERSONS)}) AND list_has_any(words, {_list(fx.ANIMALS)})
+        AND NOT list_has_any(words, {_list(fx.PERSONS)}) THEN 8.0 ELSE 0.0 END)::DOUBLE AS rel FROM (
+      SELECT l.query, c.*, row_number() OVER (PARTITION BY l.query, source ORDER BY source_rank) AS result_no
+      FROM (SELECT DISTINCT query, source FROM ladder) l JOIN clips c USING (source) WHERE source_rank % 97 = length(l.query) % 97)
+      JOIN queries USING (query)"""),
     "j2_class_conflict": _with(CATALOG, "SELECT query, source, count(*) AS n_sets, min(rel) AS lowest FROM overlap WHERE conflict GROUP BY ALL"),
     "j3_concept_tags": _with(SCENES + TAGS, "SELECT script_id, scene_idx, visual, anchor, second_visual FROM tags"),
     "j4_alternates": _with(SCENES + TAGS + ROTATED, 'SELECT script_id, scene_idx, visual, prim AS "primary" FROM rotated WHERE visual IS NOT NULL'),

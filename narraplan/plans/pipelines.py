@@ -128,7 +128,7 @@ def picked_clips(picks: DataFrame) -> DataFrame:
 
 
 def clip_audit(scenes: DataFrame, clips: DataFrame, query_emb, frame_emb, max_shot_ms: int,
-               cues_: Sequence[str] = lx.CARD_CUES, **classes) -> DataFrame:
+               cues_: Sequence[str], **classes) -> DataFrame:
     """Scenes to picked clips to audit lines; cards take no clip, and a clip listed twice makes one line."""
     timed = scenes.withColumn("n_words", tx.word_count(F.col("text")))
     open_scenes = cues.plan_cards(timed, cues=cues_).where(~F.col("is_card"))
@@ -155,8 +155,7 @@ def timed_terms(scenes: DataFrame, word_times: DataFrame | None, terms: Sequence
 
 
 def cue_schedule(scenes: DataFrame, word_times: DataFrame | None = None,
-                 terms: Sequence[str] = lx.KEY_TERMS,
-                 card_cues: Sequence[str] = lx.CARD_CUES) -> DataFrame:
+                 terms: Sequence[str] = (), card_cues: Sequence[str] = ()) -> DataFrame:
     """Scenes to the sound cues that remain after spacing, with lead-in times."""
     carded = cues.plan_cards(scenes, cues=card_cues)
     typed = captions.type_schedule(timed_terms(carded, word_times, terms))

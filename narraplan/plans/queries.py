@@ -294,6 +294,19 @@ def j2_class_conflict(spark, sf):
         F.count(F.lit(1)).alias("n_sets"), F.min("rel").alias("lowest"))
 
 
+def _answers(spark, sf):
+    """What providers answered to the ladder's queries: some of their clips, alike to the query or not."""
+    asked = _ladder(spark, sf).select("query", "source").distinct().withColumn("_r", F.length("query") % 97)
+    clips = fx.clip_catalog(spark, sf).select(*catalog.CLIP, (F.col("source_rank") % 97).alias("_r"))
+    place = Window.partitionBy("query", "source").orderBy("source_rank")
+    return asked.join(clips, ["source", "_r"]).withColumn("result_no", F.row_number().over(place).cast("bigint")).drop("_r")
+
+
+def j1_answer_relevance(spark, sf):
+    """Relevance of given answers, in the row; an answer without a common word keeps 0 or the penalty."""
+    return catalog.answer_results(_answers(spark, sf), **CLASSES).select("query", "source", "video_id", "result_no", "rel")
+
+
 def j3_concept_tags(spark, sf):
     return _tagged(spark, sf).select("script_id", "scene_idx", "visual", "anchor", "second_visual")
 

@@ -139,3 +139,14 @@ def test_resumed_picks_go_on_without_repeats(spark):
     order = sorted(whole.columns)
     want = sorted(map(repr, whole.where("scene_idx >= 6").select(*order).collect()))
     assert sorted(map(repr, rest.select(*order).collect())) == want and want
+
+
+def test_audit_is_written(spark, tmp_path):
+    """The report of the audit pipeline, as JSON lines with its fields."""
+    from narraplan.plans.queries import _audit
+
+    report = _audit(spark, SF)
+    sinks.write_audit(report, str(tmp_path / "audit"))
+    back = spark.read.schema(report.schema).json(str(tmp_path / "audit"))
+    assert back.columns == report.columns == ["script_id", "scene", "shot", "text", "query", "clip", "sim", "desc"]
+    assert back.count() > 0 and back.where("length(text) > 90 or length(desc) > 100 or scene < 1 or shot < 1").isEmpty()

@@ -49,7 +49,7 @@ def test_scenes_keep_every_sentence(spark):
     ("we flew over Nevada today", "Nevada"), ("It ended. Nevada is hot", None), ("nothing here", None),
 ])
 def test_key_term(spark, text, want):
-    assert value(spark, tx.key_term, text) == want
+    assert value(spark, lambda t: tx.key_term(t, ["melatonin", "kidney"]), text) == want
 
 
 @pytest.mark.parametrize("text, want", [
@@ -109,7 +109,7 @@ def test_shots(spark):
 def test_card_spacing(spark):
     df = spark.createDataFrame([(0, i, "short line", 2) for i in range(10)],
                                "script_id long, scene_idx long, text string, n_words long")
-    got = cues.plan_cards(df).where("is_card").select("scene_idx").orderBy("scene_idx").collect()
+    got = cues.plan_cards(df, cues=[]).where("is_card").select("scene_idx").orderBy("scene_idx").collect()
     assert [r[0] for r in got] == [1, 5, 9]
 
 
@@ -484,3 +484,15 @@ def test_learned_abbreviations(spark):
     assert abbreviations.learn_breaks(scripts_df(spark, "")) == tx.Breaks(frozenset(), frozenset())
     words = scripts.script_words(scripts_df(spark, text), model).collect()
     assert [w.token for w in sorted(words, key=lambda w: w.word_idx)] == text.split()
+
+
+def test_cosines(spark):
+    r = np.random.default_rng(3)
+    a, b = r.normal(size=(40, 8)), r.normal(size=(40, 8))
+    vectors = [(k, x.tolist(), y.tolist()) for k, (x, y) in enumerate(zip(a, b))]
+    odd = [(100, None, a[0].tolist()), (101, [], []), (102, [0.0] * 8, a[0].tolist()), (103, a[0].tolist(), b[0].tolist()[:5]), (104, a[0].tolist(), a[0].tolist())]
+    df = spark.createDataFrame(vectors + odd, "id long, a array<float>, b array<double>").repartition(3)
+    got = {x.id: x.c for x in df.select("id", F.arrow_udf(catalog._cosines, "double")("a", "b").alias("c")).collect()}
+    for k in range(40):
+        assert got[k] == pytest.approx(a[k] @ b[k] / np.linalg.norm(a[k]) / np.linalg.norm(b[k]), abs=1e-6)
+    assert [got[k] for k in (100, 101, 102, 103)] == [None] * 4 and got[104] == pytest.approx(1, abs=1e-6)
