@@ -6,6 +6,7 @@ every word of such a run with numpy, so no Python loop touches single words.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,6 +20,15 @@ BLOCK_BYTES = 1 << 20
 PART_ROWS = 20_000
 
 
+def release() -> None:
+    """Give freed memory of a worker process back to the system; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def free_name(columns: list[str], name: str) -> str:
     """A column name that is none of `columns`."""
     taken = {c.lower() for c in columns}

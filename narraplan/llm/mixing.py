@@ -18,15 +18,10 @@ columns are kept. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from narraplan.llm.common import cut, sized
-from narraplan.llm.line_dedup import Filter, filter_bits, merged_words, own_words
 
 BUCKETS = 4096
 NUMBERED = 1 << 16
@@ -121,32 +116,20 @@ def with_copies(rows: DataFrame, ends: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", odds: str | None = None) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs.
 
-    A row without an equal one is decided where it is. Rows that the Bloom filter of repeated rows knows meet the number of
-    copies of all rows equal to them in a join; one of them stands for all.
+    A row without an equal one is decided where it is. Repeated rows meet the number of copies of all rows equal to them in a
+    join, by broadcast while few rows are repeated; one of them stands for all.
     """
     light = _numbered(docs, seed, odds)
     ends = cut(thresholds(light, weights, most))
     again = cut(with_copies(light.where("equal > 1"), ends).groupBy("doc_id", "source", "digest").agg(
         F.sum("copies").alias("all_copies"), F.lit(True).alias("repeated")))
-    bits = filter_bits(again.count())
-    mark = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "digest")
-    held = docs.sparkSession.sparkContext.broadcast(merged_words(own_words(again.select(mark.alias("mark")), bits), bits))
-
-    @F.arrow_udf("boolean")
-    def maybe(marks: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = Filter(bits, held.value)
-        for batch in marks:
-            yield pa.array(known.has(batch.to_numpy(zero_copy_only=False).view(np.uint64)))
-
     rows = docs.select(F.struct(*docs.columns).alias("_row"), *_facts(docs, odds), F.lit(1).cast("long").alias("nth")).withColumn("u", _draw(seed))
-    rows = rows.withColumn("maybe", maybe(mark))
-    keep = ["_row", "doc_id", "source", "digest", "copies"]
-    alone = with_copies(rows.where("not maybe"), ends).select(*keep)
-    other = with_copies(rows.where("maybe"), ends).select(*keep)
-    same = [other[c].eqNullSafe(again[c]) for c in ("doc_id", "source", "digest")]
-    joined = other.join(again, same[0] & same[1] & same[2], "left").select(*[other[c] for c in keep], "all_copies", "repeated")
-    one = joined.where("repeated").dropDuplicates(["doc_id", "source", "digest"]).withColumn("copies", F.col("all_copies"))
-    chosen = alone.unionByName(joined.where("repeated is null").select(*keep)).unionByName(one.select(*keep))
+    rows = with_copies(rows, ends).select("_row", "doc_id", "source", "digest", "copies")
+    same = [rows[c].eqNullSafe(again[c]) for c in ("doc_id", "source", "digest")]
+    rows = rows.join(sized(again), same[0] & same[1] & same[2], "left").select(
+        "_row", *[rows[c] for c in ("doc_id", "source", "digest", "copies")], "all_copies", "repeated")
+    one = rows.where("repeated").dropDuplicates(["doc_id", "source", "digest"]).select("_row", F.col("all_copies").alias("copies"))
+    chosen = rows.where("repeated is null").select("_row", "copies").unionByName(one)
     return chosen.where("copies > 0").select("_row", F.explode(F.expr("array_repeat(0, cast(copies as int))"))).select("_row.*")
 
 

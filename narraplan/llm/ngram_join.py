@@ -9,7 +9,7 @@ join is exact but for equal 64-bit hashes. Its steps:
    passages that many texts share come last. The table's size is fixed, so it is collected and broadcast.
    A pair of Bloom filters (once-seen and twice-seen, merged over tasks, at most SHARED_BITS each) finds the shingles
    that may be among the rarest of two nodes; the others, most of them, are not sent. Once the filter is full
-   (from about 50 million shingles on) it lets more and more pass: links stay the same, the shuffle grows.
+   (from about 30 million shingles on) it lets more and more pass: links stay the same, the shuffle grows.
 3. Nodes that share such a shingle form a group. Groups are cut into tiles of bounded size; in a tile nodes are
    in bands of size, and a pair is compared only within num / den of its sizes. Bitmaps of hashed shingles (at
    least two bits a shingle, folded to a common length) bound the overlap from above:
@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narraplan.llm.common import Words, blocks, by_tile, components, cut, mixed, written
+from narraplan.llm.common import Words, blocks, by_tile, components, cut, mixed, release, written
 from narraplan.llm.line_dedup import SEGMENTS, Filter, filter_bits, merged_words, own_words, segments, tell_twice
 
 COUNTERS = 1 << 18
 MARKS = 1 << 24
 MET = 1 << 18
 #: Most bits of the filter of shared shingles.
-SHARED_BITS = 1 << 27
+SHARED_BITS = 1 << 26
 SHARED_PROBES = 2
 GROUP_TILE = 256
 BLOCK_TILE = 1 << 20
@@ -124,6 +124,7 @@ def shared_words(docs: DataFrame, rank, bits: int, size: int, num: int, den: int
             if sets:
                 tell_twice(once, twice, np.concatenate([_rarest(s, rank.value, num, den) for s in sets]))
         yield from segments(once, twice)
+        release()
 
     return merged_words(docs.select("text").mapInArrow(seen, SEGMENTS), bits)
 
@@ -154,6 +155,7 @@ def features(docs: DataFrame, counts: np.ndarray, size: int, num: int, den: int)
                 block.column("doc_id"), block.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
                 pa.array(sign, pa.binary()), pa.array(first, pa.list_(pa.int64())),
             ], names=["doc_id", "text_hash", "n", "node", "bitmap", "rarest"])
+        release()
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
         make, "doc_id long, text_hash long, n long, node long, bitmap binary, rarest array<long>")
@@ -278,6 +280,7 @@ def compare(tiles: DataFrame, payload: DataFrame, num: int, den: int, exact: boo
             return pa.record_batch({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
 
         yield from by_tile(batches, make)
+        release()
 
     rows = tiles.join(payload, "node").select("tile", "node", "label", "n", "data")
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(links, "a long, b long").distinct()
